@@ -138,7 +138,7 @@ def _links(radius: int):
             for k in range(1, distances.shape[1]):
                 near = np.abs(distances[a, k] - distances[b, k]) <= radius
                 a, b = a[near], b[near]
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= radius
             for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
                 i, j = find(i), find(j)
                 if i != j:
