@@ -102,9 +102,12 @@ def _power_tables(size: int) -> list[np.ndarray]:
     return _powers
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from differences of running sums over pieces of about 1 MB."""
-    out = np.empty(len(starts), np.uint64)
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, from differences of running sums over pieces of about 1 MB.
+
+    With ``prefixes``, a row for the words and one for each prefix length; a prefix as long as its word or longer is 0.
+    """
+    out = np.zeros((1 + len(prefixes), len(starts)), np.uint64)
     first = 0
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + _PIECE, "right")))
@@ -113,9 +116,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = (sums[e] - sums[s]) * down[s]
+        begun, shift = sums[s], down[s]
+        out[0, first:last] = mixed((sums[e] - begun) * shift)
+        for k, n in enumerate(prefixes, 1):
+            longer = e - s > n
+            out[k, first:last][longer] = mixed((sums[s[longer] + n] - begun[longer]) * shift[longer] + np.uint64(n))
         first = last
-    return mixed(out)
+    return out if prefixes else out[0]
 
 
 def word_hash(word: str) -> int:
