@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, quality, simhash, substring_dedup, toxicity
+from quarry.llm import decontamination, mixing, quality, sharding, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,36 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    records = _table(spark, sf_dir, "documents").select("doc_id", sharding.sizes(text).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    found = sharding.two_pass_shuffle(records, shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_duplicates(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Target shares of tokens; relative within each dimension.
+MIX = {
+    "source": {f"src{k}": 1 + k % 3 / 4 for k in range(20)},
+    "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1},
+    "topic": {"prose": 0.82, "table": 0.04, "marked": 0.06, "shouting": 0.04, "licensed": 0.04},
+}
+MIX_FRACTION = 0.4
+
+
+def mix_targets(spark: SparkSession) -> dict[str, DataFrame]:
+    return {name: mixing.target_table(spark, shares) for name, shares in MIX.items()}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents"), mix_targets(spark), MIX_FRACTION)
+    return found.select("doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), "chosen")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"), "worth")
@@ -39,6 +64,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op3_simhash, op7_substring_dedup, op9_quality, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op3_simhash, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination)}
 
 ORACLES: dict[str, str] = {}
