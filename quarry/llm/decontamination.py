@@ -219,3 +219,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, span: int
     """``search`` over a fresh index of ``docs`` that stores the items' terms, or all terms if those are too many."""
     few = vocabulary(items).limit(MAX_PHRASES + 1).toArrow().column(0).to_numpy()
     return search(build_index(docs, np.sort(few) if len(few) <= MAX_PHRASES else None), items, window, span)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``docs`` whose doc_id has no match, all columns as they are; rows with a null doc_id stay."""
+    hit = decontaminate(docs, items, window).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, quality, sharding, simhash, substring_dedup, toxicity
+from quarry.llm import decontamination, mixing, neighbours, quality, revisits, secret_scan, sharding, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,28 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.records_of_pages(_table(spark, sf_dir, "pages")))
+    fields = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return found.select("record_id", "canonical", "kind", "status", "refers_to", "validator", F.concat_ws(";", fields).alias("headers"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(table, table.where("vec_id % 100 = 0"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = secret_scan.dictionary_of(F.col("text"), _table(spark, sf_dir, "conversations"))
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), words)
+    return found.select("doc_id", "start", "n_found", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).alias("is_secret"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     records = _table(spark, sf_dir, "documents").select("doc_id", sharding.sizes(text).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -64,6 +81,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op3_simhash, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination)}
 
 ORACLES: dict[str, str] = {}

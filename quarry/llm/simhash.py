@@ -193,3 +193,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = members.join(least, "component").join(ends, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
+
+
+def first_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates: that of the smallest doc_id, all columns as they are.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id, which can't be named, stay as they are.
+    """
+    found = near_duplicates(docs, radius, width)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))

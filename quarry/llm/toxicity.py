@@ -245,3 +245,22 @@ def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, per_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.score(votes)), evidence], names=["doc_id", "score", "neighbours"])
 
     return rows.mapInArrow(near, _SCORED)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, all columns as they are; null and empty texts stay."""
+    index = fit(docs, labels)
+    if not isinstance(index, Index):
+        return docs if index < threshold else docs.where("text is null or text = ''")
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    text = docs.columns.index("text")
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in W.slabs(batches, "text"):
+            column = batch.column(text)
+            votes = np.array([index.vote(*index.nearest(c, v, NEIGHBOURS)) for _, c, v in _vectors(index, batch.num_rows, *term_counts(column, index.vocabulary))])
+            empty = pa.compute.equal(pa.compute.binary_length(pa.compute.fill_null(column, "")), 0)
+            yield batch.filter(pa.compute.or_(pa.array(index.score(votes) < threshold), empty))
+
+    return docs.mapInArrow(filtered, docs.schema)
