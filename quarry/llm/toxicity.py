@@ -3,11 +3,13 @@
 Terms are words (letters, digits and characters beyond ASCII, A-Z in lower case) and the first 4, 5 and 6 bytes of
 longer words, so that inflected forms of one stem meet. The vocabulary holds terms that tell the labels of the examples
 apart (log-likelihood ratio); document frequencies are counted over all documents. Examples are a bounded, stratified
-sample of the labelled training rows (``EXAMPLES`` of each label, by a hash of doc_id).
+sample of the labelled training rows (``EXAMPLES`` of each label, by a hash of doc_id) without near copies: of texts that
+share the smallest hash of their four-word runs one stays, else each word of an often copied text would look telling.
 
 The index stores each term's postings by block of ``BLOCK`` examples, with the largest weight of each block. A document
 adds up the block maxima of its terms, takes the blocks in falling order of that bound and scores them exactly, until no
-bound reaches its k-th best: the k nearest are exact. They vote with weight 1 / (distance + 0.05), each label weighted
+bound reaches its k-th best: the k nearest are exact. Examples lie in the order of their strongest terms, which keeps
+like ones in one block and bounds tight. They vote with weight 1 / (distance + 0.05), each label weighted
 back to its share of all labelled rows, over a prior; a logistic curve, fitted on the examples with each one left out,
 turns the vote into a probability. The neighbours and their cosines are returned as evidence.
 
@@ -35,7 +37,8 @@ EXAMPLES = 2000
 TERMS = 4096
 #: Least log-likelihood ratio of a term, and least number of examples that hold it.
 LEAST_RATIO, LEAST_EXAMPLES = 25.0, 4
-BLOCK = 64
+#: Examples of a block, and blocks that a document scores before it looks at its bounds again.
+BLOCK, AT_ONCE = 64, 3
 NEIGHBOURS = 15
 PREFIXES = (4, 5, 6)
 _SCORED = "doc_id long, score double, neighbours array<struct<doc_id: long, toxic: int, cosine: double>>"
@@ -107,20 +110,32 @@ class Index:
         """The k examples of largest cosine (over zero), ties to the earlier example, and their cosines."""
         bound = value @ self.most[code]
         blocks = bound.shape[0]
+        order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < cosine[-1] - 1e-9:
+        done, step = 0, AT_ONCE
+        while done < len(order):
+            # a few blocks at first, then all at once that still reach the k-th best
+            least = cosine[-1] - 1e-9 if len(best) == k else 0.0
+            reach = done + int((bound[order[done:]] >= least).sum())
+            chosen = np.sort(order[done : min(done + step, reach)])
+            if not len(chosen):
                 break
-            cells = code * blocks + b
+            cells = (code[:, None] * blocks + chosen).ravel()
             n = self.at[cells + 1] - self.at[cells]
             postings = W.ranges(self.at[cells], n)
-            exact = np.bincount(self.example[postings] - b * BLOCK, self.value[postings] * np.repeat(value, n), BLOCK)
+            place = np.repeat(np.tile(np.arange(len(chosen)) * BLOCK, len(code)), n) + self.example[postings] % BLOCK
+            exact = np.bincount(place, self.value[postings] * np.repeat(np.repeat(value, len(chosen)), n), len(chosen) * BLOCK)
             found = np.flatnonzero(exact > 0)
-            found = found[found + b * BLOCK != but]
-            best, cosine = np.append(best, found + b * BLOCK), np.append(cosine, exact[found])
-            order = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[order], cosine[order]
-        return best, cosine
+            score = exact[found]
+            found = chosen[found // BLOCK] * BLOCK + found % BLOCK
+            other = found != but
+            best, cosine = np.concatenate((best, found[other])), np.concatenate((cosine, score[other]))
+            if len(best) > k:
+                stay = np.lexsort((best, -cosine))[:k]
+                best, cosine = best[stay], cosine[stay]
+            done, step = done + len(chosen), blocks
+        stay = np.lexsort((best, -cosine))
+        return best[stay], cosine[stay]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of the neighbours' weighted vote over one vote of the prior."""
@@ -149,6 +164,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _distinct(texts: pa.ChunkedArray, label: np.ndarray) -> np.ndarray:
+    """Texts without near copies: one for each smallest hash of four words in a row, and label."""
+    data, at = W.text_bytes(texts)
+    starts, ends, first_word = W.bounds(data, at, W.whitespace_table())
+    grams = W.gram_hashes(W.hashes(data, starts, ends), 4)
+    n = np.diff(first_word)
+    least = [int(grams[a : a + k - 3].min()) if k > 3 else -1 - i for i, (a, k) in enumerate(zip(first_word[:-1], n, strict=True))]
+    return np.array(sorted({(m, y): i for i, (m, y) in reversed(list(enumerate(zip(least, label.tolist(), strict=True))))}.values()), np.int64)
+
+
 def _examples(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
     """The sample (doc_id, text, label) and how many labelled rows there are of each label."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
@@ -165,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     sample, n = _examples(docs, labels, per_label)
     share = n.get(1, 0) / max(1, sum(n.values()))
     rows = sample.orderBy("doc_id").toArrow()  # 2 * per_label texts at most
+    rows = rows.take(_distinct(rows.column("text"), rows.column("label").to_numpy()))
     label = rows.column("label").to_numpy().astype(np.int64)
     if len(set(label.tolist())) < 2:
         return share
@@ -187,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
             yield pa.RecordBatch.from_arrays([pa.array(terms[heads][keep].view(np.int64)), pa.array(pos[keep].astype(np.int64)), pa.array((total - pos)[keep].astype(np.int64))], names=["term", "pos", "neg"])
 
     n_pos, n_neg = int(label.sum()), int((1 - label).sum())
-    counted = sample.select("label", "text").mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    kept = docs.sparkSession.createDataFrame(rows.select(["label", "text"]))
+    counted = kept.mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     strong = counted.where(F.col("pos") + F.col("neg") >= LEAST_EXAMPLES).withColumn("ratio", _ratio(F.col("pos"), F.col("neg"), n_pos, n_neg)).where(F.col("ratio") >= LEAST_RATIO)
     terms = strong.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").toArrow().column(0).to_numpy()
     vocabulary = np.sort(terms.view(np.uint64))
@@ -207,6 +234,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     idf = np.log((1 + counts[-1]) / (1 + df)) + 1
     weight = np.where(label == 1, n[1] / n_pos, n[0] / n_neg)
     row, code, tf = term_counts(rows.column("text"), vocabulary)
+    # examples in the order of their strongest terms
+    strongest = np.full(len(label), -1)
+    by_weight = np.argsort((1 + np.log(tf)) * idf[code], kind="stable")
+    strongest[row[by_weight]] = code[by_weight]
+    rank = np.argsort(np.lexsort((label, strongest)))
+    rows, label, weight = (x.take(np.argsort(rank)) for x in (rows, label, weight))
+    order = np.argsort(rank[row], kind="stable")
+    row, code, tf = rank[row][order], code[order], tf[order]
     index = Index.build(vocabulary, idf, rows.column("doc_id").to_numpy(), label, weight / weight.mean(), share, row, code, tf)
     votes = [index.vote(*index.nearest(c, v, NEIGHBOURS, i)) for i, c, v in _vectors(index, len(label), row, code, tf)]
     index.calibrate(np.array(votes))
