@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import audits, collections, functions, incremental, matching, merges, sources
+from quarry.plans.tables import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "audits", "collections", "functions", "incremental", "matching", "merges", "sources"]
 
-FLAGSHIP = "rarity_vocabulary"
-
-
-def _rarity_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_type").agg(F.count("*").alias("n_items"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"rarity_vocabulary": _rarity_vocabulary}
-ORACLES: dict[str, str] = {"rarity_vocabulary": "SELECT p_type, count(*) AS n_items FROM part GROUP BY p_type"}
+FLAGSHIP = "a1_collection_stats"
