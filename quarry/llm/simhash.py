@@ -7,12 +7,13 @@ only the survivors' bits are compared.
 
 Tables are kept small without loss: the bits are cut into ``blocks`` runs, and two fingerprints that differ in k bits
 agree on all bits of some blocks - k of them. Each fingerprint enters one table for each choice of those blocks, keyed
-by their bits, and pairs meet in the table that they share. A table of more than ``TABLE_ROWS`` rows is cut into parts,
-and every pair of parts is a task of its own, so that a hot table spreads over the cluster. A table sends on one link
+by their bits, and pairs meet in the table that they share. Small tables are handled together; one of more than
+``TABLE_ROWS`` rows is cut into parts, and every pair of parts is a task of its own, so that a hot table spreads over the cluster. A table sends on one link
 for each row that has a partner (to the smallest of its group), never the pairs.
 
-Words are runs without white space, A-Z in lower case; a shingle is ``width`` words joined by one space, and a text of
-fewer words is one shingle. A bit is set when more than half of the shingles' XXH64 values (seed 42) have it.
+Words are runs without white space, A-Z in lower case; a shingle is ``width`` words joined by one space (five, unless
+said otherwise), and a text of fewer words is one shingle. Without a radius, fingerprints are linked that differ in no
+more bits than texts of ``similarity`` (Jaccard of their shingles) are expected to: 9 for 0.8. A bit is set when more than half of the shingles' XXH64 values (seed 42) have it.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; rows that repeat a doc_id
 are returned one by one with the component of that id; a null doc_id gets a fingerprint and its component's id but
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from quarry.llm.shared import keep
 PIVOTS = 16
 #: Rows of a table, or of a part of it, that one task compares.
 TABLE_ROWS = 8192
-#: Fingerprints up to which so many blocks keep the tables' mean size below about a hundred rows.
-_BLOCKS = ((5, 1 << 21), (6, 1 << 28), (7, 1 << 34), (8, 1 << 62))
+#: Mean rows of a table that the number of blocks aims at, and tables that a fingerprint enters, at most.
+_MEAN_ROWS, _TABLES = 128, 512
 
 
 def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byt
     return out.tobytes(), at - width, at - 1
 
 
-def fingerprint_batch(column: pa.Array, width: int = 4) -> np.ndarray:
+def fingerprint_batch(column: pa.Array, width: int = 5) -> np.ndarray:
     """Signed 64-bit fingerprints of a column of texts."""
     data, at = W.text_bytes(column)
     data = W.lower_table()[data]
@@ -80,7 +81,7 @@ def fingerprint_batch(column: pa.Array, width: int = 4) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     """``doc_id`` and 64-bit ``fp`` of each row of ``docs`` (doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +96,22 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, n, dtype=np.uint64)
 
 
-def _distance(fp: Column, pivot: int) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(int(np.uint64(pivot).view(np.int64))))).cast("byte")
+def pivot_distances(fp: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """A row of Hamming distances to the pivots for each fingerprint."""
+    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ pivots(n)[None]).astype(np.int16)
 
 
-def pivot_table(fps: DataFrame, n: int = PIVOTS) -> DataFrame:
-    """``fps`` with ``pivot``: the Hamming distances of ``fp`` to the pivots."""
-    return fps.withColumn("pivot", F.array(*[_distance(F.col("fp"), p) for p in pivots(n).tolist()]))
+def radius_for(similarity: float) -> int:
+    """Bits in which fingerprints of texts with that Jaccard similarity are expected to differ, rounded down."""
+    return int(64 * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def blocks_for(n: int, radius: int) -> int:
+    """Blocks that keep tables of ``n`` fingerprints small without too many tables."""
+    blocks = radius + 1
+    while n / 2 ** (64 * (blocks - radius) / blocks) > _MEAN_ROWS and comb(blocks + 1, radius) <= _TABLES:
+        blocks += 1
+    return blocks
 
 
 def _links(radius: int):
@@ -110,7 +120,7 @@ def _links(radius: int):
     def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         fp = table.column("fp").to_numpy()
-        distances = np.asarray(table.column("pivot").combine_chunks().flatten()).reshape(len(fp), -1).astype(np.int16)
+        distances = pivot_distances(fp)
         bits = np.unique(table.column("bits").to_numpy(), return_inverse=True)[1]
         first = bits.astype(np.int64) << 8 | distances[:, 0]
         order = np.argsort(first, kind="stable")
@@ -163,27 +173,29 @@ def _keys(fp: Column, blocks: int, radius: int) -> Column:
 
 def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints of ``fps`` (fp) that join all those within ``radius`` bits."""
-    if not 0 < radius < 64:
-        raise ValueError("radius: 1 to 63 bits")
+    if not 0 < radius < 32:
+        raise ValueError("radius: 1 to 31 bits")
     n = fps.count()
-    if blocks is None:
-        blocks = next(b for b, most in _BLOCKS if n <= most) + radius - 4 if radius >= 4 else radius + 1
-    assert comb(blocks, radius) <= 512, "too many tables for this radius"
-    keyed = pivot_table(fps).select("fp", "pivot", _keys(F.col("fp"), blocks, radius).alias("key")).select("fp", "pivot", "key.*")
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["choice", "bits"]).withColumn("parts", F.ceil(F.col("n") / TABLE_ROWS).cast("int"))
-    met = met.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    bundles = max(1, n // TABLE_ROWS)
-    met = met.withColumn("bundle", F.pmod(F.xxhash64("bits"), F.lit(bundles))).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    return met.select("choice", "bundle", "low", "high", "bits", "fp", "pivot", "part").groupBy("choice", "bundle", "low", "high").applyInArrow(_links(radius), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    blocks = blocks or blocks_for(n, radius)
+    keyed = fps.select("fp", _keys(F.col("fp"), blocks, radius).alias("key")).select("fp", "key.*")
+    hot = keep(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > TABLE_ROWS), "hot-tables")
+    if hot.isEmpty():
+        met = keyed.withColumns({"part": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
+    else:
+        met = keyed.join(hot, ["choice", "bits"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TABLE_ROWS), F.lit(1)).cast("int"))
+        met = met.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        met = met.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    bundle = F.pmod(F.xxhash64("bits"), F.lit(max(1, n // TABLE_ROWS)))
+    return met.select("choice", bundle.alias("bundle"), "low", "high", "bits", "fp", "part").groupBy("choice", "bundle", "low", "high").applyInArrow(_links(radius), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, radius: int | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its class: doc_id, fp, component_id, n_links.
 
     component_id is the smallest doc_id reachable over links of fingerprints within ``radius`` bits, itself included;
     n_links counts the links kept for the fingerprint (0: no other fingerprint is near).
     """
+    radius = radius_for(similarity) if radius is None else radius
     rows = keep(fingerprints(docs, width), "fingerprints")
     distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = keep(near_links(distinct.select("fp"), radius).distinct(), "links")
@@ -195,12 +207,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def first_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def first_of_each(docs: DataFrame, radius: int | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each class of near duplicates: that of the smallest doc_id, all columns as they are.
 
     Of rows that repeat a doc_id one stays. Rows with a null doc_id, which can't be named, stay as they are.
     """
-    found = near_duplicates(docs, radius, width)
+    found = near_duplicates(docs, radius, width, similarity)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null"))
