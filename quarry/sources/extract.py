@@ -60,7 +60,7 @@ def setlist_rows(pages: DataFrame, kinds: str = "entry|nmentry") -> DataFrame:
 
     A row is a template whose name ends with one of the kinds; the shorter kind has no rarity. Null texts give nothing.
     """
-    pattern = re.compile(rf".*/?({kinds})", re.I)
+    pattern = re.compile(rf"(?:.*[/ ])?({kinds})", re.I)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
