@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, neighbours, quality, revisits, secret_scan, sharding, simhash, substring_dedup, toxicity
+from quarry.llm import decontamination, mixing, neighbours, oracles, quality, revisits, secret_scan, sharding, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_revisits": oracles.REVISITS,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_mixing": oracles.mixing(MIX, MIX_FRACTION, mixing.ROUNDS),
+    "op10_decontamination": oracles.DECONTAMINATION,
+}
