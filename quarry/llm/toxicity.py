@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.llm.shared import keep
 
 #: Examples of each label, at most.
 EXAMPLES = 2000
@@ -164,14 +165,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _distinct(texts: pa.ChunkedArray, label: np.ndarray) -> np.ndarray:
-    """Texts without near copies: one for each smallest hash of four words in a row, and label."""
-    data, at = W.text_bytes(texts)
-    starts, ends, first_word = W.bounds(data, at, W.whitespace_table())
-    grams = W.gram_hashes(W.hashes(data, starts, ends), 4)
-    n = np.diff(first_word)
-    least = [int(grams[a : a + k - 3].min()) if k > 3 else -1 - i for i, (a, k) in enumerate(zip(first_word[:-1], n, strict=True))]
-    return np.array(sorted({(m, y): i for i, (m, y) in reversed(list(enumerate(zip(least, label.tolist(), strict=True))))}.values()), np.int64)
+def _distinct(sample: DataFrame) -> DataFrame:
+    """The sample without near copies: one for each label and smallest hash of four words in a row."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slabs(batches, "text"):
+            data, at = W.text_bytes(batch.column(2))
+            starts, ends, first_word = W.bounds(data, at, W.whitespace_table())
+            grams = W.gram_hashes(W.hashes(data, starts, ends), 4).view(np.int64)
+            n = np.diff(first_word)
+            found = [int(grams[a : a + k - 3].min()) if k > 3 else None for a, k in zip(first_word[:-1], n, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "label", "least"])
+
+    heads = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(least, "doc_id long, label int, least long")
+    first = heads.groupBy("label", F.coalesce("least", "doc_id").alias("least"), F.col("least").isNull().alias("short")).agg(F.min("doc_id").alias("doc_id"))
+    return keep(sample.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi"), "distinct-examples")  # as few rows as the sample
 
 
 def _examples(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
@@ -189,11 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     """The index of examples; the share of label 1 where there is nothing to tell the labels apart."""
     sample, n = _examples(docs, labels, per_label)
     share = n.get(1, 0) / max(1, sum(n.values()))
-    rows = sample.orderBy("doc_id").toArrow()  # 2 * per_label texts at most
-    rows = rows.take(_distinct(rows.column("text"), rows.column("label").to_numpy()))
-    label = rows.column("label").to_numpy().astype(np.int64)
-    if len(set(label.tolist())) < 2:
+    sample = _distinct(keep(sample, "examples"))
+    of_label = {int(y): c for y, c in sample.groupBy("label").count().collect()}
+    if len(of_label) < 2:
         return share
+    n_pos, n_neg = of_label[1], of_label[0]
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slabs(batches, "text", W.SLAB_BYTES // 4):
@@ -212,9 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
             keep = terms[heads] != 0
             yield pa.RecordBatch.from_arrays([pa.array(terms[heads][keep].view(np.int64)), pa.array(pos[keep].astype(np.int64)), pa.array((total - pos)[keep].astype(np.int64))], names=["term", "pos", "neg"])
 
-    n_pos, n_neg = int(label.sum()), int((1 - label).sum())
-    kept = docs.sparkSession.createDataFrame(rows.select(["label", "text"]))
-    counted = kept.mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = sample.select(F.col("label").cast("int"), "text").mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     strong = counted.where(F.col("pos") + F.col("neg") >= LEAST_EXAMPLES).withColumn("ratio", _ratio(F.col("pos"), F.col("neg"), n_pos, n_neg)).where(F.col("ratio") >= LEAST_RATIO)
     terms = strong.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").toArrow().column(0).to_numpy()
     vocabulary = np.sort(terms.view(np.uint64))
@@ -232,8 +238,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     counts = dict(docs.select("text").mapInArrow(frequency, "code long, n long").groupBy("code").agg(F.sum("n")).collect())  # TERMS + 1 rows at most
     df = np.array([counts.get(k, 0) for k in range(len(vocabulary))])
     idf = np.log((1 + counts[-1]) / (1 + df)) + 1
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slabs(batches, "text"):
+            row, code, tf = term_counts(batch.column(2), vocabulary)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "codes", "counts"])
+
+    terms_of = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(described, "doc_id long, label int, codes array<long>, counts array<long>")
+    rows = terms_of.orderBy("doc_id").toArrow().combine_chunks()  # 2 * per_label rows at most, without their texts
+    label = rows.column("label").to_numpy().astype(np.int64)
     weight = np.where(label == 1, n[1] / n_pos, n[0] / n_neg)
-    row, code, tf = term_counts(rows.column("text"), vocabulary)
+    row = np.repeat(np.arange(len(label)), np.asarray(pa.compute.list_value_length(rows.column("codes"))))
+    code, tf = (np.asarray(pa.compute.list_flatten(rows.column(c))) for c in ("codes", "counts"))
     # examples in the order of their strongest terms
     strongest = np.full(len(label), -1)
     by_weight = np.argsort((1 + np.log(tf)) * idf[code], kind="stable")
