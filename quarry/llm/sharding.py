@@ -29,7 +29,7 @@ def sizes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def two_pass_shuffle(df: DataFrame, shards: int, id_col: str = "doc_id", size: Column | None = None, bucket_bytes: float = 16e6, seed: int = 6) -> DataFrame:
+def two_pass_shuffle(df: DataFrame, shards: int, id_col: str = "doc_id", size: Column | None = None, bucket_bytes: float = 8e6, seed: int = 6) -> DataFrame:
     """Every row of ``df`` with ``shard`` (0 to shards - 1) and ``slot`` (from 0 in each shard).
 
     ``size``: bytes of a record in memory, to choose the number of buckets; 64 bytes if not given.

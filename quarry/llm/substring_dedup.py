@@ -78,7 +78,7 @@ def _send(window: int, blocks: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(name, pa.int32() if name == "block" else pa.binary()) for name in (x.split()[0] for x in _SENT.split(", "))])
         table = W.whitespace_table()
-        for batch in W.slabs(batches, "text"):
+        for batch in W.slabs(batches, "text", 2 * W.SLAB_BYTES):  # larger slabs settle more windows before the shuffle
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tag = batch.column(1).to_numpy(zero_copy_only=False)
             data, at = W.text_bytes(batch.column(2))

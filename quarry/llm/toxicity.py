@@ -37,7 +37,7 @@ EXAMPLES = 2000
 #: Terms of the vocabulary, at most; the strongest stay.
 TERMS = 4096
 #: Least log-likelihood ratio of a term, and least number of examples that hold it.
-LEAST_RATIO, LEAST_EXAMPLES = 25.0, 4
+LEAST_RATIO, LEAST_EXAMPLES = 20.0, 4
 #: Examples of a block, and blocks that a document scores before it looks at its bounds again.
 BLOCK, AT_ONCE = 64, 3
 NEIGHBOURS = 15
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     n_pos, n_neg = of_label[1], of_label[0]
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slabs(batches, "text", W.SLAB_BYTES // 4):
+        for batch in W.slabs(batches, "text", W.SLAB_BYTES // 2):
             data, at = W.text_bytes(batch.column(1))
             data = W.lower_table()[data]
             starts, ends, first_word = W.bounds(data, at, W.alphanumeric_table())

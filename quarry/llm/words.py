@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 #: Bytes that separate words: space, tab, LF, VT, FF, CR.
 WHITESPACE = b" \t\n\v\f\r"
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
 _PIECE = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
