@@ -8,16 +8,17 @@ only the survivors' bits are compared.
 Tables are kept small without loss: the bits are cut into ``blocks`` runs, and two fingerprints that differ in k bits
 agree on all bits of some blocks - k of them. Each fingerprint enters one table for each choice of those blocks, keyed
 by their bits, and pairs meet in the table that they share. Small tables are handled together; one of more than
-``TABLE_ROWS`` rows is cut into parts, and every pair of parts is a task of its own, so that a hot table spreads over the cluster. A table sends on one link
-for each row that has a partner (to the smallest of its group), never the pairs.
+``TABLE_ROWS`` rows is cut into parts, and every pair of parts is a task of its own, so that a hot table spreads over
+the cluster. A table sends on a forest of links, nearest pairs first: one less than there are rows, never all pairs.
 
 Words are runs without white space, A-Z in lower case; a shingle is ``width`` words joined by one space (five, unless
-said otherwise), and a text of fewer words is one shingle. Without a radius, fingerprints are linked that differ in no
-more bits than texts of ``similarity`` (Jaccard of their shingles) are expected to: 9 for 0.8. A bit is set when more than half of the shingles' XXH64 values (seed 42) have it.
+said otherwise), and a text of fewer words is one shingle. A bit is set when more than half of the shingles' XXH64
+values (seed 42) have it. Without a radius, fingerprints are linked that differ in no more bits than texts of
+``similarity`` (Jaccard of their shingles) are expected to (9 for 0.8), and each link is then verified on the texts.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; rows that repeat a doc_id
 are returned one by one with the component of that id; a null doc_id gets a fingerprint and its component's id but
-names none (null where all its members are null). Other columns are ignored.
+names none (null where all its members are null; such fingerprints have no verified links). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def blocks_for(n: int, radius: int) -> int:
 
 
 def _links(radius: int):
-    """Fingerprints of some tables (or of two parts of each) to links with the smallest of each group of near ones."""
+    """Fingerprints of some tables (or of two parts of each) to a forest of links that joins all near ones."""
 
     def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -137,6 +138,7 @@ def _links(radius: int):
                 i = root[i]
             return i
 
+        merged: list[tuple[int, int]] = []
         step = max(1, (1 << 21) // max(1, len(fp)))
         for low in range(0, len(fp), step):
             high = min(low + step, len(fp))
@@ -148,14 +150,19 @@ def _links(radius: int):
             for k in range(1, distances.shape[1]):
                 near = np.abs(distances[a, k] - distances[b, k]) <= radius
                 a, b = a[near], b[near]
-            near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= radius
-            for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                i, j = find(i), find(j)
-                if i != j:
-                    root[max(i, j)] = min(i, j)
-        top = np.array([find(i) for i in range(len(fp))], np.int64)
-        far = np.flatnonzero(top != np.arange(len(fp)))
-        return pa.table({"a": fp[far], "b": fp[top[far]]})
+            differ = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64))
+            for bits in range(1, radius + 1):  # nearest first
+                top = root
+                while (up := top[top]).tolist() != top.tolist():
+                    top = up
+                fresh = (differ == bits) & (top[a] != top[b])
+                for i, j in zip(a[fresh].tolist(), b[fresh].tolist(), strict=True):
+                    x, y = find(i), find(j)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        merged.append((i, j))
+        ends = np.array(merged, np.int64).reshape(-1, 2)
+        return pa.table({"a": fp[ends[:, 0]], "b": fp[ends[:, 1]]})
 
     return links
 
@@ -189,16 +196,44 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> Da
     return met.select("choice", bundle.alias("bundle"), "low", "high", "bits", "fp", "part").groupBy("choice", "bundle", "low", "high").applyInArrow(_links(radius), "a long, b long")
 
 
+def _alike(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose texts (fp, text) have that Jaccard similarity of shingles or more."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slabs(batches, "text"):
+            data, at = W.text_bytes(batch.column(1))
+            data = W.lower_table()[data]
+            starts, ends, first_word = W.bounds(data, at, W.whitespace_table())
+            words = W.hashes(data, starts, ends)
+            found = [np.unique(W.gram_hashes(words[a:b], min(width, max(1, b - a)))).view(np.int64) for a, b in zip(first_word[:-1], first_word[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    linked = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = keep(texts.join(linked, "fp", "left_semi").mapInArrow(shingles, "fp long, shingles array<long>"), "shingles")
+    x, y = (sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"of_{side}")) for side in ("a", "b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    jaccard = F.try_divide(both, F.size("of_a") + F.size("of_b") - both)
+    return links.join(x, "a").join(y, "b").where(F.coalesce(jaccard, F.lit(1.0)) >= similarity).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, radius: int | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its class: doc_id, fp, component_id, n_links.
 
-    component_id is the smallest doc_id reachable over links of fingerprints within ``radius`` bits, itself included;
-    n_links counts the links kept for the fingerprint (0: no other fingerprint is near).
+    With a radius, fingerprints within that many bits are linked and nothing else is asked. Without one, those within
+    ``radius_for(similarity)`` bits are, and each link is verified on the texts (of the smallest doc_id of either
+    fingerprint): it stays if their Jaccard similarity is ``similarity`` or more. component_id is the smallest doc_id
+    reachable, itself included; n_links counts the links kept for the fingerprint (0: no other fingerprint is near).
     """
-    radius = radius_for(similarity) if radius is None else radius
+    verify, radius = radius is None, radius_for(similarity) if radius is None else radius
     rows = keep(fingerprints(docs, width), "fingerprints")
     distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = keep(near_links(distinct.select("fp"), radius).distinct(), "links")
+    if verify:
+        linked = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        ids = distinct.join(linked, "fp").select("fp", F.col("least").alias("doc_id"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
+        one = texts.groupBy("fp").agg(F.min("text").alias("text"))  # rows that repeat a doc_id
+        links = keep(_alike(links, one, width, similarity), "alike")
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     classes = components(links, "components").withColumnRenamed("node", "fp")
     members = distinct.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

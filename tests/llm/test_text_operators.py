@@ -125,7 +125,15 @@ def fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def classes(ids, fps, radius=4):
+def jaccard(a, b, width=5):
+    sets = []
+    for text in (a, b):
+        w = split(lower(text or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def classes(ids, fps, radius=4, alike=lambda i, j: True):
     root = list(range(len(ids)))
 
     def find(i):
@@ -135,7 +143,7 @@ def classes(ids, fps, radius=4):
 
     for i in range(len(ids)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= radius:
+            if fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= radius and alike(i, j):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     least = {}
