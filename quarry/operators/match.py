@@ -85,8 +85,8 @@ def asset_ladder(*candidates: tuple[str, Column]) -> Column:
     return F.coalesce(out, F.struct(F.lit("none").alias("how"), F.lit(None).cast("string").alias("value")))
 
 
-def match_prefix(df: DataFrame, text: str, words: DataFrame, word: str, position: str) -> DataFrame:
-    """``df`` with ``matched``: the longest word that the text starts with (then end, space or hyphen), whatever the case.
+def match_prefix(df: DataFrame, key: str, text: str, words: DataFrame, word: str, position: str) -> DataFrame:
+    """``df`` (one row a key) with ``matched``: the longest word that the text starts with (then end, space or hyphen), whatever the case.
 
     The text's beginnings up to each boundary are joined by equality; a text of n words gives n beginnings at most, and
     no more than the longest word has.
@@ -95,10 +95,9 @@ def match_prefix(df: DataFrame, text: str, words: DataFrame, word: str, position
     head = F.lower(F.substring(F.col(text), 1, most + 1))
     ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1))), lambda i: (i == F.length(head)) | F.substring(head, i + 1, F.lit(1)).isin(" ", "-"))
     starts = F.transform(ends, lambda i: F.substring(head, F.lit(1), i))
-    keyed = df.withColumn("_id", F.monotonically_increasing_id())
     dim = words.select(F.lower(word).alias("_start"), F.col(word).alias("_word"), F.col(position).alias("_pos"))
-    hits = keyed.select("_id", F.explode(starts).alias("_start")).join(dim, "_start").groupBy("_id").agg(F.max_by("_word", F.struct(F.length("_word"), -F.col("_pos"))).alias("matched"))
-    return keyed.join(hits, "_id", "left").drop("_id")
+    hits = df.select(key, F.explode(starts).alias("_start")).join(dim, "_start").groupBy(key).agg(F.max_by("_word", F.struct(F.length("_word"), -F.col("_pos"))).alias("matched"))
+    return df.join(hits, key, "left")
 
 
 def search_all_prints(by_id: DataFrame, by_name: DataFrame, key: str, name: Column, word: str) -> DataFrame:
@@ -110,7 +109,7 @@ def search_all_prints(by_id: DataFrame, by_name: DataFrame, key: str, name: Colu
 def fan_out(left: DataFrame, right: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """Jobs of two small dimensions with a name looked up by ``key`` (else the key itself)."""
     looked = names.select(key, F.col(name).alias("_name"))
-    return F.broadcast(left).crossJoin(F.broadcast(right)).join(looked, key, "left").withColumn("name", F.coalesce("_name", F.col(key).cast("string"))).drop("_name")
+    return left.crossJoin(right).join(looked, key, "left").withColumn("name", F.coalesce("_name", F.col(key).cast("string"))).drop("_name")
 
 
 def enrichment_fills(held: DataFrame, parsed: DataFrame, key: str, order: Sequence[str], wanted: Sequence[str]) -> DataFrame:

@@ -74,7 +74,7 @@ WORDS = "SELECT word, min(pos) AS pos FROM (SELECT lower(substr(text, 1, 2 + CAS
 @query(f"""SELECT doc_id, word AS matched FROM documents LEFT JOIN ({WORDS}) ON starts_with(lower(text), word) AND (length(text) = length(word) OR substr(text, length(word) + 1, 1) IN (' ', '-'))
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, pos) = 1""")
 def j16_match_species_prefix(t):
-    return X.match_prefix(t("documents").select("doc_id", "text"), "text", t(WORDS), "word", "pos").select("doc_id", "matched")
+    return X.match_prefix(t("documents").select("doc_id", "text"), "doc_id", "text", t(WORDS), "word", "pos").select("doc_id", "matched")
 
 
 FORMS = "SELECT 20000 + p_size * 10 + v AS number, p_size AS base_number, CASE v WHEN 0 THEN 'a-mega-x' WHEN 1 THEN 'a-mega-y' ELSE 'a-mega' END AS slug, CASE v WHEN 0 THEN 'Ring (bolt Style)' WHEN 1 THEN 'Gear (gear)' ELSE 'One' END AS label, CASE v WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'mega' END AS family FROM (SELECT DISTINCT p_size FROM {part}) AS p, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2) AS w WHERE v < 2 OR p_size % 2 = 0"

@@ -90,6 +90,16 @@ def s11_write_catalog(t):
     return S.catalog_stats(part.sparkSession.read.parquet(path), ["p_brand", "p_type"], "p_size")
 
 
+@query("SELECT p_brand, count(*) AS n_cards, count(DISTINCT p_size) AS n_species, true AS stamped FROM part GROUP BY p_brand")
+def s12_version_stamp(t):
+    part = t("part")
+    path = scratch(part.sparkSession, "stamped")
+    S.write_catalog(part, f"{path}/cards", ["p_brand"])
+    version = S.write_version(part.sparkSession, f"{path}/version")  # after the cards
+    stats = S.catalog_stats(part.sparkSession.read.parquet(f"{path}/cards"), ["p_brand"], "p_size")
+    return stats.crossJoin(version.select(F.col("version").isNotNull().alias("stamped")))  # one row
+
+
 @query("SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
 def s13_publish_snapshot(t):
     pages = t("pages").select("page_id", "url", F.regexp_extract("url", "://([^/]+)", 1).alias("host"))

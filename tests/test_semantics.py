@@ -97,9 +97,9 @@ def test_code_rows_are_matched_once(spark):
 
 
 def test_longest_species_wins(spark):
-    words = spark.createDataFrame([("Mew", 0), ("Mew Two", 1), ("Me", 2)], "w string, pos int")
-    df = spark.createDataFrame([("mew two-star",), ("Mew",), ("Mewing",), (None,), ("",)], "t string")
-    assert [r["matched"] for r in X.match_prefix(df, "t", words, "w", "pos").collect()] == ["Mew Two", "Mew", None, None, None]
+    words = spark.createDataFrame([("Kel", 0), ("Kel Two", 1), ("Ke", 2)], "w string, pos int")
+    df = spark.createDataFrame([(0, "kel two-star"), (1, "Kel"), (2, "Kelling"), (3, None), (4, "")], "k int, t string")
+    assert [r["matched"] for r in X.match_prefix(df, "k", "t", words, "w", "pos").orderBy("k").collect()] == ["Kel Two", "Kel", None, None, None]
 
 
 def test_mega_variants(spark):
