@@ -151,16 +151,19 @@ def _links(radius: int):
                 near = np.abs(distances[a, k] - distances[b, k]) <= radius
                 a, b = a[near], b[near]
             differ = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64))
-            for bits in range(1, radius + 1):  # nearest first
-                top = root
-                while (up := top[top]).tolist() != top.tolist():
-                    top = up
-                fresh = (differ == bits) & (top[a] != top[b])
-                for i, j in zip(a[fresh].tolist(), b[fresh].tolist(), strict=True):
-                    x, y = find(i), find(j)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        merged.append((i, j))
+            near = np.flatnonzero(differ <= radius)
+            if not len(near):
+                continue
+            top = root  # pairs that earlier rows have joined already are left out
+            while not np.array_equal(up := top[top], top):
+                top = up
+            near = near[top[a[near]] != top[b[near]]]
+            near = near[np.argsort(differ[near], kind="stable")]  # nearest first
+            for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                x, y = find(i), find(j)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    merged.append((i, j))
         ends = np.array(merged, np.int64).reshape(-1, 2)
         return pa.table({"a": fp[ends[:, 0]], "b": fp[ends[:, 1]]})
 

@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import SF  # noqa: F401
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, queries, sharding, simhash, substring_dedup
