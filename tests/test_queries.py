@@ -1,7 +1,7 @@
 """Every catalog query against its SQL, and those without SQL against their shape."""
 
 import pytest
-from conftest import SF, same
+from compare import SF, same
 
 from quarry.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
