@@ -131,7 +131,7 @@ class Index:
             found = chosen[found // BLOCK] * BLOCK + found % BLOCK
             other = found != but
             best, cosine = np.concatenate((best, found[other])), np.concatenate((cosine, score[other]))
-            if len(best) > k:
+            if len(best) >= k:  # the last is the k-th best
                 stay = np.lexsort((best, -cosine))[:k]
                 best, cosine = best[stay], cosine[stay]
             done, step = done + len(chosen), blocks
