@@ -1,17 +1,38 @@
-"""Folders for what queries write and read back."""
+"""Folders for what jobs write and read back."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder (``spark.checkpoint.dir``); a temporary one is set only where there is none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on this machine alone (master ``local``) gets a temporary one; any other is refused,
+    since each executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir: name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    What follows depends on files that outlive any executor, not on the lineage of ``df``.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
