@@ -24,8 +24,8 @@ def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, width=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    found = simhash.near_fingerprints(_table(spark, sf_dir, "documents"), radius=4, width=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,25 @@
-"""Tables that several jobs read again, kept where every executor can see them."""
+"""Helpers of several operators: the shared folder, labelled rows that are held out, and column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+from quarry.sources.folders import keep, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one is set only where there is none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-quarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["fresh", "held_out", "keep", "shared_folder"]
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def held_out(doc_id: Column) -> Column:
+    """Rows of which no label is learned: crc32 of the doc_id as text is divisible by 5."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
-    What follows depends on files that outlive any executor, not on the lineage of ``df``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name`` with as many underscores before it as keep it apart from ``columns`` (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

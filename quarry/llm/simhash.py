@@ -1,22 +1,21 @@
-"""Near-dedup: SimHash with pivot distance tables, or exact similarity of shingle sets.
+"""Near-dedup: SimHash fingerprints and pivot distance tables.
 
 Texts become 64-bit fingerprints; equal fingerprints are folded into one row. To find fingerprints that differ in few
-bits, each is described by its Hamming distances to ``PIVOTS`` reference fingerprints. Two fingerprints within k bits
-differ by k or less in every such distance, so that a pair is discarded as soon as one coordinate differs by more, and
-only the survivors' bits are compared.
+bits, each is described once by its Hamming distances to ``PIVOTS`` reference fingerprints (``distance_table``). Two
+fingerprints within k bits differ by k or less in every such distance, so that a pair is discarded as soon as one
+coordinate differs by more, and only the survivors' bits are compared.
 
 Tables are kept small without loss: the bits are cut into ``blocks`` runs, and two fingerprints that differ in k bits
-agree on all bits of some blocks - k of them. Each fingerprint enters one table for each choice of those blocks, keyed
-by their bits, and pairs meet in the table that they share. Small tables are handled together; one of more than
-``TABLE_ROWS`` rows is cut into parts, and every pair of parts is a task of its own, so that a hot table spreads over
-the cluster. A table sends on a forest of links, nearest pairs first: one less than there are rows, never all pairs.
+agree on all bits of some blocks - k of them. Each fingerprint, with its distances, enters one table for each choice of
+those blocks, keyed by their bits, and pairs meet in the table that they share. Small tables are handled together; one of
+more than ``TABLE_ROWS`` rows is cut into parts, and every pair of parts is a task of its own, so that a hot table
+spreads over the cluster. A table sends on a forest of links, nearest pairs first: one less than there are rows, never
+all pairs.
 
 Words are runs without white space, A-Z in lower case; a shingle is ``width`` words joined by one space (five, unless
 said otherwise), and a text of fewer words is one shingle. A bit is set when more than half of the shingles' XXH64
-values (seed 42) have it. Without a radius, the links are those of texts of ``similarity`` (Jaccard of their shingles)
-or more, whatever their bits: two such sets share one of the first shingles of each in any common order (a fifth of
-them for 0.8), so that texts meet by those, rare ones first, and every pair that meets is verified on the texts before
-anything is reduced. Equal fingerprints count as one text either way.
+values (seed 42) have it. With a radius, fingerprints within that many bits are linked. Without one, texts of
+``similarity`` (Jaccard of their shingles) or more are linked, see ``near_texts``.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; rows that repeat a doc_id
 are returned one by one with the component of that id; a null doc_id gets a fingerprint and its component's id but
@@ -27,11 +26,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, pi
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,33 +42,30 @@ PIVOTS = 16
 TABLE_ROWS = 8192
 #: Mean rows of a table that the number of blocks aims at, and tables that a fingerprint enters, at most.
 _MEAN_ROWS, _TABLES = 128, 512
-#: Postings that one task compares; texts of which common shingles are learned, texts that hold one, and their number, at most.
-_BUNDLE_ROWS, _SAMPLE, _OFTEN, _COMMON = 1 << 18, 8192, 4, 1 << 18
 
 
-def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words alone, each followed by one space, and their new bounds."""
-    width = ends - starts + 1
-    at = np.cumsum(width)
-    out = np.append(data, np.uint8(0x20))[np.minimum(W.ranges(starts, width), len(data))]
-    out[at - 1] = 0x20
-    return out.tobytes(), at - width, at - 1
-
-
-def fingerprint_batch(column: pa.Array, width: int = 5) -> np.ndarray:
-    """Signed 64-bit fingerprints of a column of texts."""
+def shingle_values(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of each text, repeats included, and their bounds by text."""
     data, at = W.text_bytes(column)
     data = W.lower_table()[data]
     starts, ends, first_word = W.bounds(data, at, W.whitespace_table())
-    text, starts, ends = _spaced(data, starts, ends)
+    # the words alone, each followed by one space
+    size = ends - starts + 1
+    place = np.cumsum(size)
+    text = np.append(data, np.uint8(0x20))[np.minimum(W.ranges(starts, size), len(data))]
+    text[place - 1] = 0x20
+    starts, ends = place - size, place - 1
     n_words = np.diff(first_word)
     n = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     first = W.ranges(first_word[:-1], n)
     last = first + np.repeat(np.minimum(n_words, width), n) - 1
-    digest = xxhash.xxh64_intdigest
-    values = np.fromiter((digest(text[a:b], 42) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(first))
+    return W.xxh64(text, starts[first], ends[last]), np.append(0, np.cumsum(n))
+
+
+def votes(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Signed 64-bit fingerprints of texts from their shingles' values."""
+    n = np.diff(edges)
     out = np.zeros(len(n), np.uint64)
-    edges = np.concatenate(([0], np.cumsum(n)))
     step = 1 << 16
     for low in range(0, len(n), 256):  # texts
         high = min(low + 256, len(n))
@@ -86,6 +81,11 @@ def fingerprint_batch(column: pa.Array, width: int = 5) -> np.ndarray:
     return out.view(np.int64)
 
 
+def fingerprint_batch(column: pa.Array, width: int = 5) -> np.ndarray:
+    """Signed 64-bit fingerprints of a column of texts."""
+    return votes(*shingle_values(column, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     """``doc_id`` and 64-bit ``fp`` of each row of ``docs`` (doc_id, text)."""
 
@@ -103,12 +103,19 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
 
 def pivot_distances(fp: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     """A row of Hamming distances to the pivots for each fingerprint."""
-    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ pivots(n)[None]).astype(np.int16)
+    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ pivots(n)[None])
+
 
+def distance_table(fps: DataFrame) -> DataFrame:
+    """``fps`` (fp) with ``distances``: one byte for each pivot; written to the shared folder."""
 
-def radius_for(similarity: float) -> int:
-    """Bits in which fingerprints of texts with that Jaccard similarity are expected to differ, rounded down."""
-    return int(64 * acos(2 * similarity / (1 + similarity)) / pi)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pivot_distances(batch.column(0).to_numpy())
+            column = pa.array([r.tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["fp", "distances"])
+
+    return keep(fps.select("fp").mapInArrow(measure, "fp long, distances binary"), "pivot-distances")
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -125,7 +132,7 @@ def _links(radius: int):
     def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         fp = table.column("fp").to_numpy()
-        distances = pivot_distances(fp)
+        distances = np.frombuffer(b"".join(table.column("distances").to_pylist()), np.uint8).reshape(len(fp), -1).astype(np.int16)
         bits = np.unique(table.column("bits").to_numpy(), return_inverse=True)[1]
         first = bits.astype(np.int64) << 8 | distances[:, 0]
         order = np.argsort(first, kind="stable")
@@ -185,239 +192,40 @@ def _keys(fp: Column, blocks: int, radius: int) -> Column:
     return F.explode(F.array(*found))
 
 
+def in_parts(rows: DataFrame, parts: Column, key: Column) -> DataFrame:
+    """Each row once for every pair of parts (low, high) that its own part takes part in."""
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(key), F.col("parts").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "other")
+
+
 def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints of ``fps`` (fp) that join all those within ``radius`` bits."""
     if not 0 < radius < 32:
         raise ValueError("radius: 1 to 31 bits")
-    n = fps.count()
+    described = distance_table(fps)
+    n = described.count()
     blocks = blocks or blocks_for(n, radius)
-    keyed = fps.select("fp", _keys(F.col("fp"), blocks, radius).alias("key")).select("fp", "key.*")
+    keyed = described.select("fp", "distances", _keys(F.col("fp"), blocks, radius).alias("key")).select("fp", "distances", "key.*")
     hot = keep(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > TABLE_ROWS), "hot-tables")
     if hot.isEmpty():
         met = keyed.withColumns({"part": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
     else:
-        met = keyed.join(hot, ["choice", "bits"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TABLE_ROWS), F.lit(1)).cast("int"))
-        met = met.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        met = met.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+        met = in_parts(keyed.join(hot, ["choice", "bits"], "left"), F.coalesce(F.ceil(F.col("n") / TABLE_ROWS), F.lit(1)).cast("int"), F.col("fp"))
     bundle = F.pmod(F.xxhash64("bits"), F.lit(max(1, n // TABLE_ROWS)))
-    return met.select("choice", bundle.alias("bundle"), "low", "high", "bits", "fp", "part").groupBy("choice", "bundle", "low", "high").applyInArrow(_links(radius), "a long, b long")
-
-
-def _shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every distinct shingle of each text, by row."""
-    data, at = W.text_bytes(column)
-    data = W.lower_table()[data]
-    starts, ends, first_word = W.bounds(data, at, W.whitespace_table())
-    words = W.hashes(data, starts, ends)
-    n_words = np.diff(first_word)
-    rows, values = [], []
-    for n in range(1, width + 1):  # texts of fewer words are one shingle
-        held = np.flatnonzero(n_words == n if n < width else n_words >= width)
-        counts = n_words[held] - n + 1
-        rows.append(np.repeat(held, counts))
-        values.append(W.gram_hashes(words, n)[W.ranges(first_word[:-1][held], counts)])
-    row, value = np.concatenate(rows), np.concatenate(values)
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))[: len(row)]
-    return row[new], value[new]
-
-
-def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that many texts of a sample hold, and how many; they only decide an order, so any will do."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slabs(batches, "text"):
-            value, n = np.unique(_shingle_sets(batch.column(0), width)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
-
-    share = max(1, docs.count() // _SAMPLE)
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    often = sample.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= _OFTEN)
-    found = often.orderBy(F.desc("n"), "shingle").limit(_COMMON).toArrow().combine_chunks()
-    value, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(value)
-    return value[order], n[order]
+    met = met.select("choice", bundle.alias("bundle"), "low", "high", "bits", "fp", "part", "distances")
+    return met.groupBy("choice", "bundle", "low", "high").applyInArrow(_links(radius), "a long, b long")
 
 
-def _sketches(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and words of each set's bitmap: about a bit for each shingle, set where an odd number of them falls.
+def near_fingerprints(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with its class: doc_id, fp, component_id.
 
-    Two sets differ in at least as many shingles as their bitmaps differ in bits; the larger is halved by XOR first.
+    Fingerprints within ``radius`` bits are linked; component_id is the smallest doc_id reachable, itself included.
     """
-    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 8, 16)
-    first = np.append(0, np.cumsum(bits))
-    odd = np.bincount(first[row] + (value % bits[row].astype(np.uint64)).astype(np.int64), minlength=first[-1]) % 2
-    return first // 64, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def _may_be_alike(a: str, b: str, n_a: str, n_b: str, similarity: float) -> Column:
-    """False for bitmaps ``a`` and ``b`` that differ in more bits than sets of those sizes and that similarity can."""
-
-    def xor(x: Column, y: Column) -> Column:
-        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
-
-    def halved(x: str, than: str) -> Column:  # sizes more than one step apart can't be compared, and pass
-        n = (F.size(x) / 2).cast("int")
-        return F.when(F.size(x) == 2 * F.size(than), xor(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n))).otherwise(F.col(x))
-
-    differ = F.aggregate(xor(halved(a, b), halved(b, a)), F.lit(0), lambda total, x: total + F.bit_count(F.coalesce(x, F.lit(0))))
-    return (F.size(halved(a, b)) != F.size(halved(b, a))) | (differ <= (1 - similarity) / (1 + similarity) * (F.col(n_a) + F.col(n_b)) + 1e-6)
-
-
-def described(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``doc_id``, ``fp``, ``node`` (hash of the text), ``size`` (distinct shingles), ``prefix`` and ``sketch`` of each row.
-
-    The prefix holds the first shingles of the set in one order for all texts, rare ones first: as many as make it sure
-    that two sets of that Jaccard similarity share one of them.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, width))  # _COMMON rows at most
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = shared.value
-        for batch in W.slabs(batches, "text"):
-            row, value = _shingle_sets(batch.column(2), width)
-            rank = np.zeros(len(value), np.int64)
-            if len(common):
-                place = np.minimum(np.searchsorted(common, value), len(common) - 1)
-                rank = np.where(common[place] == value, often[place], 0)
-            order = np.lexsort((value, rank, row))
-            size = np.bincount(row, minlength=batch.num_rows)
-            ends, sketch = _sketches(row, value, size)
-            sketches = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sketch))
-            value = value[order]  # rows stay where they are
-            n = np.where(size > 0, size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1, 0)
-            prefix = value[W.ranges(np.cumsum(size) - size, n)].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(prefix))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_batch(batch.column(2), width)), batch.column(1), pa.array(size.astype(np.int64)), lists, sketches], names=["doc_id", "fp", "node", "size", "prefix", "sketch"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
-    return rows.mapInArrow(make, "doc_id long, fp long, node long, size long, prefix array<long>, sketch array<long>")
-
-
-def _meetings(similarity: float, most: int | None):
-    """Postings of some shingles to the pairs (a, b) that can be alike; shingles of over ``most`` postings are passed on."""
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        shingle, node, size, pos = (table.column(c).to_numpy() for c in ("shingle", "node", "size", "pos"))
-        order = np.lexsort((size, shingle))
-        shingle, node, size, pos = (x[order] for x in (shingle, node, size, pos))
-        group = np.cumsum(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)]) - 1
-        held = np.bincount(group)[group]
-        late = held > most if most else np.zeros(len(held), bool)
-        across = not most and table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        part = table.column("part").to_numpy()[order]
-        # from each row to the last of its shingle whose size is near enough
-        key = group << 40 | size
-        n = np.searchsorted(key, group << 40 | np.floor(size / similarity + 1e-6).astype(np.int64), "right") - np.arange(len(key)) - 1
-        n[late] = 0
-        total = np.append(0, np.cumsum(n))
-        found, low = [np.zeros((0, 2), np.int64)], 0
-        while low < len(n):
-            high = max(low + 1, int(np.searchsorted(total, total[low] + (1 << 21), "right")) - 1)
-            a = np.repeat(np.arange(low, high), n[low:high])
-            b = W.ranges(np.arange(low, high) + 1, n[low:high])
-            # at the first shingle that two alike sets share, enough of both must be left
-            enough = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6)
-            near = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= enough
-            if across:
-                near &= part[a] != part[b]
-            a, b = node[a[near]], node[b[near]]
-            if len(a):
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-            low = high
-        pairs = np.concatenate(found)
-        if len(found) > 2:
-            pairs = np.unique(pairs, axis=0)
-        rest = np.flatnonzero(late)
-        none = pa.nulls(len(rest), pa.int64())
-        columns = {"a": (pairs[:, 0], none), "b": (pairs[:, 1], none)}
-        columns |= {k: (pa.nulls(len(pairs), pa.int64()), v[rest]) for k, v in {"shingle": shingle, "node": node, "size": size, "pos": pos}.items()}
-        return pa.table({k: pa.chunked_array([pa.array(x, pa.int64()) for x in v]) for k, v in columns.items()})
-
-    return meet
-
-
-def candidates(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes of ``rows`` (``described``): all of that similarity, and some that are less alike."""
-    postings = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    parts = {"part": F.lit(0), "low": F.lit(0), "high": F.lit(0)}
-    met = rows.dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("pos", "shingle")).withColumn("pos", F.col("pos").cast("long"))
-    met = met.withColumns(parts).withColumn("bundle", F.pmod(F.xxhash64("shingle"), F.lit(max(1, postings // _BUNDLE_ROWS))))
-    out = "a long, b long, shingle long, node long, size long, pos long"
-    first = keep(met.groupBy("bundle").applyInArrow(_meetings(similarity, TABLE_ROWS), out), "candidates")
-    pairs = first.where("a is not null").select("a", "b")
-    late = first.where("a is null").select("shingle", "node", "size", "pos")
-    if not late.isEmpty():  # a common shingle is cut into parts; every pair of parts is a task of its own
-        parts = late.groupBy("shingle").agg(F.ceil(F.count("*") / TABLE_ROWS).cast("int").alias("parts"))
-        late = late.join(parts, "shingle").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        late = late.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-        late = late.groupBy("shingle", "low", "high").applyInArrow(_meetings(similarity, None), out)
-        pairs = pairs.unionByName(late.select("a", "b"))
-    sketches = rows.select("node", "size", "sketch").dropDuplicates(["node"])
-    x, y = (sketches.select(F.col("node").alias(side), F.col("size").alias(f"n_{side}"), F.col("sketch").alias(f"of_{side}")) for side in ("a", "b"))
-    return pairs.distinct().join(x, "a").join(y, "b").where(_may_be_alike("of_a", "of_b", "n_a", "n_b", similarity)).select("a", "b")
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose texts have that Jaccard similarity of shingles or more."""
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slabs(batches, "text"):
-            row, value = _shingle_sets(batch.column(1), width)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], names=["node", "shingles"])
-
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("node"), "text").join(paired, "node", "left_semi").dropDuplicates(["node"])
-    sets = keep(texts.mapInArrow(shingles, "node long, shingles array<long>"), "shingles")
-    x, y = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}")) for side in ("a", "b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    jaccard = both / (F.size("of_a") + F.size("of_b") - both)
-    return pairs.join(x, "a").join(y, "b").where(jaccard >= similarity).select("a", "b")
-
-
-def alike_links(rows: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """All links (a, b) between fingerprints of ``rows`` (``described``) of which two texts have that similarity."""
-    pairs = keep(candidates(rows, similarity), "pairs")
-    alike = _alike(pairs, docs, width, similarity)
-    of = rows.select("node", "fp").distinct()
-    a, b = (of.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}")) for side in ("a", "b"))
-    ends = alike.join(a, "a").join(b, "b").where("fp_a <> fp_b")
-    return ends.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, radius: int | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with its class: doc_id, fp, component_id, n_links.
-
-    With a radius, fingerprints within that many bits are linked and nothing else is asked. Without one, those are of
-    which two texts have a Jaccard similarity of ``similarity`` or more, however many bits differ. component_id is the
-    smallest doc_id reachable, itself included; n_links counts the links kept for the fingerprint (0: no other
-    fingerprint is near).
-    """
-    if radius is None:
-        rows = keep(described(docs, width, similarity), "fingerprints")
-        links = keep(alike_links(rows, docs, width, similarity), "alike")
-    else:
-        rows = keep(fingerprints(docs, width), "fingerprints")
+    rows = keep(fingerprints(docs, width), "fingerprints")
     distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    if radius is not None:
-        links = keep(near_links(distinct.select("fp"), radius).distinct(), "links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    links = near_links(distinct.select("fp"), radius)
     classes = components(links, "components").withColumnRenamed("node", "fp")
     members = distinct.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = members.join(least, "component").join(ends, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
-
-
-def first_of_each(docs: DataFrame, radius: int | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of ``docs`` for each class of near duplicates: that of the smallest doc_id, all columns as they are.
-
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id, which can't be named, stay as they are.
-    """
-    found = near_duplicates(docs, radius, width, similarity)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    return rows.join(members.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -1,43 +1,120 @@
 """Near-dedup by similarity against brute force over all pairs of texts, whatever the bits of their fingerprints."""
 
+import random
+
 import corpus_pipeline
 import pytest
-from test_text_operators import classes, fingerprint, jaccard, lower, split
+from pyspark.sql import functions as F
+from test_text_operators import fingerprint, lower, split
 
-from quarry.llm import simhash
+from quarry.llm import near_texts, simhash
 
 DATA = "/root/testdata/sf0.001"
 
 
+def shingles(text, width=5):
+    w = split(lower(text or ""))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def by_brute_force(rows):
-    fps = [fingerprint(r["text"], 5) for r in rows]
-    words = [split(lower(r["text"] or "")) for r in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    return classes([r["doc_id"] for r in rows], fps, 64, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * max(1, len(sets[i] | sets[j])))
+    """The smallest doc_id of each row's class, by all pairs of (doc_id, text)."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, least.get(find(i))) for i, (d, _) in enumerate(rows)), key=repr), len({find(i) for i in range(len(rows))})
+
+
+def found(df):
+    return sorted(((r["doc_id"], r["component_id"]) for r in near_texts.near_duplicates(df).collect()), key=repr)
 
 
-@pytest.mark.parametrize(("table", "bundle", "often"), [(8192, 1 << 18, 4), (3, 500, 2), (8192, 1 << 18, 10**9)])
-def test_all_alike_texts_meet(spark, docs, monkeypatch, table, bundle, often):
-    for name, value in {"TABLE_ROWS": table, "_BUNDLE_ROWS": bundle, "_OFTEN": often}.items():  # shingles in parts, no common ones
-        monkeypatch.setattr(simhash, name, value)
-    rows = docs.select("doc_id", "text").collect()
-    fps = {r["doc_id"]: fingerprint(r["text"], 5) for r in rows}
-    assert (fps[177] ^ fps[1]).bit_count() == 17 and (fps[145] ^ fps[6]).bit_count() == 11  # alike, beyond the expected 9 bits
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert [found[r["doc_id"]] for r in rows] == by_brute_force(rows)
-    assert found[177] == found[1] and found[145] == found[6]
+def texts(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize(("small", "table", "often"), [(64, 8192, 4), (2, 8192, 2), (2, 4, 10**9)])
+def test_all_alike_texts_meet(docs, monkeypatch, small, table, often):
+    for module, name, value in ((near_texts, "SMALL", small), (simhash, "TABLE_ROWS", table), (near_texts, "OFTEN", often), (near_texts, "BUNDLE_ROWS", 2000)):
+        monkeypatch.setattr(module, name, value)  # groups that wait, groups in parts, no common shingles
+    rows = texts(docs)
+    fps = {d: fingerprint(t, 5) for d, t in rows}
+    want = by_brute_force(rows)[0]
+    got = dict(found(docs))
+    assert sorted(got.items(), key=repr) == want
+    # alike, though seventeen and eleven bits differ
+    assert (fps[177] ^ fps[1]).bit_count() == 17 and got[177] == got[1]
+    assert (fps[145] ^ fps[6]).bit_count() == 11 and got[145] == got[6]
+
+
+def variants(n, seed, changes):
+    """Texts of 120 words from a few that many share, and copies of each with some words changed at random."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("abcdefgh", k=4))
+    rows = []
+    for _ in range(n // 40):
+        base = [word() for _ in range(120)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(draw.randrange(changes)):
+                own[draw.randrange(120)] = word()
+            rows.append((len(rows), " ".join(own)))
+    draw.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("small", "table"), [(64, 8192), (3, 8192), (3, 7)])
+def test_groups_of_copies_near_the_edge(spark, monkeypatch, small, table):
+    for module, name, value in ((near_texts, "SMALL", small), (simhash, "TABLE_ROWS", table), (near_texts, "RADIUS", 1)):
+        monkeypatch.setattr(module, name, value)
+    rows = variants(160, 5, 9)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == by_brute_force(rows)[0]
 
 
 def test_near_dedup_stage(spark, docs):
     stay = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, DATA)
-    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(set(by_brute_force(docs.select("doc_id", "text").collect())))
+    assert stay.columns == docs.columns
+    assert sorted(r["doc_id"] for r in stay.collect()) == sorted({c for _, c in by_brute_force(texts(docs))[0]})
 
 
 def test_edge_of_the_similarity(spark):
     words = [f"w{i}" for i in range(40)]
     # 36 shingles; k words replaced at the end leave 36 - k of 36 + k
-    rows = [(10, " ".join(words)), (11, " ".join(words[:36] + list("abcd"))), (12, " ".join(words[:35] + list("vwxyz"))), (13, "a b"), (14, "A  b"), (15, "a"), (16, ""), (17, None)]
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert jaccard(rows[0][1], rows[1][1]) == 0.8 > jaccard(rows[0][1], rows[2][1])
-    assert found == {10: 10, 11: 10, 12: found[12], 13: 13, 14: 13, 15: 15, 16: 16, 17: 16}
-    assert [found[d] for d, _ in rows] == by_brute_force(spark.createDataFrame(rows, "doc_id long, text string").collect())
+    rows = [(10, " ".join(words)), (11, " ".join(words[:36] + list("abcd"))), (12, " ".join(words[:35] + list("vwxyz"))), (13, "a b"), (14, "A  b"), (15, "a"), (16, ""), (17, None), (18, " \t")]
+    got = dict(found(spark.createDataFrame(rows, "doc_id long, text string")))
+    a, b, c = (shingles(t) for _, t in rows[:3])
+    assert alike(a, b) and not alike(a, c)
+    assert got == {10: 10, 11: 10, 12: got[12], 13: 13, 14: 13, 15: 15, 16: 16, 17: 16, 18: 16}
+    assert sorted(got.items()) == by_brute_force(rows)[0]
+
+
+def test_odd(spark, odd, empty):
+    rows = texts(odd)
+    want, classes = by_brute_force(rows)
+    assert found(odd) == want
+    stay = near_texts.first_of_each(odd)
+    assert stay.columns == odd.columns and stay.count() == classes
+    assert sorted(r["doc_id"] for r in stay.collect()) == [1, 2, 4, 5, 7]  # the row without a doc_id is a copy of 1
+    assert near_texts.near_duplicates(empty).count() == 0 and near_texts.first_of_each(empty).count() == 0
+    # a class without doc_ids keeps one row; of repeated rows one stays, the same in any order
+    lost = spark.createDataFrame([(None, "one two three", "a"), (None, "one two three", "b"), (3, "four", "x"), (3, "four", "y")], "doc_id long, text string, node string")
+    kept = [sorted(map(tuple, near_texts.first_of_each(x).collect()), key=repr) for x in (lost, lost.orderBy(F.desc("node")))]
+    assert kept[0] == kept[1] and [r[:2] for r in kept[0]] == [(3, "four"), (None, "one two three")]

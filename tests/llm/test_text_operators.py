@@ -124,15 +124,7 @@ def fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def jaccard(a, b, width=5):
-    sets = []
-    for text in (a, b):
-        w = split(lower(text or ""))
-        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
-    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
-
-
-def classes(ids, fps, radius=4, alike=lambda i, j: True):
+def classes(ids, fps, radius=4):
     root = list(range(len(ids)))
 
     def find(i):
@@ -142,7 +134,7 @@ def classes(ids, fps, radius=4, alike=lambda i, j: True):
 
     for i in range(len(ids)):
         for j in range(i):
-            if fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= radius and alike(i, j):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     least = {}
@@ -157,9 +149,19 @@ def test_simhash(docs, odd, empty):
         rows = df.select("doc_id", "text").collect()
         fps = [fingerprint(r["text"]) for r in rows]
         want = sorted(zip([r["doc_id"] for r in rows], fps, classes([r["doc_id"] for r in rows], fps), strict=True), key=repr)
-        found = simhash.near_duplicates(df, radius=4, width=4).collect()
+        found = simhash.near_fingerprints(df, radius=4, width=4).collect()
         assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in found), key=repr) == want
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_fingerprints(empty).count() == 0
+
+
+def test_hashes_of_many_pieces():
+    draw = np.random.default_rng(3)
+    data = draw.integers(0, 256, 9000).astype(np.uint8)
+    n = np.concatenate([np.arange(1200), draw.integers(0, 70, 9000)])
+    starts = draw.integers(0, len(data) - 1200, len(n))
+    want = [xxhash.xxh64_intdigest(data[a : a + k].tobytes(), 42) for a, k in zip(starts, n, strict=True)]
+    assert W.xxh64(data, starts, starts + n).tolist() == want
+    assert len(W.xxh64(data[:0], n[:0], n[:0])) == 0
 
 
 @pytest.mark.parametrize(("rows", "radius", "blocks"), [(8192, 4, None), (50, 4, None), (64, 4, 6), (60, 9, 11)])
@@ -182,12 +184,6 @@ def test_near_links_lose_none(spark, monkeypatch, rows, radius, blocks):
     assert groups([by.get(f, ("alone", f)) for f in fps]) == groups(want)
 
 
-def test_one_of_each_stays(odd):
-    stay = simhash.first_of_each(odd)
-    assert stay.columns == odd.columns
-    assert sorted(r["doc_id"] for r in stay.where("doc_id is not null").collect()) == [1, 2, 4, 5, 7]
-
-
 def test_sharding_law(spark, docs, odd, empty):
     records = docs.select("doc_id", sharding.sizes(F.col("text")).alias("size"))
     found = sharding.two_pass_shuffle(records, 16, bucket_bytes=3000)
