@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, sharding, simhash, toxicity
+from quarry.llm import decontamination, mixing, near_texts, sharding, toxicity
 from quarry.llm.queries import mix_targets
 from quarry.llm.shared import keep
 
@@ -25,7 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
-    return simhash.first_of_each(docs)
+    return near_texts.first_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
