@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*kept: DataFrame) -> None:
+    """Free the space of tables that ``keep`` has written and no later step reads: each is overwritten without rows."""
+    for path in {unquote(f.rsplit("/", 1)[0]) for df in kept for f in df.inputFiles()}:
+        kept[0].sparkSession.range(0).write.mode("overwrite").parquet(path)
