@@ -15,7 +15,7 @@ more than ``SMALL`` texts wait for the second round, when most of them are one c
 of more than ``TABLE_ROWS`` are cut in parts, and every pair of parts is a task of its own.
 
 Before two texts are fetched, their bitmaps (about a bit for each shingle) rule out those that differ in more shingles
-than the similarity allows, which never rules out a true pair.
+than the similarity allows, which never rules out a true pair; from the second round on, within the groups.
 
 Defined results: texts without words are one text; rows that repeat a doc_id are returned one by one, and a doc_id with
 several texts is in the class of each; a null doc_id has a class like any other but names none. Equal texts are told by
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quarry.llm import simhash
 from quarry.llm import words as W
 from quarry.llm.graph import components
-from quarry.llm.shared import fresh, keep
+from quarry.llm.shared import discard, fresh, keep
 
 #: Bits within which pivot tables link fingerprints.
 RADIUS = 4
@@ -140,11 +140,45 @@ def _send(width: int, similarity: float, bundles: int, shared):
     return send
 
 
-def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: int, apart=None, known=None):
+class _Bitmaps:
+    """Bitmaps of many sets, by their length and by half of it, so that sets of nearly one size compare at one length."""
+
+    def __init__(self, sketches: list[bytes], similarity: float):
+        self.share = (1 - similarity) / (1 + similarity)
+        self.length = np.array([len(s) // 8 for s in sketches], np.int64)
+        self.at = np.zeros(len(sketches), np.int64)
+        self.half_at = np.zeros(len(sketches), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == n)
+            whole = np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(len(own), n)
+            for length, at, rows in ((n, self.at, whole), (n // 2, self.half_at, whole[:, : n // 2] ^ whole[:, n // 2 :])):
+                held = self.rows.get(length)
+                at[own] = np.arange(len(own)) + (0 if held is None else len(held))
+                self.rows[length] = rows if held is None else np.concatenate([held, rows])
+
+    def allow(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """False for pairs of sets whose bitmaps differ in more bits than their sizes and the similarity allow."""
+        out = np.ones(len(a), bool)  # lengths more than one step apart aren't compared
+        length = np.minimum(self.length[a], self.length[b])
+        near = np.maximum(self.length[a], self.length[b]) <= 2 * length
+        for n in np.unique(length[near]).tolist():
+            held = np.flatnonzero(near & (length == n))
+            step = max(1, (1 << 21) // n)
+            for low in range(0, len(held), step):
+                some = held[low : low + step]
+                x, y = (self.rows[n][np.where(self.length[i[some]] == n, self.at[i[some]], self.half_at[i[some]])] for i in (a, b))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                out[some] = differ <= self.share * (size[a[some]] + size[b[some]]) + 1e-6
+        return out
+
+
+def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: int, apart=None, known=None, bitmaps=None):
     """Pairs (a, b) that some groups offer, and whether each row's group has more to offer or was too large.
 
     Rows are sorted by shingle, then size. ``apart`` (two arrays: class and part, or None) leaves out pairs of one class
-    and, for parts, of one part; ``known`` holds codes of pairs, by places in the sorted distinct nodes, that are unlike.
+    and, for parts, of one part; ``known`` holds codes of pairs, by places in the sorted distinct nodes, that are unlike;
+    ``bitmaps`` rules out pairs that can't be alike.
     """
     group = np.cumsum(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)]) - 1
     held = np.bincount(group, minlength=1)[group] if len(group) else group
@@ -175,6 +209,9 @@ def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: i
             x, y = places[a], places[b]
             new = ~np.isin(np.minimum(x, y) * len(node) + np.maximum(x, y), known)
             a, b = a[new], b[new]
+        if bitmaps is not None and len(a):
+            may = bitmaps.allow(a, b, size)
+            a, b = a[may], b[may]
         if not len(a):
             continue
         differ = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64))
@@ -226,19 +263,20 @@ def _later_meeting(similarity: float, times: int):
         columns = [rows.column(c).to_numpy() for c in ("shingle", "node", "fp", "size", "pos", "class", "part")]
         order = np.lexsort((columns[1], columns[3], columns[0]))
         columns = [c[order] for c in columns]
+        bitmaps = _Bitmaps(rows.column("sketch").take(pa.array(order)).to_pylist(), similarity)
         nodes = np.unique(columns[1])
         x, y = (np.searchsorted(nodes, unlike.column(c).to_numpy()) for c in ("a", "b"))
         inside = (x < len(nodes)) & (y < len(nodes))
         known = np.unique((np.minimum(x, y) * len(order) + np.maximum(x, y))[inside])
         across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        pairs, _ = _offers(*columns[:5], similarity, len(order), times, (columns[5], columns[6] if across else None), known)
+        pairs, _ = _offers(*columns[:5], similarity, len(order), times, (columns[5], columns[6] if across else None), known, bitmaps)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return meet
 
 
 def _later_offers(alive: DataFrame, unlike: DataFrame, similarity: float, times: int) -> DataFrame:
-    """New pairs (a, b) of the groups in ``alive`` (shingle, node, fp, size, pos, class)."""
+    """New pairs (a, b) of the groups in ``alive`` (shingle, node, fp, size, pos, sketch, class)."""
     of = alive.select("shingle", F.col("node").alias("a"))
     of_b = alive.select("shingle", F.col("node").alias("b"))
     known = unlike.join(of, "a").join(of_b, ["shingle", "b"]).select("shingle", "a", "b")
@@ -251,9 +289,9 @@ def _later_offers(alive: DataFrame, unlike: DataFrame, similarity: float, times:
     bundle = F.pmod(F.xxhash64("shingle"), F.lit(total)).alias("bundle")
     none = F.lit(None).cast("long")
     zero = [F.lit(0).alias(c) for c in ("part", "low", "high")]
-    shape = ("bundle", "low", "high", "shingle", "node", "fp", "size", "pos", "class", "part", "a", "b")
+    shape = ("bundle", "low", "high", "shingle", "node", "fp", "size", "pos", "sketch", "class", "part", "a", "b")
     cold_rows = alive.join(cold, "shingle", "left_semi").select("*", bundle, none.alias("a"), none.alias("b"), *zero)
-    empty = [none.alias(c) for c in ("node", "fp", "size", "pos", "class")]
+    empty = [none.alias(c) for c in ("node", "fp", "size", "pos", "class")] + [F.lit(None).cast("binary").alias("sketch")]
     met = cold_rows.select(*shape).unionByName(known.join(cold, "shingle", "left_semi").select("shingle", "a", "b", bundle, *empty, *zero).select(*shape))
     found = met.groupBy("bundle", "low", "high").applyInArrow(_later_meeting(similarity, times), "a long, b long")
     if not hot.isEmpty():
@@ -354,22 +392,26 @@ def text_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tu
     few = involved.count() <= BROADCAST_NODES
     texts = source.select("node", "text").join(F.broadcast(involved) if few else involved, "node", "left_semi")
     texts = keep(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
+    pairs = screen.where("may").select("a", "b")
     links, unlike, times = [], [], 1
     while True:
-        verdict = keep(verified(screen.where("may").select("a", "b"), texts, width, similarity), "verified")
+        verdict = keep(verified(pairs, texts, width, similarity), "verified")
         links.append(verdict.where("ok").select("a", "b"))
-        unlike += [verdict.where("not ok").select("a", "b"), screen.where("not may").select("a", "b")]
+        unlike.append(verdict.where("not ok").select("a", "b"))
         classes = keep(components(_union(links), "components"), "classes")
-        times *= 4
         alive = waiting.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         several = alive.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("shingle")
-        waiting = keep(alive.join(several, "shingle", "left_semi"), "waiting")
-        if waiting.isEmpty():
-            return rows, classes
-        offers = _later_offers(waiting, _union(unlike), similarity, times)
-        waiting = waiting.drop("class")
-        screen = keep(screened(offers, nodes, similarity), "screened")
-        if screen.isEmpty():
+        alive = alive.join(several, "shingle", "left_semi")
+        if times == 1:  # from here on groups rule out pairs by bitmaps themselves
+            alive = alive.join(nodes.select("node", "sketch"), "node")
+        alive = keep(alive, "waiting")
+        discard(*([] if times == 1 else [waiting, pairs]))
+        times *= 4
+        waiting = alive.drop("class")
+        if not alive.isEmpty():
+            pairs = keep(_later_offers(alive, _union(unlike), similarity, times), "offers")
+        if alive.isEmpty() or pairs.isEmpty():
+            discard(texts, screen, involved, alive)
             return rows, classes
 
 

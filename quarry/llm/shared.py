@@ -7,9 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.sources.folders import keep, shared_folder
+from quarry.sources.folders import discard, keep, shared_folder
 
-__all__ = ["fresh", "held_out", "keep", "shared_folder"]
+__all__ = ["discard", "fresh", "held_out", "keep", "shared_folder"]
 
 
 def held_out(doc_id: Column) -> Column:
