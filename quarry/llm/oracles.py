@@ -53,7 +53,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
-def mixing(targets: Mapping[str, Mapping[str, float]], fraction: float, rounds: int, steps: int = 6, seed: int = 8) -> str:
+def mixing(targets: Mapping[str, Mapping[str, float]], fraction: float, rounds: int = 64, seed: int = 8) -> str:
     """Raking and rates as a chain of steps over the cells."""
     names = list(targets)
     parts = [
@@ -72,10 +72,10 @@ def mixing(targets: Mapping[str, Mapping[str, float]], fraction: float, rounds:
         for name in names:
             parts.append(f"w{last + 1} AS MATERIALIZED (SELECT w.* EXCLUDE (weight), weight * goal / sum(weight) OVER (PARTITION BY w.{name}) AS weight FROM w{last} w JOIN g_{name} g ON g.value IS NOT DISTINCT FROM w.{name})")
             last += 1
-    parts.append(f"s0 AS (SELECT *, least(1.0, {fraction} * weight * sum(tokens) OVER () / tokens) AS rate FROM w{last})")
-    for k in range(steps):
-        more = "CASE WHEN sum(CASE WHEN rate < 1 THEN tokens * rate ELSE 0 END) OVER () > 0 THEN ({f} * sum(tokens) OVER () - sum(CASE WHEN rate >= 1 THEN tokens ELSE 0 END) OVER ()) / sum(CASE WHEN rate < 1 THEN tokens * rate ELSE 0 END) OVER () ELSE 1 END".format(f=fraction)
-        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (rate), CASE WHEN rate >= 1 THEN 1.0 ELSE least(1.0, rate * greatest({more}, 0)) END AS rate FROM s{k})")
+    parts.append(f"s0 AS (SELECT *, weight / tokens AS ratio, row_number() OVER (ORDER BY weight / tokens DESC, tokens DESC) AS nth FROM w{last})")
+    parts.append(f"s1 AS (SELECT *, {fraction} * sum(tokens) OVER () - sum(tokens) OVER (ORDER BY nth) + tokens AS give, sum(weight) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS over FROM s0)")
+    parts.append("l AS (SELECT arg_min(give / over, nth) AS level FROM s1 WHERE over > 0 AND give / over * ratio <= 1)")
+    parts.append("s2 AS (SELECT s1.*, coalesce(least(1.0, greatest(0.0, level * ratio)), 1.0) AS rate FROM s1 CROSS JOIN l)")
     same = " AND ".join(f"r.{n} IS NOT DISTINCT FROM s.{n}" for n in names)
     draw = f"CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}"
-    return f"WITH {', '.join(parts)} SELECT r.doc_id, {', '.join('r.' + n for n in names)}, r.tokens, round(rate, 6) AS rate, {draw} < rate AS chosen FROM r JOIN s{steps} s ON {same}"
+    return f"WITH {', '.join(parts)} SELECT r.doc_id, {', '.join('r.' + n for n in names)}, r.tokens, round(rate, 6) AS rate, {draw} < rate AS chosen FROM r JOIN s2 s ON {same}"

@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.llm.shared import held_out
 
 #: Texts of each label that are learned from, at most, and preference pairs drawn from them.
 EXAMPLES, PAIRS = 6000, 120_000
@@ -152,11 +153,6 @@ def rank(good: np.ndarray, bad: np.ndarray, share_bad: float, pairs: int = PAIRS
     return model
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows of which no label is learned: crc32 of the doc_id as text is divisible by 5."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Ranking | float:
     """A ranking learned from the labelled rows that aren't held out; the share of label 1 where one label is missing."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))

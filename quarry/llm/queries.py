@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, mixing, neighbours, oracles, quality, revisits, secret_scan, sharding, simhash, substring_dedup, toxicity
+from quarry.llm.shared import keep
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +66,9 @@ def mix_targets(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(_table(spark, sf_dir, "documents"), mix_targets(spark), MIX_FRACTION)
+    targets = mix_targets(spark)
+    rows = mixing.described(_table(spark, sf_dir, "documents"), targets).select("doc_id", *targets, "tokens")
+    found = mixing.decided(keep(rows, "tokens"), targets, MIX_FRACTION)
     return found.select("doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), "chosen")
 
 
@@ -86,6 +89,6 @@ QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_
 ORACLES: dict[str, str] = {
     "op2_revisits": oracles.REVISITS,
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
-    "op8_mixing": oracles.mixing(MIX, MIX_FRACTION, mixing.ROUNDS),
+    "op8_mixing": oracles.mixing(MIX, MIX_FRACTION),
     "op10_decontamination": oracles.DECONTAMINATION,
 }

@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words (letters, digits and characters beyond ASCII, A-Z in lower case) and the first 4, 5 and 6 bytes of
-longer words, so that inflected forms of one stem meet. The vocabulary holds terms that tell the labels of the examples
-apart (log-likelihood ratio); document frequencies are counted over all documents. Examples are a bounded, stratified
-sample of the labelled training rows (``EXAMPLES`` of each label, by a hash of doc_id) without near copies: of texts that
-share the smallest hash of their four-word runs one stays, else each word of an often copied text would look telling.
+Terms are words (letters, digits and characters beyond ASCII, A-Z in lower case) and the first 5 and 7 bytes of
+longer words, so that inflected forms of one stem meet. The vocabulary is every term of the examples, without a cut.
+A term weighs (1 + log tf) * idf * g: document frequencies are counted over all documents, and g, which takes the place
+of a cut, is how strongly the term tells the examples' labels apart (log-likelihood ratio), so that words which say
+nothing weigh next to nothing. Examples are a bounded, stratified sample of the labelled training rows (``EXAMPLES`` of
+each label, by a hash of doc_id) without near copies, else each word of an often copied text would look telling: of two
+texts of one label that share the smallest hash of their four-word runs and 0.8 of all of those, one stays.
 
 The index stores each term's postings by block of ``BLOCK`` examples, with the largest weight of each block. A document
 adds up the block maxima of its terms, takes the blocks in falling order of that bound and scores them exactly, until no
@@ -26,91 +28,118 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.shared import keep
+from quarry.llm.shared import held_out, keep
 
 #: Examples of each label, at most.
 EXAMPLES = 2000
-#: Terms of the vocabulary, at most; the strongest stay.
-TERMS = 4096
-#: Least log-likelihood ratio of a term, and least number of examples that hold it.
-LEAST_RATIO, LEAST_EXAMPLES = 20.0, 4
 #: Examples of a block, and blocks that a document scores before it looks at its bounds again.
 BLOCK, AT_ONCE = 64, 3
 NEIGHBOURS = 15
-PREFIXES = (4, 5, 6)
+PREFIXES = (5, 7)
 _SCORED = "doc_id long, score double, neighbours array<struct<doc_id: long, toxic: int, cosine: double>>"
 _NEIGHBOUR = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
 
 
-def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and count of every distinct term of each text, by row; with a (sorted) vocabulary, its indices."""
+class Vocabulary:
+    """Term hashes, sorted, with the place of the first one of each run of leading bits."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.bits = min(22, max(1, len(terms).bit_length() + 1))
+        self.first = np.searchsorted(terms >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        self.longest = int(np.diff(self.first).max())
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The index of each term, -1 if it isn't held."""
+        out = np.full(len(terms), -1, np.int64)
+        run = (terms >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, left = self.first[run], np.arange(len(terms))
+        n = self.first[run + 1] - at
+        for k in range(self.longest):
+            inside = n > k
+            if not inside.all():
+                at, n, left = at[inside], n[inside], left[inside]
+            same = self.terms[at + k] == terms[left]
+            out[left[same]] = at[same] + k
+        return out
+
+
+def term_counts(column: pa.Array, vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count of every distinct term of each text, by row; with a vocabulary, the terms' places in it."""
     data, at = W.text_bytes(column)
     data = W.lower_table()[data]
     starts, ends, first_word = W.bounds(data, at, W.alphanumeric_table())
-    terms = W.hashes(data, starts, ends, PREFIXES).T  # a row for each word
-    row = np.repeat(np.arange(len(at) - 1), np.diff(first_word))
-    row = np.repeat(row, 1 + len(PREFIXES))
-    terms = terms.ravel()
+    terms = W.hashes(data, starts, ends, PREFIXES).T.ravel()  # those of a word side by side
+    row = np.repeat(np.repeat(np.arange(len(at) - 1), np.diff(first_word)), 1 + len(PREFIXES))
+    held = np.flatnonzero(terms)
     if vocabulary is None:
-        held = np.flatnonzero(terms)
-        code, vocabulary = np.unique(terms[held], return_inverse=True)[::-1]
+        distinct, code = np.unique(terms[held], return_inverse=True)
     else:
-        code = np.searchsorted(vocabulary, terms)
-        code[code == len(vocabulary)] = 0
-        held = np.flatnonzero(vocabulary[code] == terms) if len(vocabulary) else np.zeros(0, np.int64)
-        code = code[held]
-    pairs, counts = np.unique(row[held] * max(1, len(vocabulary)) + code, return_counts=True)
-    return pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary)) if len(vocabulary) else pairs, counts
+        distinct, code = vocabulary.terms, vocabulary.places(terms[held])
+        held, code = held[code >= 0], code[code >= 0]
+    base = max(1, len(distinct))
+    pairs, counts = np.unique(row[held] * base + code, return_counts=True)
+    row, code = pairs // base, pairs % base
+    return row, (distinct[code].view(np.int64) if vocabulary is None else code), counts
 
 
-def _ratio(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
-    """Log-likelihood ratio of a term's presence against the label."""
+def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """How strongly the presence of terms tells labels apart: log-likelihood ratios from the examples that hold them."""
 
-    def part(k: Column, n: int, p: Column) -> Column:
-        return F.when(k > 0, k * F.log(k / n / p)).otherwise(0) + F.when(k < n, (n - k) * F.log((n - k) / n / (1 - p))).otherwise(0)
+    def part(k: np.ndarray, n: int) -> np.ndarray:
+        share = np.where(k > 0, k * np.log(np.maximum(k, 1) / n / p), 0.0)
+        return share + np.where(k < n, (n - k) * np.log(np.maximum(n - k, 1) / n / np.maximum(1 - p, 1e-300)), 0.0)
 
     p = (pos + neg) / (n_pos + n_neg)
-    return 2 * (part(pos, n_pos, p) + part(neg, n_neg, p))
+    return np.maximum(2 * (part(pos, n_pos) + part(neg, n_neg)), 0)
 
 
 @dataclass
 class Index:
-    """Examples by blocks. Postings are in order of (term, block); ``at`` has the bounds of each of those pairs."""
+    """Examples by blocks. Postings are in order of (term, block), a cell; ``cells`` has the bounds of each term's cells
+    and ``at`` those of each cell's postings; a cell has its block and the largest weight of its postings."""
 
-    vocabulary: np.ndarray
-    idf: np.ndarray
+    vocabulary: Vocabulary
+    term_weight: np.ndarray
     ids: np.ndarray
     label: np.ndarray
     weight: np.ndarray  # of each example's vote
     prior: float
+    cells: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
     at: np.ndarray
     example: np.ndarray
     value: np.ndarray
-    most: np.ndarray  # by term and block
     curve: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def build(cls, vocabulary, idf, ids, label, weight, prior, row, code, counts) -> Index:
-        value = (1 + np.log(counts)) * idf[code]
+    def build(cls, vocabulary, term_weight, ids, label, weight, prior, row, code, counts) -> Index:
+        value = (1 + np.log(counts)) * term_weight[code]
         norm = np.sqrt(np.bincount(row, value * value, len(ids)))
-        value = value / norm[row]
+        value = value / np.maximum(norm, 1e-12)[row]
         blocks = -(-len(ids) // BLOCK)
         cell = code * blocks + row // BLOCK
         order = np.lexsort((row, cell))
-        cell, row, value = cell[order], row[order], value[order]
-        most = np.zeros(len(vocabulary) * blocks)
-        np.maximum.at(most, cell, value)
-        at = np.searchsorted(cell, np.arange(len(most) + 1))
-        return cls(vocabulary, idf, ids, label, weight, prior, at, row, value, most.reshape(len(vocabulary), blocks))
+        cell, row, value = cell[order], row[order].astype(np.int32), value[order]
+        heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+        most = np.maximum.reduceat(value, heads) if len(heads) else np.zeros(0)
+        cells = np.searchsorted(cell[heads] // blocks, np.arange(len(term_weight) + 1))
+        return cls(vocabulary, term_weight, ids, label, weight, prior, cells, (cell[heads] % blocks).astype(np.int32), most, np.append(heads, len(cell)), row, value)
 
     def nearest(self, code: np.ndarray, value: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (over zero), ties to the earlier example, and their cosines."""
-        bound = value @ self.most[code]
-        blocks = bound.shape[0]
+        n = self.cells[code + 1] - self.cells[code]
+        cells, by = W.ranges(self.cells[code], n), np.repeat(value, n)
+        blocks = -(-len(self.ids) // BLOCK)
+        bound = np.bincount(self.block[cells], self.most[cells] * by, blocks)
         order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, AT_ONCE
@@ -118,19 +147,18 @@ class Index:
             # a few blocks at first, then all at once that still reach the k-th best
             least = cosine[-1] - 1e-9 if len(best) == k else 0.0
             reach = done + int((bound[order[done:]] >= least).sum())
-            chosen = np.sort(order[done : min(done + step, reach)])
+            chosen = order[done : min(done + step, reach)]
             if not len(chosen):
                 break
-            cells = (code[:, None] * blocks + chosen).ravel()
-            n = self.at[cells + 1] - self.at[cells]
-            postings = W.ranges(self.at[cells], n)
-            place = np.repeat(np.tile(np.arange(len(chosen)) * BLOCK, len(code)), n) + self.example[postings] % BLOCK
-            exact = np.bincount(place, self.value[postings] * np.repeat(np.repeat(value, len(chosen)), n), len(chosen) * BLOCK)
+            now = np.zeros(blocks, bool)
+            now[chosen] = True
+            held = np.flatnonzero(now[self.block[cells]])
+            n = self.at[cells[held] + 1] - self.at[cells[held]]
+            postings = W.ranges(self.at[cells[held]], n)
+            exact = np.bincount(self.example[postings], self.value[postings] * np.repeat(by[held], n), len(self.ids))
             found = np.flatnonzero(exact > 0)
-            score = exact[found]
-            found = chosen[found // BLOCK] * BLOCK + found % BLOCK
-            other = found != but
-            best, cosine = np.concatenate((best, found[other])), np.concatenate((cosine, score[other]))
+            found = found[found != but]
+            best, cosine = np.concatenate((best, found)), np.concatenate((cosine, exact[found]))
             if len(best) >= k:  # the last is the k-th best
                 stay = np.lexsort((best, -cosine))[:k]
                 best, cosine = best[stay], cosine[stay]
@@ -160,26 +188,25 @@ class Index:
         self.curve = (max(0.05, float(theta[0])), float(theta[1]))
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows of which no label is learned: crc32 of the doc_id as text is divisible by 5."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def _distinct(sample: DataFrame) -> DataFrame:
-    """The sample without near copies: one for each label and smallest hash of four words in a row."""
+    """The sample without near copies: of texts of one label that share the smallest hash of four words in a row, those
+    that also have a Jaccard similarity of 0.8 or more to the one of the smallest doc_id go."""
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slabs(batches, "text"):
             data, at = W.text_bytes(batch.column(2))
             starts, ends, first_word = W.bounds(data, at, W.whitespace_table())
             grams = W.gram_hashes(W.hashes(data, starts, ends), 4).view(np.int64)
-            n = np.diff(first_word)
-            found = [int(grams[a : a + k - 3].min()) if k > 3 else None for a, k in zip(first_word[:-1], n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "label", "least"])
+            n = np.maximum(np.diff(first_word) - 3, 0)
+            sets = [np.unique(grams[a : a + k]) for a, k in zip(first_word[:-1], n, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "label", "grams"])
 
-    heads = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(least, "doc_id long, label int, least long")
-    first = heads.groupBy("label", F.coalesce("least", "doc_id").alias("least"), F.col("least").isNull().alias("short")).agg(F.min("doc_id").alias("doc_id"))
-    return keep(sample.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi"), "distinct-examples")  # as few rows as the sample
+    described = keep(sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(runs, "doc_id long, label int, grams array<long>").where(F.size("grams") > 0), "example-runs")
+    first = described.groupBy("label", F.element_at("grams", 1).alias("least")).agg(F.min_by("grams", "doc_id").alias("first"), F.min("doc_id").alias("first_id"))
+    met = described.withColumn("least", F.element_at("grams", 1)).join(first, ["label", "least"]).where("doc_id <> first_id")
+    both = F.size(F.array_intersect("grams", "first"))
+    copies = met.where(both >= 0.8 * (F.size("grams") + F.size("first") - both)).select("doc_id")
+    return keep(sample.join(F.broadcast(copies), "doc_id", "left_anti"), "distinct-examples")  # as few rows as the sample
 
 
 def _examples(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
@@ -201,66 +228,50 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     of_label = {int(y): c for y, c in sample.groupBy("label").count().collect()}
     if len(of_label) < 2:
         return share
-    n_pos, n_neg = of_label[1], of_label[0]
-
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slabs(batches, "text", W.SLAB_BYTES // 2):
-            data, at = W.text_bytes(batch.column(1))
-            data = W.lower_table()[data]
-            starts, ends, first_word = W.bounds(data, at, W.alphanumeric_table())
-            terms = W.hashes(data, starts, ends, PREFIXES).T.ravel()
-            row = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(first_word)), 1 + len(PREFIXES))
-            order = np.lexsort((row, terms))
-            terms, row = terms[order], row[order]
-            new = np.append(True, (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])) if len(terms) else np.zeros(0, bool)
-            terms, toxic = terms[new], batch.column(0).to_numpy()[row[new]]
-            heads = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
-            pos = np.add.reduceat(toxic, heads) if len(heads) else heads
-            total = np.diff(np.append(heads, len(terms)))
-            keep = terms[heads] != 0
-            yield pa.RecordBatch.from_arrays([pa.array(terms[heads][keep].view(np.int64)), pa.array(pos[keep].astype(np.int64)), pa.array((total - pos)[keep].astype(np.int64))], names=["term", "pos", "neg"])
-
-    counted = sample.select(F.col("label").cast("int"), "text").mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    strong = counted.where(F.col("pos") + F.col("neg") >= LEAST_EXAMPLES).withColumn("ratio", _ratio(F.col("pos"), F.col("neg"), n_pos, n_neg)).where(F.col("ratio") >= LEAST_RATIO)
-    terms = strong.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").toArrow().column(0).to_numpy()
-    vocabulary = np.sort(terms.view(np.uint64))
-    if not len(vocabulary):
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slabs(batches, "text"):
+            row, term, tf = term_counts(batch.column(2))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (term, tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "terms", "counts"])
+
+    terms_of = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(described, "doc_id long, label int, terms array<long>, counts array<long>")
+    rows = keep(terms_of, "example-terms").orderBy("doc_id").toArrow().combine_chunks()  # 2 * per_label rows at most, without their texts
+    label = rows.column("label").to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(label)), np.asarray(pa.compute.list_value_length(rows.column("terms"))))
+    terms, tf = (np.asarray(pa.compute.list_flatten(rows.column(c))) for c in ("terms", "counts"))
+    distinct, code = np.unique(terms.view(np.uint64), return_inverse=True)
+    if not len(distinct):
         return share
+    vocabulary = Vocabulary(distinct)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the terms of 2 * per_label texts
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size = np.zeros(len(vocabulary), np.int64), 0
+        held = shared.value
+        total, size = np.zeros(len(held), np.int64), 0
         for batch in W.slabs(batches, "text"):
-            _, code, _ = term_counts(batch.column(0), vocabulary)
-            total += np.bincount(code, minlength=len(vocabulary))
+            total += np.bincount(term_counts(batch.column(0), held)[1], minlength=len(held))
             size += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(total), -1)), pa.array(np.append(total[total > 0], size))], names=["code", "n"])
 
-    counts = dict(docs.select("text").mapInArrow(frequency, "code long, n long").groupBy("code").agg(F.sum("n")).collect())  # TERMS + 1 rows at most
-    df = np.array([counts.get(k, 0) for k in range(len(vocabulary))])
-    idf = np.log((1 + counts[-1]) / (1 + df)) + 1
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slabs(batches, "text"):
-            row, code, tf = term_counts(batch.column(2), vocabulary)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (code, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "codes", "counts"])
-
-    terms_of = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(described, "doc_id long, label int, codes array<long>, counts array<long>")
-    rows = terms_of.orderBy("doc_id").toArrow().combine_chunks()  # 2 * per_label rows at most, without their texts
-    label = rows.column("label").to_numpy().astype(np.int64)
+    counts = docs.select("text").mapInArrow(frequency, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the vocabulary
+    at, times = counts.column("code").to_numpy(), counts.column("n").to_numpy()
+    df = np.zeros(len(distinct) + 1, np.int64)
+    df[at] = times  # the last one: all documents
+    n_pos, n_neg = int(label.sum()), int((1 - label).sum())
+    pos, neg = (np.bincount(code[label[row] == y], minlength=len(distinct)) for y in (1, 0))
+    weight_of = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * likelihood_ratio(pos, neg, n_pos, n_neg)
     weight = np.where(label == 1, n[1] / n_pos, n[0] / n_neg)
-    row = np.repeat(np.arange(len(label)), np.asarray(pa.compute.list_value_length(rows.column("codes"))))
-    code, tf = (np.asarray(pa.compute.list_flatten(rows.column(c))) for c in ("codes", "counts"))
     # examples in the order of their strongest terms
     strongest = np.full(len(label), -1)
-    by_weight = np.argsort((1 + np.log(tf)) * idf[code], kind="stable")
+    by_weight = np.argsort((1 + np.log(tf)) * weight_of[code], kind="stable")
     strongest[row[by_weight]] = code[by_weight]
     rank = np.argsort(np.lexsort((label, strongest)))
     rows, label, weight = (x.take(np.argsort(rank)) for x in (rows, label, weight))
     order = np.argsort(rank[row], kind="stable")
     row, code, tf = rank[row][order], code[order], tf[order]
-    index = Index.build(vocabulary, idf, rows.column("doc_id").to_numpy(), label, weight / weight.mean(), share, row, code, tf)
+    index = Index.build(vocabulary, weight_of, rows.column("doc_id").to_numpy(), label, weight / weight.mean(), share, row, code, tf)
     votes = [index.vote(*index.nearest(c, v, NEIGHBOURS, i)) for i, c, v in _vectors(index, len(label), row, code, tf)]
     index.calibrate(np.array(votes))
     return index
@@ -268,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
 
 def _vectors(index: Index, n: int, row, code, tf) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each row's terms and unit weights."""
-    value = (1 + np.log(tf)) * index.idf[code]
+    value = (1 + np.log(tf)) * index.term_weight[code]
     edges = np.searchsorted(row, np.arange(n + 1))
     for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         yield i, code[a:b], value[a:b] / max(1e-12, float(np.sqrt(value[a:b] @ value[a:b])))
@@ -284,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, per_
     if not isinstance(index, Index):
         none = F.array().cast("array<struct<doc_id: long, toxic: int, cosine: double>>")
         return rows.select("doc_id", F.lit(float(index)).alias("score"), none.alias("neighbours"))
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_label and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # the postings of 2 * per_label texts
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -305,7 +316,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     index = fit(docs, labels)
     if not isinstance(index, Index):
         return docs if index < threshold else docs.where("text is null or text = ''")
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # the postings of 2 * EXAMPLES texts
     text = docs.columns.index("text")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
