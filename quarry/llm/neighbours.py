@@ -7,19 +7,23 @@ Every row of the table is stored under its most probable part; a query goes to i
 all their vectors are reranked by exact Euclidean distance in double precision. ``probes`` is the smallest number that
 finds ``RECALL`` of the true neighbours of sample queries within the sample.
 
-A part of more than ``PART_ROWS`` vectors is cut into chunks that are searched on their own, so that a part which holds
-most rows (one vector repeated) spreads over the cluster. Each chunk returns its k nearest, and the k best of all stay.
+The number of parts follows the table (about ``MEAN_ROWS`` vectors each), as far as the sample can teach them apart. A part
+of more than ``PART_ROWS`` vectors is cut into chunks that are searched on their own, so that a part which holds most
+rows (one vector repeated) spreads over the cluster; queries are dealt to blocks of about ``QUERY_ROWS``, so that a task
+compares one block with one chunk. Each returns its k nearest, and the k best of all stay.
 
 Defined results: null vectors, zero vectors, vectors with a null or non-finite component, vectors of another length
-than the most common one (ties: the longer) and rows with a null id take no part, neither as queries nor as candidates.
-A query's candidates are all rows with another id; rows that repeat an id are candidates one by one. Fewer candidates
-than k: all. Other columns are ignored.
+than the most common one (ties: the longer), which have no distance to the others, and rows with a null id, which can't
+be named, take no part, neither as queries nor as candidates. Rows are told apart by their place, not by their id: rows
+that repeat an id are queries and candidates one by one, and a query's candidates are all rows but itself. Fewer
+candidates than k: all. Ties go to the smaller id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import keep
 
-#: Vectors of the sample from which parts are learned, and rows of a part searched in one task.
-SAMPLE, PART_ROWS = 8192, 16384
+#: Vectors of the sample from which parts are learned, and fewest of them that teach a part.
+SAMPLE, TAUGHT = 8192, 64
+#: Rows of a part on average, rows of it searched in one task, and queries of a task.
+MEAN_ROWS, PART_ROWS, QUERY_ROWS = 2048, 16384, 4096
 RECALL = 0.95
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_row long, query_id long, vec_id long, score double"
+_ROUTED = "row long, vec_id long, vector array<double>, part int"
 
 
 def usable(vector: Column) -> Column:
@@ -40,9 +47,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+def vectors(table: DataFrame, id_col: str, vector_col: str, asked: Column) -> DataFrame:
+    """row (a number of its own), vec_id, vector (doubles) and asked of the rows that take part; in the shared folder."""
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows if length is None else rows.where(F.size("vector") == length[0])
 
@@ -143,11 +152,13 @@ def train_router(x: np.ndarray, goal: np.ndarray, hidden: int = 128, epochs: int
     return Router(mean, scale, *theta)
 
 
-def fit(table: DataFrame, parts: int = 32, k: int = 10, sample: int = SAMPLE, recall: float = RECALL) -> Router | None:
-    """Learn parts from a bounded sample of ``table`` (vec_id, vector); None where there is too little to divide."""
-    rows = table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+def fit(table: DataFrame, parts: int | None = None, k: int = 10, sample: int = SAMPLE, recall: float = RECALL) -> Router | None:
+    """Learn parts from a bounded sample of ``table`` (row, vec_id, vector); None where there is too little to divide."""
+    if parts is None:
+        parts = 1 << max(3, (table.count() // MEAN_ROWS).bit_length())
+    rows = table.select("row", "vec_id", "vector").orderBy(F.xxhash64("vec_id", "row"), "vec_id", "row").limit(sample).toArrow()
     x = _matrix(rows.column("vector"), rows.num_rows) if rows.num_rows else np.zeros((0, 1))
-    while parts > 1 and len(x) < 64 * parts:
+    while parts > 1 and len(x) < TAUGHT * parts:
         parts //= 2
     if parts < 2:
         return None
@@ -170,7 +181,7 @@ def fit(table: DataFrame, parts: int = 32, k: int = 10, sample: int = SAMPLE, re
 
 
 def _route(router: Router | None, probes: int):
-    """vec_id and vector with each of the ``probes`` most probable parts."""
+    """row, vec_id and vector with each of the ``probes`` most probable parts."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,57 +192,59 @@ def _route(router: Router | None, probes: int):
                 part, times = np.zeros((n, 1), np.int64), 1
             else:
                 times = min(probes, len(router.b2))
-                part = np.argsort(-router.odds(_matrix(batch.column(1), n)), axis=1, kind="stable")[:, :times]
+                part = np.argsort(-router.odds(_matrix(batch.column(2), n)), axis=1, kind="stable")[:, :times]
             again = pa.array(np.repeat(np.arange(n), times))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(part.ravel().astype(np.int32))], names=["vec_id", "vector", "part"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(again) for i in range(3)), pa.array(part.ravel().astype(np.int32))], names=["row", "vec_id", "vector", "part"])
 
     return route
 
 
 def _rerank(k: int):
-    """Queries and the vectors of one chunk to the k nearest of each query."""
+    """A block of queries and the vectors of one chunk to the k nearest of each query."""
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
-            return none
-        right = right.sort_by("vec_id")
-        queries, q = left.column("vec_id").to_numpy(), _matrix(left.column("vector"), left.num_rows)
-        ids, x = right.column("vec_id").to_numpy(), _matrix(right.column("vector"), right.num_rows)
+            return pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        own_rows, queries, q = left.column("row").to_numpy(), left.column("vec_id").to_numpy(), _matrix(left.column("vector"), left.num_rows)
+        rows, ids, x = right.column("row").to_numpy(), right.column("vec_id").to_numpy(), _matrix(right.column("vector"), right.num_rows)
         # the quick form of the distance only rules out rows; its error is far below the margin
         squares = (x * x).sum(1)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         for i in range(len(q)):
             own = float(q[i] @ q[i])
             quick = squares - 2 * (x @ q[i]) + own
-            quick[ids == queries[i]] = np.inf
+            quick[rows == own_rows[i]] = np.inf
             near = np.arange(len(x))
             if len(x) > k:
                 most = np.partition(quick, k - 1)[k - 1]
                 near = np.flatnonzero(quick <= most + 1e-9 * (own + np.abs(most) + 1)) if np.isfinite(most) else near
-            near = near[ids[near] != queries[i]]
+            near = near[rows[near] != own_rows[i]]
             score = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
             best = np.lexsort((ids[near], score))[:k]
-            found.append((np.full(len(best), queries[i]), ids[near[best]], score[best]))
-        columns = [np.concatenate([f[j] for f in found]) for j in range(3)]
-        return pa.table(dict(zip(none.column_names, columns, strict=True)))
+            found.append((np.full(len(best), own_rows[i]), np.full(len(best), queries[i]), ids[near[best]], score[best]))
+        columns = [np.concatenate([f[j] for f in found]) for j in range(4)]
+        return pa.table(dict(zip(("query_row", "query_id", "vec_id", "score"), columns, strict=True)))
 
     return rerank
 
 
-def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, parts: int = 32, probes: int | None = None) -> DataFrame:
-    """The k nearest rows of ``table`` to each row of ``queries``: query_id, rank (from 1), vec_id, score, nearest first.
+def nearest(table: DataFrame, asked: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, parts: int | None = None, probes: int | None = None) -> DataFrame:
+    """The k nearest rows of ``table`` to each of its rows for which ``asked`` holds: query_id, rank (from 1), vec_id, score.
 
-    ``probes`` overrides the learned number of parts that a query visits.
+    ``parts`` and ``probes`` override the number of parts, and the learned number of them that a query visits.
     """
-    rows = vectors(table, id_col, vector_col)
+    rows = vectors(table, id_col, vector_col, asked)
     router = fit(rows, parts, k)
-    stored = keep(rows.mapInArrow(_route(router, 1), "vec_id long, vector array<double>, part int"), "parts")
-    asked = vectors(queries, id_col, vector_col).mapInArrow(_route(router, probes or (router.probes if router else 1)), "vec_id long, vector array<double>, part int")
+    stored = keep(rows.select("row", "vec_id", "vector").mapInArrow(_route(router, 1), _ROUTED), "parts")
+    queries = rows.where("asked").select("row", "vec_id", "vector")
+    blocks = max(1, ceil(queries.count() / QUERY_ROWS))
+    asked_at = queries.mapInArrow(_route(router, probes or (router.probes if router else 1)), _ROUTED)
     chunks = F.broadcast(stored.groupBy("part").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("chunks")))  # a row for each part
-    stored = stored.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "vector"), F.col("chunks").cast("long")).cast("int"))
-    asked = asked.join(chunks, "part").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    shape = ("part", "chunk", "vec_id", "vector")
-    found = asked.select(*shape).groupBy("part", "chunk").cogroup(stored.select(*shape).groupBy("part", "chunk")).applyInArrow(_rerank(k), _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    stored = stored.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks").cast("long")).cast("int"))
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked_at = asked_at.join(chunks, "part").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+    asked_at = asked_at.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    key, shape = ("part", "chunk", "block"), ("part", "chunk", "block", "row", "vec_id", "vector")
+    found = asked_at.select(*shape).groupBy(*key).cogroup(stored.select(*shape).groupBy(*key)).applyInArrow(_rerank(k), _FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -30,8 +30,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _table(spark, sf_dir, "embeddings")
-    return neighbours.nearest(table, table.where("vec_id % 100 = 0"))
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
