@@ -7,16 +7,18 @@ from collections.abc import Mapping
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 REVISITS = r"""
-WITH p AS (SELECT page_id, url, md5(html) AS digest, unnest([0, 1, 2, 3]) AS k FROM pages),
+WITH p AS (SELECT page_id, url, md5(html) AS digest, unnest([0, 1, 2, 3, 4]) AS k, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS rest FROM pages),
 f AS (SELECT *, k = 0 OR (k = 3 AND page_id % 4 = 0) AS is_full FROM p),
-s AS (SELECT page_id * 4 + k AS record_id, page_id + k * 7 AS time, CASE WHEN is_full THEN 'response' ELSE 'revisit' END AS kind, is_full, k, page_id,
-    CASE k WHEN 1 THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=mail' WHEN 2 THEN replace(url, 'http://', 'https://') WHEN 3 THEN upper(url) ELSE url END AS spelled,
-    CASE WHEN k IN (0, 1) THEN substr(digest, 1, 12) WHEN is_full THEN 'v2' WHEN k = 2 AND page_id % 5 = 0 THEN 'old' END AS etag,
+s AS (SELECT page_id * 5 + k AS record_id, page_id + k * 7 AS time, CASE WHEN is_full THEN 'response' ELSE 'revisit' END AS kind, is_full, k, page_id,
+    CASE k WHEN 1 THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=mail' WHEN 2 THEN replace(url, 'http://', 'https://') WHEN 3 THEN upper(host) || rest WHEN 4 THEN host || upper(rest) ELSE url END AS spelled,
+    CASE WHEN k IN (0, 1, 4) THEN substr(digest, 1, 12) WHEN is_full THEN 'v2' WHEN k = 2 AND page_id % 5 = 0 THEN 'old' END AS etag,
     CASE WHEN is_full OR k = 2 THEN 'day ' || CAST(page_id % 400 AS VARCHAR) END AS modified,
     CASE WHEN is_full OR k = 3 THEN digest END AS digest FROM f),
-c1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(trim(spelled)), '#.*$', ''), '^[a-z]+://', ''), '^(www\.|m\.)', '') AS u FROM s),
-c2 AS (SELECT *, regexp_replace(regexp_replace(u, '([?&])((utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*&?)+', '\1', 'g'), '[?&]+$', '') AS v FROM c1),
-c AS (SELECT *, nullif(regexp_replace(v, '/(index\.html?)?$', ''), '') AS canonical FROM c2),
+c1 AS (SELECT *, regexp_replace(trim(spelled), '#.*$', '') AS whole FROM s),
+c2 AS (SELECT *, regexp_replace(whole, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM c1),
+c3 AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), CASE WHEN starts_with(lower(whole), 'https://') THEN ':443$' ELSE ':80$' END, '') AS site, regexp_replace(bare, '^[^/?]*', '') AS tail FROM c2),
+c4 AS (SELECT *, list_sort(list_filter(string_split(regexp_replace(tail, '^[^?]*\??', ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid)='))) AS given FROM c3),
+c AS (SELECT *, CASE WHEN site <> '' THEN site || CASE WHEN regexp_extract(tail, '^[^?]*') = '' THEN '/' ELSE regexp_extract(tail, '^[^?]*') END || CASE WHEN len(given) > 0 THEN '?' || array_to_string(given, '&') ELSE '' END END AS canonical FROM c4),
 j AS (SELECT c.*, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER w AS b_id, last_value(CASE WHEN is_full THEN etag END IGNORE NULLS) OVER w AS b_etag,
     last_value(CASE WHEN is_full THEN modified END IGNORE NULLS) OVER w AS b_modified, last_value(CASE WHEN is_full THEN digest END IGNORE NULLS) OVER w AS b_digest, last_value(CASE WHEN is_full THEN page_id END IGNORE NULLS) OVER w AS b_page
     FROM c WINDOW w AS (PARTITION BY canonical ORDER BY time, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

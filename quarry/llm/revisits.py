@@ -11,7 +11,11 @@ spread over as many partitions as it fills.
 Defined results: records without a usable URL (null or empty) are never resolved (``no-url``); of records with equal
 time the smaller record_id comes first; a null time comes before all others; a revisit without an earlier full response
 is ``no-response``; one whose validators disagree with it, or that has none in common with it, is ``mismatch`` and gets
-no headers. Rows that repeat a record are resolved one by one. Other columns are ignored.
+no headers. Rows that repeat a record are resolved one by one. Null headers count as none. A null kind is a full record
+that lends nothing. Other columns are ignored.
+
+URLs are one resource if they agree but for scheme, letter case of the host, ``www.``, the scheme's own port, a fragment,
+the order of parameters and parameters that only track; path and parameters keep their case and their slashes.
 """
 
 from __future__ import annotations
@@ -24,19 +28,23 @@ from quarry.llm.shared import keep
 #: Header fields that a 304 response may update (RFC 9110, 15.4.5), in lower case.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't change what is fetched.
-TRACKING = ("utm_[a-z]+", "ref", "fbclid", "gclid", "sessionid")
+TRACKING = ("utm_[a-z]+", "fbclid", "gclid")
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host without ``www.`` or ``m.`` and path, in lower case; scheme, fragment, tracking and trailing slash dropped."""
-    u = F.lower(F.trim(url))
-    u = F.regexp_replace(u, r"#.*$", "")
-    u = F.regexp_replace(u, r"^[a-z]+://", "")
-    u = F.regexp_replace(u, r"^(www\.|m\.)", "")
-    u = F.regexp_replace(u, rf"([?&])((({'|'.join(TRACKING)})=[^&]*&?)+)", "$1")
-    u = F.regexp_replace(u, r"[?&]+$", "")
-    u = F.regexp_replace(u, r"/(index\.html?)?$", "")
-    return F.nullif(u, F.lit(""))
+    """Host in lower case without ``www.`` and default port, path (``/`` if empty) and sorted parameters; null if there is no host."""
+    whole = F.regexp_replace(F.trim(url), r"#.*$", "")
+    secure = F.rlike(whole, F.lit("^(?i)https://"))
+    rest = F.regexp_replace(whole, _SCHEME, "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^[^/?]*", 0)), r"^www\.", "")
+    host = F.when(secure, F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    tail = F.regexp_replace(rest, r"^[^/?]*", "")
+    path = F.regexp_extract(tail, r"^[^?]*", 0)
+    parameters = F.split(F.regexp_replace(tail, r"^[^?]*\??", ""), "&")
+    parameters = F.array_sort(F.filter(parameters, lambda x: (x != "") & ~F.rlike(x, F.lit(rf"^({'|'.join(TRACKING)})="))))
+    query = F.when(F.size(parameters) > 0, F.concat(F.lit("?"), F.array_join(parameters, "&"))).otherwise("")
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
 
 
 def as_of(records: DataFrame, key: str, order: list[str], value: Column, name: str = "before") -> DataFrame:
@@ -93,23 +101,27 @@ def resolve(records: DataFrame, permitted: tuple[str, ...] = PERMITTED) -> DataF
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Four crawl records of each page (page_id, url, html): a full response and later visits under other spellings.
+    """Five crawl records of each page (page_id, url, html): a full response and later visits under other spellings.
 
     The second is a revisit with the right entity tag; the third one with a last-modified date, or, for every fifth page,
-    an entity tag that is out of date; the fourth is, for every fourth page, a new full response, else a revisit by
-    payload digest.
+    an entity tag that is out of date; the fourth, with the host in capitals, is, for every fourth page, a new full
+    response, else a revisit by payload digest; the fifth asks for the path in capitals, which is another resource.
     """
     p, k = F.col("page_id"), F.col("k")
     joined = F.when(F.contains("url", F.lit("?")), "&").otherwise("?")
-    spelled = F.when(k == 1, F.concat(F.regexp_replace("url", "#.*$", ""), joined, F.lit("utm_medium=mail"))).when(k == 2, F.replace(F.col("url"), F.lit("http://"), F.lit("https://"))).when(k == 3, F.upper("url")).otherwise(F.col("url"))
+    host, rest = F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0), F.regexp_replace("url", r"^[a-z]+://[^/?#]*", "")
+    spelled = (
+        F.when(k == 1, F.concat(F.regexp_replace("url", "#.*$", ""), joined, F.lit("utm_medium=mail"))).when(k == 2, F.replace(F.col("url"), F.lit("http://"), F.lit("https://")))
+        .when(k == 3, F.concat(F.upper(host), rest)).when(k == 4, F.concat(host, F.upper(rest))).otherwise(F.col("url"))
+    )
     full = (k == 0) | ((k == 3) & (p % 4 == 0))
     digest = F.md5("html")
-    etag = F.when(full & (k == 0) | (k == 1), F.substring("digest", 1, 12)).when(full, F.lit("v2")).when((k == 2) & (p % 5 == 0), F.lit("old"))
+    etag = F.when(k.isin(0, 1, 4), F.substring("digest", 1, 12)).when(full, F.lit("v2")).when((k == 2) & (p % 5 == 0), F.lit("old"))
     modified = F.concat(F.lit("day "), (p % 400).cast("string"))
-    slim = pages.select("page_id", "url", digest.alias("digest")).withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    slim = pages.select("page_id", "url", digest.alias("digest")).withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(5)])))
     headers = F.when(full, F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), p.cast("string"), F.lit("server"), F.lit("a")))
     later = F.create_map(F.lit("Date"), (p + k).cast("string"), F.lit("Expires"), k.cast("string"), F.lit("Server"), F.lit("b"))
     return slim.select(
-        (p * 4 + k).alias("record_id"), spelled.alias("url"), (p + k * 7).alias("time"), F.when(full, "response").otherwise("revisit").alias("kind"), etag.alias("etag"),
+        (p * 5 + k).alias("record_id"), spelled.alias("url"), (p + k * 7).alias("time"), F.when(full, "response").otherwise("revisit").alias("kind"), etag.alias("etag"),
         F.when(full | (k == 2), modified).alias("last_modified"), F.when(full | (k == 3), F.col("digest")).alias("digest"), F.coalesce(headers, later).alias("headers"),
     )

@@ -195,30 +195,46 @@ def test_balanced_parts():
 
 RECORDS = [
     (1, "http://www.A.org/x/", 10, "response", "e1", "d1", "h1", {"Content-Type": "t", "Date": "1"}),
-    (2, "https://a.org/x?utm_source=q#top", 20, "revisit", "W/e1", None, None, {"date": "2", "Server": "no", "ETag": "e1"}),
-    (3, "a.org/x", 30, "revisit", "e2", "d1", None, {"date": "3"}),
-    (4, "a.org/x", 40, "response", None, "d2", "h2", {"date": "4"}),
-    (5, "m.a.org/x", 40, "revisit", "e1", "d2", None, {"expires": "5"}),
-    (6, "a.org/x", 5, "revisit", "e1", None, None, {}),
+    (2, "https://a.org:443/x/?utm_source=q#top", 20, "revisit", "W/e1", None, None, {"date": "2", "Server": "no", "ETag": "e1"}),
+    (3, "A.ORG:80/x/", 30, "revisit", "e2", "d1", None, {"date": "3"}),
+    (4, "a.org/x/", 40, "response", None, "d2", "h2", None),
+    (5, "a.org/x/", 40, "revisit", "e1", "d2", None, {"expires": "5"}),
+    (6, "a.org/x/", 5, "revisit", "e1", None, None, {}),
     (7, None, 50, "revisit", "e1", None, None, None),
     (8, "b.org", 1, "revisit", None, None, None, None),
-    (9, "a.org/x", None, "response", "e0", None, None, None),
-    (10, "a.org/x?id=2&ref=3", 60, "revisit", "e1", None, "h2", None),
+    (9, "a.org/x/", None, "response", "e0", None, None, None),
+    (10, "a.org/x/?id=2&ref=3", 60, "revisit", "e1", None, "h2", None),
+    (11, "a.org/X/", 70, "revisit", "e1", "d2", "h2", None),
+    (12, "m.a.org/x/", 70, "revisit", "e1", "d2", "h2", None),
+    (13, "a.org/x/", 80, "revisit", None, None, "h2", None),
+    (13, "a.org/x/", 80, "revisit", None, None, "h2", None),
+    (14, "", 90, "revisit", "e1", None, None, None),
+    (15, "a.org/x/", 95, None, "e9", None, None, None),
+    (16, "a.org/x/", 99, "revisit", None, None, "h2", {"date": "16"}),
 ]
 FIELDS = "record_id long, url string, time long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
 
 
 def test_revisits(spark):
-    rows = {r["record_id"]: r for r in revisits.resolve(spark.createDataFrame(RECORDS, FIELDS).withColumn("before", F.lit(1)).withColumn("status", F.lit("x"))).collect()}
-    assert {k: (r["status"], r["refers_to"], r["validator"]) for k, r in rows.items()} == {
+    found = revisits.resolve(spark.createDataFrame(RECORDS, FIELDS).withColumn("before", F.lit(1)).withColumn("status", F.lit("x"))).collect()
+    rows = {r["record_id"]: r for r in found}
+    assert len(found) == len(RECORDS) and {k: (r["status"], r["refers_to"], r["validator"]) for k, r in rows.items()} == {
         1: ("full", None, None), 2: ("resolved", 1, "etag"), 3: ("mismatch", 1, "etag"), 4: ("full", None, None), 5: ("resolved", 4, "last-modified"),
         6: ("mismatch", 9, "etag"), 7: ("no-url", None, None), 8: ("no-response", None, None), 9: ("full", None, None), 10: ("no-response", None, None),
+        11: ("no-response", None, None), 12: ("no-response", None, None), 13: ("resolved", 4, "digest"), 14: ("no-url", None, None), 15: ("full", None, None), 16: ("resolved", 4, "digest"),
     }
     assert rows[2]["headers"] == {"content-type": "t", "date": "2", "etag": "e1"}
-    assert rows[3]["headers"] is None
+    assert rows[3]["headers"] is None and rows[4]["headers"] is None and rows[13]["headers"] == {} and rows[16]["headers"] == {"date": "16"}
     assert revisits.resolve(spark.createDataFrame([], FIELDS)).count() == 0
 
 
+def test_canonical_urls(spark):
+    same = [("http://X.org", "x.org/"), ("https://www.x.org:443/a?b=2&a=1", "http://x.org:80/a?a=1&b=2"), ("x.org/a?utm_source=m#f", "x.org/a"), ("x.org?", "x.org/")]
+    other = [("x.org/a", "x.org/A"), ("x.org/a", "x.org/a/"), ("x.org", "m.x.org"), ("x.org/?a=1", "x.org/?a=2"), ("http://x.org:443", "x.org"), ("x.org/?ref=1", "x.org/")]
+    rows = spark.createDataFrame(same + other, "a string, b string").select(*[revisits.canonical_url(F.col(c)).alias(c) for c in "ab"]).collect()
+    assert [r["a"] == r["b"] for r in rows] == [True] * len(same) + [False] * len(other)
+
+
 def test_as_of_join_of_a_hot_key(spark):
     draw = np.random.default_rng(5)
     rows = [(int(i), "hot" if i % 3 else f"k{i % 7}", int(draw.integers(0, 500)), int(i) if draw.random() < 0.1 else None) for i in range(3000)]
