@@ -1,17 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build_index`` stores the postings of the training texts by document shard: for each term of a shard the documents and
-word positions where it occurs, as arrays in text order. It is written once to the shared folder, and searches read it
-there. ``search`` takes every phrase of the test items, orders its terms by the length of their lists in the shard, and
-intersects the lists, each moved back by its term's offset, from the rarest term on; it stops when none is left.
+``build_index`` stores the postings of the training texts by document shard (a few MB of texts): every term of the shard
+with the sorted places where it occurs. A shard is one row, so that a search reads the stored index without shuffling it.
+``search`` takes all phrases of the test items at once: phrases of which the shard lacks a term are out, the list of the
+rarest term gives each one's places, moved back by the term's offset, and the other lists, rarest first, keep those that
+they hold too. Phrases don't run over the end of a document.
 
-Words are runs of ASCII letters and digits and of any character beyond ASCII, A-Z in lower case. Only terms of the test
-items are stored (``vocabulary``), since no phrase can need another. Test items are broadcast in passes of at most
-``MAX_PHRASES`` phrases; a larger benchmark takes more passes over the stored index, never a larger broadcast.
+Words are runs of ASCII letters and digits and of any character beyond ASCII, A-Z in lower case, told by 64-bit hashes
+(a phrase of n words is met wrongly only if n hashes collide at once). Test items are broadcast in passes of at most
+``MAX_PHRASES`` phrases; a larger benchmark takes more passes over the one stored index, never a larger broadcast.
 
 Defined results: null and empty texts have no words and no hits; rows that repeat a doc_id are searched one by one, one
 row out for each row in; a null doc_id is kept. An item without words never occurs; repeated items count once per
-item_id; an item of fewer words than the window is one phrase. Other columns are ignored.
+item_id; an item of fewer words than the window is one phrase; items with a null item_id are left out. Other columns are
+ignored, and may have any names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.shared import keep
+from quarry.llm.shared import fresh, keep
 
 #: Phrases that are broadcast at once.
 MAX_PHRASES = 1_000_000
-_INDEX = "shard long, term long, docs array<int>, positions array<int>, ids array<long>"
-_ARROW_INDEX = pa.schema([("shard", pa.int64()), ("term", pa.int64()), ("docs", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
+_INDEX = "shard long, terms array<long>, ends array<int>, places array<int>, ids array<long>, n_words array<int>"
 _HITS = "shard long, ordinal long, doc_id long, n_words long, matches array<struct<item_id: string, item_start: int, doc_start: int, n_words: int>>"
 _MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())])
 _ARROW_HITS = pa.schema([("shard", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("matches", pa.list_(_MATCH))])
@@ -54,95 +55,84 @@ def _items(items: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     return [i for i, _ in found], [t for _, t in found]
 
 
-def build_index(docs: DataFrame, terms_wanted: np.ndarray | None = None) -> DataFrame:
-    """Postings of ``docs`` (doc_id, text) in the shared folder: shard, term, docs, positions, ids.
+def build_index(docs: DataFrame) -> DataFrame:
+    """Postings of ``docs`` (doc_id, text) in the shared folder, a row for each shard.
 
-    ``docs`` holds ordinals within the shard. The row without a term lists the shard's documents: ids, and in positions
-    their word counts. ``terms_wanted``: sorted term hashes to store; None stores every term.
+    terms: the shard's distinct term hashes, sorted; ends: where each one's list ends in places; places: word numbers,
+    counted through the shard's texts; ids and n_words: its documents, in order.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
         for k, batch in enumerate(W.slabs(batches, "text", 2 * W.SLAB_BYTES)):
-            shard = partition << 24 | k
             terms, first_word = _terms(batch.column(1))
-            n_words = np.diff(first_word).astype(np.int32)
-            docs = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
-            positions = (np.arange(len(terms)) - np.repeat(first_word[:-1], n_words)).astype(np.int32)
-            if terms_wanted is None:
-                distinct, code = np.unique(terms, return_inverse=True)
-            else:
-                distinct, code = terms_wanted, np.searchsorted(terms_wanted, terms)
-                code[code == len(terms_wanted)] = 0
-                held = np.flatnonzero(terms_wanted[code] == terms) if len(terms_wanted) else np.zeros(0, np.int64)
-                code, docs, positions = code[held], docs[held], positions[held]
-            order = np.argsort(code.astype(np.uint16) if len(distinct) <= 1 << 16 else code, kind="stable")
-            code, docs, positions = code[order], docs[order], positions[order]
-            cuts = np.flatnonzero(np.diff(code, prepend=-1))
-            ends = np.append(cuts, len(code)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (docs, positions)]
-            none = pa.nulls(len(cuts), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), shard)), pa.array(distinct[code[cuts]]), *lists, none], schema=_ARROW_INDEX)
-            whole = [[shard], [None], [[]], [n_words], [batch.column(0).to_pylist()]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(whole, _ARROW_INDEX, strict=True)], schema=_ARROW_INDEX)
+            order = np.argsort(terms, kind="stable")
+            terms = terms[order]
+            heads = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[: len(terms)])
+            lists = [pa.array([x], pa.list_(kind)) for x, kind in ((terms[heads], pa.int64()), (np.append(heads[1:], len(terms))[: len(heads)].astype(np.int32), pa.int32()), (order.astype(np.int32), pa.int32()))]
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            n_words = pa.array([np.diff(first_word).astype(np.int32)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([partition << 24 | k]), *lists, ids, n_words], names=[x.split()[0] for x in _INDEX.split(", ")])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return keep(source.mapInArrow(index, _INDEX), "postings")
 
 
 class _Shard:
-    """One shard's lists. A place is document ordinal * 2**32 + word position."""
-
-    def __init__(self, table: pa.Table):
-        whole = table.filter(table.column("term").is_null())
-        rest = table.filter(table.column("term").is_valid()).combine_chunks()
-        self.ids = whole.column("ids")[0].as_py()
-        self.n_words = np.asarray(whole.column("positions")[0].values).astype(np.int64)
-        self.places, self.lists = np.zeros(0, np.int64), {}
-        if rest.num_rows:
-            lists = [rest.column(name).combine_chunks() for name in ("docs", "positions")]
-            docs, positions = (np.asarray(x.flatten()).astype(np.int64) for x in lists)
-            self.places = docs << 32 | positions
-            sizes = np.asarray(lists[0].value_lengths()).astype(np.int64)
-            ends = np.cumsum(sizes)
-            self.lists = dict(zip(rest.column("term").to_pylist(), zip((ends - sizes).tolist(), ends.tolist(), strict=True), strict=True))
+    """The lists of those terms of a shard that are in ``vocabulary`` (sorted), as keys: the term's number * 2**32 + place."""
+
+    def __init__(self, row: dict[str, pa.Scalar], vocabulary: np.ndarray):
+        terms, ends, places, n_words = (np.asarray(row[c].values) for c in ("terms", "ends", "places", "n_words"))
+        self.ids = row["ids"].values
+        self.n_words = n_words.astype(np.int64)
+        self.first = np.append(0, np.cumsum(self.n_words))  # each document's first place, and the end
+        at = np.minimum(np.searchsorted(terms, vocabulary), max(0, len(terms) - 1))
+        held = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), bool)
+        starts = np.append(0, ends)[at]
+        self.sizes = np.where(held, np.append(ends, 0)[at] - starts, 0).astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.places = places[W.ranges(starts.astype(np.int64), self.sizes)].astype(np.int64)
+        self.keys = np.repeat(np.arange(len(vocabulary)), self.sizes) << 32 | self.places
 
     def list(self, term: int) -> np.ndarray:
-        low, high = self.lists.get(term, (0, 0))
-        return self.places[low:high]
-
-    def size(self, term: int) -> int:
-        low, high = self.lists.get(term, (0, 0))
-        return high - low
-
-
-def _held(sorted_places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_places, wanted)
-    at[at == len(sorted_places)] = 0
-    return sorted_places[at] == wanted
-
-
-def _phrase(shard: _Shard, terms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places where the phrase begins: lists moved back by their offsets, met from the rarest on."""
-    order = np.argsort(sizes, kind="stable")
-    left = shard.list(int(terms[order[0]])) - order[0]
-    for offset in order[1:]:
-        if not len(left):
-            break
-        left = left[_held(shard.list(int(terms[offset])), left + offset)]
-    return left
+        return self.places[self.ends[term] - self.sizes[term] : self.ends[term]]
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, "right") - 1
+
+
+def _phrases(shard: _Shard, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which phrases (rows of term numbers, -1 after the last) begin, and the phrases' numbers."""
+    sizes = np.where(phrases >= 0, shard.sizes[phrases], np.iinfo(np.int64).max)
+    alive = np.flatnonzero((sizes > 0).all(axis=1))
+    order = np.argsort(sizes[alive], axis=1, kind="stable")  # rarest first
+    rarest = phrases[alive, order[:, 0]]
+    n = shard.sizes[rarest]
+    row = np.repeat(np.arange(len(alive)), n)
+    begin = shard.places[W.ranges(shard.ends[rarest] - n, n)] - np.repeat(order[:, 0], n)
+    for step in range(1, phrases.shape[1]):
+        offset = order[row, step]
+        term = phrases[alive[row], offset]
+        key = term << 32 | np.maximum(begin + offset, 0)
+        at = np.minimum(np.searchsorted(shard.keys, key), max(0, len(shard.keys) - 1))
+        stay = (term < 0) | ((shard.keys[at] == key) & (begin >= 0) if len(shard.keys) else False)
+        row, begin = row[stay], begin[stay]
+    inside = begin >= 0
+    row, begin = row[inside], begin[inside]
+    inside = shard.document(begin) == shard.document(begin + lengths[alive[row]] - 1)
+    return begin[inside], alive[row[inside]]
 
 
 def _near(shard: _Shard, terms: np.ndarray, span: int) -> np.ndarray:
     """Places of the rarest term round which all others occur within ``span`` words of it, in any order."""
-    terms = sorted(set(terms.tolist()), key=shard.size)
+    terms = sorted(set(terms[terms >= 0].tolist()), key=lambda t: shard.sizes[t])
     left = shard.list(terms[0])
     for term in terms[1:]:
         there = shard.list(term)
-        low = np.maximum(left - span, left >> 32 << 32)
-        at = np.searchsorted(there, low)
+        own = shard.document(left)
+        at = np.searchsorted(there, np.maximum(left - span, shard.first[own]))
         found = at < len(there)
-        found[found] = there[at[found]] <= left[found] + span
+        found[found] = there[at[found]] <= np.minimum(left + span, shard.first[own + 1] - 1)[found]
         left = left[found]
         if not len(left):
             break
@@ -151,27 +141,37 @@ def _near(shard: _Shard, terms: np.ndarray, span: int) -> np.ndarray:
 
 def _search(names: list[str], items: list[np.ndarray], window: int, span: int | None):
     """names and items are broadcast; ``passes`` bounds them."""
-    phrases = [(i, s, t[s : s + window]) for i, t in enumerate(items) for s in range(max(1, len(t) - window + 1))]
-
-    def search(table: pa.Table) -> pa.Table:
-        shard = _Shard(table)
-        rows: list[np.ndarray] = []
-        for item, start, terms in phrases:
-            sizes = np.array([shard.size(t) for t in terms.tolist()])
-            if not sizes.all():
-                continue
-            left = _phrase(shard, terms, sizes) if span is None else _near(shard, terms, span)
-            if len(left):
-                rows.append(np.stack([left, np.full(len(left), item), np.full(len(left), start), np.full(len(left), len(terms))], axis=1))
-        hits = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
-        hits = hits[np.lexsort((hits[:, 2], hits[:, 0], hits[:, 1], hits[:, 0] >> 32))]
-        doc, place, item, start, length = hits[:, 0] >> 32, hits[:, 0] & 0xFFFFFFFF, hits[:, 1], hits[:, 2], hits[:, 3]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *items]))
+    found = [(i, s, np.searchsorted(vocabulary, t[s : s + window])) for i, t in enumerate(items) for s in range(max(1, len(t) - window + 1))]
+    of_item, of_start = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+    lengths = np.array([len(f[2]) for f in found], np.int64)
+    phrases = np.full((len(found), window), -1, np.int64)
+    for k, f in enumerate(found):
+        phrases[k, : len(f[2])] = f[2]
+
+    def in_shard(row: dict[str, pa.Scalar]) -> pa.RecordBatch:
+        shard = _Shard(row, vocabulary)
+        if span is None:
+            begin, number = _phrases(shard, phrases, lengths)
+            length = lengths[number]
+        else:
+            places = [_near(shard, t, span) for t in phrases]
+            number = np.repeat(np.arange(len(phrases)), [len(p) for p in places])
+            begin, length = np.concatenate([np.zeros(0, np.int64), *places]), np.ones(len(number), np.int64)
+        doc = shard.document(begin)
+        order = np.lexsort((of_start[number], begin, of_item[number], doc))
+        begin, number, length, doc = begin[order], number[order], length[order], doc[order]
         ordinal = np.arange(len(shard.ids))
         ends = np.searchsorted(doc, np.append(ordinal, len(ordinal))).astype(np.int32)
-        fields = [pa.array([names[i] for i in item], pa.string()), *(pa.array(x.astype(np.int32)) for x in (start, place, length))]
+        numbers = [of_start[number], begin - shard.first[doc], length]
+        fields = [pa.array([names[i] for i in of_item[number]], pa.string()), *(pa.array(x.astype(np.int32)) for x in numbers)]
         matches = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(_MATCH)))
-        own = table.column("shard")[0].as_py()
-        return pa.Table.from_arrays([pa.array(np.full(len(ordinal), own)), pa.array(ordinal), pa.array(shard.ids, pa.int64()), pa.array(shard.n_words), matches], schema=_ARROW_HITS)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ordinal), row["shard"].as_py())), pa.array(ordinal), shard.ids, pa.array(shard.n_words), matches], schema=_ARROW_HITS)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield in_shard({name: batch.column(name)[i] for name in batch.schema.names})
 
     return search
 
@@ -198,30 +198,27 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, span: int | Non
     phrases = items.select(F.sum((F.octet_length("text") + 1) / 2)).first()[0] or 0
     n = max(1, ceil(phrases / MAX_PHRASES))
     parts = [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-    found = [index.groupBy("shard").applyInArrow(_search(*_items(part), window, span), _HITS) for part in parts]
+    found = [index.mapInArrow(_search(*_items(part), window, span), _HITS) for part in parts]
     one = found[0]
     if n > 1:
         one = reduce(DataFrame.unionByName, found).groupBy("shard", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
     return one.select("doc_id", "n_words", _covered(F.col("matches")).alias("n_hit"), "matches")
 
 
-def vocabulary(items: DataFrame) -> DataFrame:
-    """Distinct term hashes of the items."""
-
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(batch.column(0))[0]))], names=["term"])
-
-    return items.select("text").mapInArrow(terms, "term long").distinct()
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, span: int | None = None) -> DataFrame:
-    """``search`` over a fresh index of ``docs`` that stores the items' terms, or all terms if those are too many."""
-    few = vocabulary(items).limit(MAX_PHRASES + 1).toArrow().column(0).to_numpy()
-    return search(build_index(docs, np.sort(few) if len(few) <= MAX_PHRASES else None), items, window, span)
+    """``search`` over a fresh index of ``docs``."""
+    return search(build_index(docs), items, window, span)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no match, all columns as they are; rows with a null doc_id stay."""
-    hit = decontaminate(docs, items, window).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no phrase of an item, all columns as they are.
+
+    Rows are told apart by a hash of doc_id and text, so that of rows that repeat a doc_id, or have none, those with
+    a match go and the others stay.
+    """
+    names = fresh("number", docs.columns), fresh("digest", docs.columns)
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    rows = docs.select(row.alias("doc_id"), "text")
+    hit = decontaminate(rows, items, window).where("n_hit > 0").select("doc_id").distinct()
+    hit = keep(hit, "contaminated").toDF(names[0])
+    return docs.withColumn(names[1], row).join(hit, F.col(names[1]) == F.col(names[0]), "left_anti").select(*docs.columns)

@@ -106,6 +106,14 @@ def test_decontamination_odd(spark, odd, empty):
     assert decontamination.decontaminate(odd, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contaminated_rows_go(spark):
+    rows = [(1, "a b c d"), (1, "x y z"), (None, "a b c d"), (None, "x"), (2, None), (3, "b c d a b c")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, number int, digest int")
+    stay = decontamination.without_contaminated(docs, spark.createDataFrame([(1, "a b c")], "item_id int, text string"))
+    assert stay.columns == docs.columns and sorted((r[0], r[1]) for r in stay.where("text is not null and doc_id is not null").collect()) == [(1, "x y z")]
+    assert stay.count() == 3
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x alpha y beta z gamma"), (2, "gamma beta q alpha"), (3, "alpha " + "q " * 30 + "beta gamma"), (4, "alpha beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id int, text string")
