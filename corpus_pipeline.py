@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` (what the stage before has kept) and returns the
 columns of ``documents``; the last one adds ``shard`` and ``slot``. ``run`` writes each stage's result to the shared
 folder and hands on what it reads there.
+
+Defined results, in every stage: an empty table stays empty. Rows are judged one by one, so that of rows that repeat a
+doc_id or have none each has its own result. Null and empty texts aren't toxic and hold no benchmark item; they are one
+group of near copies, of which the smallest doc_id stays (a group without doc_ids keeps one row); they weigh one token
+in mixing. Null sources and languages are values of their own. Ties: of a group of near copies the smallest doc_id stays,
+of its rows with one text the one with the smallest hash of all columns. Extra columns go along under any name, but
+``shard`` and ``slot``, which the last stage replaces. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -35,7 +42,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose tokens meet the target shares of sources, languages and topics."""
-    return mixing.mix(docs, mix_targets(spark), FRACTION).where("chosen").select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("record"))
+    return mixing.mix(whole, mix_targets(spark), FRACTION).where("chosen").select("record.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
