@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -229,11 +230,18 @@ def rename_if_latin(name: Column, native: Column) -> Column:
     return F.when(name.rlike("[A-Za-z]") & native.isNotNull() & (native != "") & ~native.rlike("[A-Za-z]"), native).otherwise(name)
 
 
-@F.pandas_udf(StringType())
-def normalize_ascii(values: pd.Series) -> pd.Series:
-    """Without accents, lower-case, other characters as one space. Spark has no Unicode normaliser, hence Arrow batches."""
-    bare = values.map(lambda v: v if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)))
-    return bare.str.lower().str.replace("[^a-z0-9]+", " ", regex=True).str.strip()
+@cache
+def _accented() -> tuple[str, str]:
+    """Characters that are an ASCII letter or digit with marks, and those letters or digits."""
+    parts = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000)
+    found = [(c, p[0]) for c, p in parts if p[0] < "\x80" and p[0].isalnum() and all(unicodedata.combining(x) for x in p[1:])]
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
+
+
+def normalize_ascii(value: Column) -> Column:
+    """Without accents, lower-case, other characters as one space."""
+    bare = F.translate(F.regexp_replace(value, r"\p{Mn}+", ""), *_accented())
+    return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
 
 
 @F.pandas_udf(StringType())

@@ -11,7 +11,7 @@ from quarry.functions.classify import is_mega_name, is_vmax_name, regional_patte
 from quarry.functions.text import blank, print_key
 
 
-def form_lookup(forms: DataFrame, number: str | None = None, base: str | None = None) -> DataFrame:
+def form_lookup(forms: DataFrame, number: int | None = None, base: int | None = None) -> DataFrame:
     """Forms by their own number, or all forms of a base species."""
     return forms.where(F.col("number") == number) if number is not None else forms.where(F.col("base_number") == base)
 

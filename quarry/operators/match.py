@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import card_codes_match, normalize_card_code
+from quarry.functions.text import code_prefix, code_rest, normalize_card_code, tokens
 from quarry.operators.keyed import first_wins
 
 #: Fragments at both ends by which containment candidates meet.
@@ -41,35 +41,57 @@ def fuzzy_set_match(names: DataFrame, targets: DataFrame, name: str, target: str
     return left.join(hits, "name", "left").withColumn("how", F.coalesce("how", F.lit("none")))
 
 
-def match_by_set(cards: DataFrame, source: DataFrame, keys: Sequence[str], card_id: str, agrees: Column) -> DataFrame:
-    """Each card with its match by keys and a kind: primary, disambiguated, ambiguous, none.
+def in_resolved_sets(cards: DataFrame, source: DataFrame) -> DataFrame:
+    """``cards`` with ``target``: the one ``set_key`` of the source that its own equals, contains or lies in; else null."""
+    sets = fuzzy_set_match(cards, source, "set_key", "set_key").select(F.col("name").alias("set_key"), "target")
+    return cards.join(sets, "set_key", "left")
 
-    One candidate is primary; of many the only one for which ``agrees`` (over card and ``source`` columns) holds.
+
+def match_english(cards: DataFrame, source: DataFrame) -> DataFrame:
+    """Each card's match by set and local id: card_id, kind (primary, ambiguous, none), source_id.
+
+    ``cards``: card_id, set_key, local_key, name_key; ``source``: source_id, set_key, local_key, name_key, species_keys
+    (array). Keys are normalised texts. Sets meet by ``in_resolved_sets``. A single row of that local id is primary; of
+    many the only one whose name equals the card's, or of which name or a species contains it or lies in it.
     """
-    joined = cards.join(source, list(keys), "left")
-    rows = joined.withColumn("_ok", F.coalesce(agrees, F.lit(False)) & F.col("source_id").isNotNull())
-    out = rows.groupBy(card_id).agg(F.count("source_id").alias("n"), F.count_if(F.col("_ok")).alias("n_ok"), F.min("source_id").alias("only"), F.min(F.when(F.col("_ok"), F.col("source_id"))).alias("ok"))
-    kind = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "primary").when(F.col("n_ok") == 1, "disambiguated").otherwise("ambiguous")
-    return out.select(card_id, kind.alias("kind"), F.when(F.col("n") == 1, F.col("only")).when((F.col("n") > 1) & (F.col("n_ok") == 1), F.col("ok")).alias("source_id"))
+    s = source.select("source_id", F.col("set_key").alias("target"), "local_key", F.col("name_key").alias("their_name"), "species_keys")
+    ours, theirs = F.col("name_key"), F.col("their_name")
+    either = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    agrees = F.coalesce(either(ours, theirs), F.lit(False)) | F.coalesce(F.exists("species_keys", lambda k: either(ours, k)), F.lit(False))
+    rows = in_resolved_sets(cards, source).join(s, ["target", "local_key"], "left").groupBy("card_id").agg(
+        F.count("source_id").alias("n"), F.min("source_id").alias("single"), F.count_if(agrees & F.col("source_id").isNotNull()).alias("m"), F.min(F.when(agrees, F.col("source_id"))).alias("one")
+    )
+    kind = F.when(F.col("n") == 0, "none").when((F.col("n") == 1) | (F.col("m") == 1), "primary").otherwise("ambiguous")
+    return rows.select("card_id", kind.alias("kind"), F.when(F.col("n") == 1, F.col("single")).when(F.col("m") == 1, F.col("one")).alias("source_id"))
 
 
-def match_by_species(cards: DataFrame, source: DataFrame, group: str, local: str, card_id: str, species: str, source_species: str) -> DataFrame:
-    """Two-stage match: by group and local id; where nothing is there, the only row of the group with the species.
+def match_japanese(cards: DataFrame, source: DataFrame) -> DataFrame:
+    """Two-stage match: by set and local id; where nothing is there, the only row of the set with the card's species.
 
-    A single hit whose species list is empty or holds the species is ``primary``, else ``species-conflict``; several are
-    ``ambiguous``; the second stage gives ``fallback-species`` or ``none``.
+    ``cards``: card_id, set_key, local_key, species; ``source``: source_id, set_key, local_key (null: unnumbered), species
+    (array). A single row whose species are none or hold the card's is ``primary``, else ``species-conflict``, with its
+    row; the second stage gives ``fallback-species``; several rows at either stage are ``ambiguous``.
     """
-    s = source.select(group, F.col(local).alias("_local"), F.col(source_species).alias("_species"), "source_id")
-    fits = (F.size("_species") == 0) | F.array_contains("_species", F.col(species))
-    local_hit = F.coalesce(F.col("_local") == F.col(local), F.lit(False))
-    species_hit = F.coalesce(F.array_contains("_species", F.col(species)), F.lit(False))
-    rows = cards.join(s, group, "left").groupBy(card_id).agg(
-        F.count_if(local_hit).alias("n"), F.min(F.when(local_hit, F.col("source_id"))).alias("one"), F.bool_or(F.when(local_hit, F.coalesce(fits, F.lit(True)))).alias("fits"),
-        F.count_if(species_hit).alias("m"), F.min(F.when(species_hit, F.col("source_id"))).alias("other"),
+    ours = in_resolved_sets(cards, source)
+    s = source.select("source_id", F.col("set_key").alias("target"), "local_key", F.col("species").alias("theirs"))
+    fits = (F.size("theirs") == 0) | F.array_contains("theirs", F.col("species"))
+    first = ours.join(s, ["target", "local_key"], "left").groupBy("card_id", "target", "species").agg(F.count("source_id").alias("n"), F.min("source_id").alias("single"), F.bool_and(fits).alias("fits"))
+    left = first.where("n = 0").select("card_id", "target", "species")
+    by_species = s.select("target", F.explode(F.array_distinct("theirs")).alias("species"), "source_id")
+    second = left.join(by_species, ["target", "species"]).groupBy("card_id").agg(F.count("*").alias("m"), F.min("source_id").alias("other"))
+    rows = first.join(second, "card_id", "left")
+    kind = (
+        F.when((F.col("n") > 1) | (F.col("m") > 1), "ambiguous").when((F.col("n") == 1) & F.coalesce("fits", F.lit(False)), "primary").when(F.col("n") == 1, "species-conflict")
+        .when(F.col("m") == 1, "fallback-species").otherwise("none")
     )
-    kind = F.when(F.col("n") > 1, "ambiguous").when((F.col("n") == 1) & F.col("fits"), "primary").when(F.col("n") == 1, "species-conflict").when(F.col("m") == 1, "fallback-species").otherwise("none")
-    rows = rows.withColumn("kind", kind)
-    return rows.select(card_id, "kind", F.when(F.col("kind") == "primary", F.col("one")).when(F.col("kind") == "fallback-species", F.col("other")).alias("source_id"))
+    return rows.select("card_id", kind.alias("kind"), F.when(F.col("n") == 1, F.col("single")).when((F.col("n") == 0) & (F.col("m") == 1), F.col("other")).alias("source_id"))
+
+
+def cross_check(matches: DataFrame, by: str) -> DataFrame:
+    """How a source answers, per ``by``: sampled, matched, via_fallback, conflict, ambiguous, no_match."""
+    kind = F.col("kind")
+    counts = {"matched": kind.isin("primary", "fallback-species"), "via_fallback": kind == "fallback-species", "conflict": kind == "species-conflict", "ambiguous": kind == "ambiguous", "no_match": kind == "none"}
+    return matches.groupBy(by).agg(F.count("*").alias("sampled"), *[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
 def usable(kind: Column) -> Column:
@@ -121,36 +143,61 @@ def enrichment_fills(held: DataFrame, parsed: DataFrame, key: str, order: Sequen
 
 
 def code_match_rows(cards: DataFrame, rows: DataFrame, group: str) -> DataFrame:
-    """One-to-one matches of cards (card_pos, code) and rows (row_pos, code) of a group, greedy in card order.
+    """One-to-one matches of cards (card_pos, code) and rows (row_pos, code, context) of a group, in card order.
 
-    Each card takes the first free row of its exact code, else the first free row whose code matches once a prefix that
-    the group's name accounts for is added. Equal codes are paired k-th with k-th by rank; only groups where a looser
-    match can compete go through Python, one small group at a time.
+    Each card in turn takes the first free row of its exact code, else the first free row whose code matches once a
+    prefix that the row's ``context`` (null or no such column: the group's name) accounts for is added. Only codes with
+    one rest behind their letters compete, so that each such rest is a group of its own. Where all its codes are equal,
+    cards and rows are paired k-th with k-th by rank; the others, small ones, go through Python in order.
     """
-    c = cards.withColumn("norm", normalize_card_code(F.col("code")))
-    r = rows.withColumn("norm", normalize_card_code(F.col("code")))
-    rank = lambda pos: F.row_number().over(Window.partitionBy(group, "norm").orderBy(pos))
-    exact = c.withColumn("k", rank("card_pos")).join(r.withColumn("k", rank("row_pos")).select(group, "norm", "k", "row_pos"), [group, "norm", "k"]).select(group, "card_pos", "row_pos")
-    left_cards = c.join(exact, [group, "card_pos"], "left_anti").select(group, "card_pos", F.lit(None).cast("long").alias("row_pos"), "norm")
-    left_rows = r.join(exact, [group, "row_pos"], "left_anti").select(group, F.lit(None).cast("long").alias("card_pos"), "row_pos", "norm")
+    if "context" not in rows.columns:
+        rows = rows.withColumn("context", F.lit(None).cast("string"))
+    none = F.lit(None).cast("long")
+    code = normalize_card_code(F.col("code"))
+    c = cards.select(group, F.col("card_pos").cast("long").alias("card_pos"), none.alias("row_pos"), code.alias("norm"), F.lit(None).cast("array<string>").alias("names"))
+    names = tokens(F.coalesce(F.col("context"), F.col(group)))
+    r = rows.select(group, none.alias("card_pos"), F.col("row_pos").cast("long").alias("row_pos"), code.alias("norm"), names.alias("names"))
+    both = c.unionByName(r).withColumns({"rest": code_rest(F.col("norm")), "prefix": code_prefix(F.col("norm"))})
+    mixed = both.groupBy(group, "rest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select(group, "rest")
+    plain = both.join(mixed, [group, "rest"], "left_anti")
+
+    def ranked(pos: str) -> DataFrame:
+        return plain.where(F.col(pos).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(group, "norm").orderBy(pos))).select(group, "norm", "k", pos)
+
+    exact = ranked("card_pos").join(ranked("row_pos"), [group, "norm", "k"]).select(group, "card_pos", "row_pos", F.lit("exact").alias("how"))
 
     def greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = {t for t in "".join(ch if ch.isalnum() else " " for ch in str(key[0]).lower()).split()}
-        free = pdf[pdf.card_pos.isna()].sort_values("row_pos")[["row_pos", "norm"]].values.tolist()
+        free = pdf[pdf.card_pos.isna()].sort_values("row_pos")[["row_pos", "prefix", "names"]].values.tolist()
         out = []
-        for pos, code in pdf[pdf.row_pos.isna()].sort_values("card_pos")[["card_pos", "norm"]].values.tolist():
-            prefix = code[: len(code) - len(code.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))]
-            for k, (row_pos, other) in enumerate(free):
-                own = other[: len(other) - len(other.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))]
-                if code[len(prefix) :] == other[len(own) :] and bool(prefix) != bool(own) and (prefix or own).lower() in tokens:
-                    out.append((key[0], int(pos), int(row_pos)))
-                    free.pop(k)
-                    break
-        return pd.DataFrame(out, columns=[group, "card_pos", "row_pos"])
+        for pos, own in pdf[pdf.row_pos.isna()].sort_values("card_pos")[["card_pos", "prefix"]].values.tolist():
+            def fits(other: str, held: list[str], own: str = own) -> bool:
+                return bool(own) != bool(other) and (own or other).lower() in held
+
+            at = next((k for k, (_, p, _) in enumerate(free) if p == own), None)
+            how = "exact" if at is not None else "prefix"
+            if at is None:
+                at = next((k for k, (_, p, held) in enumerate(free) if fits(p, held)), None)
+            if at is not None:
+                out.append((key[0], int(pos), int(free.pop(at)[0]), how))
+        return pd.DataFrame(out, columns=[group, "card_pos", "row_pos", "how"])
 
     kind = dict(cards.dtypes)[group]
-    loose = left_cards.unionByName(left_rows).groupBy(group).applyInPandas(greedy, f"{group} {kind}, card_pos long, row_pos long")
-    return exact.select(group, F.col("card_pos").cast("long"), F.col("row_pos").cast("long"), F.lit("exact").alias("how")).unionByName(loose.withColumn("how", F.lit("prefix")))
+    loose = both.join(mixed, [group, "rest"], "left_semi").groupBy(group, "rest").applyInPandas(greedy, f"{group} {kind}, card_pos long, row_pos long, how string")
+    return exact.unionByName(loose)
+
+
+def scored_candidates(targets: DataFrame, candidates: DataFrame, target: str, name: str, candidate: str, title: str, suffix: str, bonus: float = 0.25) -> DataFrame:
+    """Candidates that share a token with a target, with ``score``: the share of the target's tokens that the title has,
+    plus ``bonus`` if the title ends as the target expects (column ``suffix``).
+
+    Both sides meet by tokens; of the tokens that a pair shares, the first one alone makes a row.
+    """
+    t = targets.select(target, suffix, tokens(F.col(name)).alias("own")).withColumn("token", F.explode("own"))
+    c = candidates.select(candidate, title, tokens(F.col(title)).alias("theirs")).withColumn("token", F.explode("theirs"))
+    shared = F.array_intersect("own", "theirs")
+    rows = t.join(c, "token").where(F.col("token") == shared[0])
+    ends = F.coalesce(F.lower(F.col(title)).endswith(F.lower(F.col(suffix))), F.lit(False))
+    return rows.select(target, candidate, (F.size(shared) / F.size("own") + F.when(ends, bonus).otherwise(0.0)).alias("score"))
 
 
 def best_candidate(scored: DataFrame, target: str, score: str, position: str) -> DataFrame:

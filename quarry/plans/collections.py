@@ -18,14 +18,14 @@ def _available(t):
     return L.available_cards(t("cards"), t(GROUPS), ["full", "alt", "mega"], t(OVER), F.when(F.col("set_id").endswith("2"), "alt"))
 
 
-@query(f"WITH a AS ({AVAILABLE}), s AS ({SPECIES}), o AS (SELECT DISTINCT species FROM {{owned}} WHERE owner < 20) SELECT generation, count(*) AS total, count(o.species) AS owned, count(CASE WHEN o.species IS NOT NULL OR s.species IN (SELECT species FROM a) THEN 1 END) AS possible, count(CASE WHEN o.species IS NOT NULL OR s.species IN (SELECT species FROM a) THEN 1 END) - count(o.species) AS missing FROM s LEFT JOIN o USING (species) GROUP BY generation")
+@query(f"WITH a AS ({AVAILABLE}), s AS ({SPECIES}), o AS (SELECT DISTINCT species FROM {{owned}}) SELECT generation, count(*) AS total, count(o.species) AS owned, count(CASE WHEN o.species IS NOT NULL OR s.species IN (SELECT species FROM a) THEN 1 END) AS possible, count(CASE WHEN o.species IS NOT NULL OR s.species IN (SELECT species FROM a) THEN 1 END) - count(o.species) AS missing FROM s LEFT JOIN o USING (species) GROUP BY generation")
 def a1_collection_stats(t):
-    return L.collection_stats(t(SPECIES), t("owned").where("owner < 20"), _available(t), "species", "generation")
+    return L.collection_stats(t(SPECIES), t("owned"), _available(t), "species", "generation")
 
 
-@query("SELECT c_nationkey, count(*) AS n_rows, least(100.0, coalesce(round(count(*) * 100.0 / nullif(count(DISTINCT species), 0)), 0.0)) AS percent FROM {owned} JOIN customer ON c_custkey = owner WHERE owner < 60 GROUP BY c_nationkey")
+@query("SELECT c_nationkey, count(*) AS n_rows, least(100.0, coalesce(round(count(*) * 100.0 / nullif(count(DISTINCT species), 0)), 0.0)) AS percent FROM {owned} JOIN customer ON c_custkey = owner GROUP BY c_nationkey")
 def a2_completion_summary(t):
-    rows = t("owned").where("owner < 60").join(t("customer"), F.col("c_custkey") == F.col("owner")).groupBy("c_nationkey")
+    rows = t("owned").join(t("customer"), F.col("c_custkey") == F.col("owner")).groupBy("c_nationkey")
     return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("species").alias("n")).select("c_nationkey", "n_rows", L.percent(F.col("n_rows"), F.col("n")).alias("percent"))
 
 
@@ -39,10 +39,10 @@ def a4_available_cards(t):
     return _available(t).groupBy("species").agg(F.count("*").alias("n_available"))
 
 
-@query(f"WITH a AS (SELECT species, count(*) AS n FROM ({AVAILABLE}) GROUP BY species) SELECT s.species, CASE WHEN s.species IN (SELECT species FROM {{owned}} WHERE owner < 3) THEN 'owned' WHEN coalesce(n, 0) = 0 THEN 'unavailable' ELSE 'available' END AS state FROM ({SPECIES}) s LEFT JOIN a USING (species)")
+@query(f"WITH a AS (SELECT species, count(*) AS n FROM ({AVAILABLE}) GROUP BY species) SELECT s.species, CASE WHEN s.species IN (SELECT species FROM {{owned}}) THEN 'owned' WHEN coalesce(n, 0) = 0 THEN 'unavailable' ELSE 'available' END AS state FROM ({SPECIES}) s LEFT JOIN a USING (species)")
 def a5_tile_state(t):
     counts = _available(t).groupBy("species").agg(F.count("*").alias("n"))
-    own = t("owned").where("owner < 3").select("species").distinct().withColumn("own", F.lit(True))
+    own = t("owned").select("species").distinct().withColumn("own", F.lit(True))
     rows = t(SPECIES).join(counts, "species", "left").join(own, "species", "left")
     return rows.select("species", L.tile_state(F.col("own").isNotNull(), F.coalesce("n", F.lit(0))).alias("state"))
 

@@ -21,15 +21,22 @@ def j12_fuzzy_set_match(t):
     return X.fuzzy_set_match(t("part"), t(FRAGMENTS), "p_name", "frag")
 
 
-ENGLISH = """WITH j AS (SELECT c.id, s.source_id, coalesce(contains(lower(c.name), lower(s.name)), false) AS ok FROM {cards} c LEFT JOIN {source} s ON s.set_id = c.set_id AND CAST(s.local_id AS INT) = CAST(c.local_id AS INT)),
-  g AS (SELECT id, count(source_id) AS n, count(CASE WHEN ok AND source_id IS NOT NULL THEN 1 END) AS n_ok, min(source_id) AS single, min(CASE WHEN ok THEN source_id END) AS one FROM j GROUP BY id)
-  SELECT id, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'primary' WHEN n_ok = 1 THEN 'disambiguated' ELSE 'ambiguous' END AS kind, CASE WHEN n = 1 THEN single WHEN n > 1 AND n_ok = 1 THEN one END AS source_id FROM g"""
+#: Cards, and a source that names some sets longer (one match) and some in two ways (ambiguous), lacks numbers and species.
+OURS = "SELECT id AS card_id, lower(set_id) AS set_key, CAST(CAST(local_id AS INT) AS STRING) AS local_key, lower(name) AS name_key, species, set_id, image FROM {cards}"
+THEIRS = """SELECT source_id, CASE WHEN set_id LIKE '%3' THEN lower(set_id) || ' deluxe' WHEN set_id LIKE '%5' THEN lower(set_id) || CASE WHEN species % 2 = 0 THEN ' one' ELSE ' two' END ELSE lower(set_id) END AS set_key,
+  CASE WHEN source_id % 70 = 0 THEN NULL ELSE CAST(CAST(local_id AS INT) % 20 AS STRING) END AS local_key, lower(name) AS name_key, species, image, split_part(lower(name), ' ', 2) AS kind FROM {source}"""
+#: The source's set that each set of ours stands for: the equal one, else the only one that contains it or lies in it.
+RESOLVED = f"""SELECT c.set_key, CASE WHEN count(CASE WHEN s.set_key = c.set_key THEN 1 END) > 0 THEN c.set_key WHEN count(*) = 1 THEN min(s.set_key) END AS target
+  FROM (SELECT DISTINCT set_key FROM ({OURS})) c JOIN (SELECT DISTINCT set_key FROM ({THEIRS})) s
+  ON s.set_key = c.set_key OR length(c.set_key) >= 3 AND length(s.set_key) >= 3 AND (contains(s.set_key, c.set_key) OR contains(c.set_key, s.set_key)) GROUP BY c.set_key"""
+ENGLISH = f"""SELECT card_id, CASE WHEN n = 0 THEN 'none' WHEN n = 1 OR m = 1 THEN 'primary' ELSE 'ambiguous' END AS kind, CASE WHEN n = 1 THEN single WHEN m = 1 THEN one END AS source_id FROM (
+  SELECT card_id, count(source_id) AS n, min(source_id) AS single, count(CASE WHEN ok THEN source_id END) AS m, min(CASE WHEN ok THEN source_id END) AS one FROM (
+    SELECT c.card_id, s.source_id, s.name_key = c.name_key OR contains(s.name_key, c.name_key) OR contains(c.name_key, s.name_key) OR contains(c.name_key, s.kind) OR contains(s.kind, c.name_key) AS ok
+    FROM ({OURS}) c LEFT JOIN ({RESOLVED}) r ON r.set_key = c.set_key LEFT JOIN ({THEIRS}) s ON s.set_key = r.target AND s.local_key = c.local_key) GROUP BY card_id)"""
 
 
 def _english(t):
-    cards = t("cards").select("id", "set_id", "name", F.col("local_id").cast("int").alias("n"))
-    source = t("source").select("set_id", F.col("local_id").cast("int").alias("n"), F.col("name").alias("source_name"), "source_id")
-    return X.match_by_set(cards, source, ["set_id", "n"], "id", F.contains(F.lower("name"), F.lower("source_name")))
+    return X.match_english(t(OURS).select("card_id", "set_key", "local_key", "name_key"), t(THEIRS).withColumn("species_keys", F.array("kind")))
 
 
 @query(ENGLISH)
@@ -37,35 +44,42 @@ def j13_match_english(t):
     return _english(t)
 
 
-JAPANESE = """WITH j AS (SELECT c.id, s.source_id, CAST(s.local_id AS INT) = CAST(c.local_id AS INT) AS l, s.species = c.species AS sp, s.species % 5 = 0 OR s.species = c.species AS fits FROM {cards} c LEFT JOIN {source} s ON s.set_id = c.set_id),
-  g AS (SELECT id, count(CASE WHEN l THEN 1 END) AS n, min(CASE WHEN l THEN source_id END) AS one, bool_or(CASE WHEN l THEN fits END) AS fits, count(CASE WHEN sp AND source_id % 5 <> 6 THEN 1 END) AS m, min(CASE WHEN sp THEN source_id END) AS other FROM j GROUP BY id),
-  k AS (SELECT *, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 AND fits THEN 'primary' WHEN n = 1 THEN 'species-conflict' WHEN m = 1 THEN 'fallback-species' ELSE 'none' END AS kind FROM g)
-  SELECT id, kind, CASE kind WHEN 'primary' THEN one WHEN 'fallback-species' THEN other END AS source_id FROM k"""
-JAPANESE = JAPANESE.replace("s.species = c.species AS sp", "s.species % 5 <> 0 AND s.species = c.species AS sp").replace("sp AND source_id % 5 <> 6", "sp")
+NATIVE = f"""WITH c AS (SELECT x.*, r.target FROM ({OURS}) x LEFT JOIN ({RESOLVED}) r ON r.set_key = x.set_key), s AS ({THEIRS}),
+  p AS (SELECT c.card_id, c.target, c.species, count(s.source_id) AS n, min(s.source_id) AS single, bool_and(s.species % 5 = 0 OR s.species = c.species) AS fits FROM c LEFT JOIN s ON s.set_key = c.target AND s.local_key = c.local_key GROUP BY 1, 2, 3),
+  f AS (SELECT p.card_id, count(*) AS m, min(s.source_id) AS other FROM p JOIN s ON p.n = 0 AND s.set_key = p.target AND s.species % 5 <> 0 AND s.species = p.species GROUP BY 1),
+  k AS (SELECT p.*, other, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 AND fits THEN 'primary' WHEN n = 1 THEN 'species-conflict' WHEN m = 1 THEN 'fallback-species' WHEN m > 1 THEN 'ambiguous' ELSE 'none' END AS kind FROM p LEFT JOIN f ON f.card_id = p.card_id)
+  SELECT card_id, kind, CASE kind WHEN 'primary' THEN single WHEN 'species-conflict' THEN single WHEN 'fallback-species' THEN other END AS source_id FROM k"""
 
 
 def _japanese(t):
-    cards = t("cards").select("id", "set_id", F.col("local_id").cast("int").alias("n"), "species")
-    source = t("source").select("set_id", F.col("local_id").cast("int").alias("n"), F.when(F.col("species") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array("species")).alias("list"), "source_id")
-    return X.match_by_species(cards, source, "set_id", "n", "id", "species", "list")
+    species = F.when(F.col("species") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.col("species").cast("int")))
+    return X.match_japanese(t(OURS).select("card_id", "set_key", "local_key", F.col("species").cast("int").alias("species")), t(THEIRS).withColumn("species", species))
 
 
-@query(JAPANESE)
+@query(NATIVE)
 def j14_match_japanese(t):
     return _japanese(t)
 
 
-@query(f"""SELECT c.id, CASE WHEN coalesce(c.image, '') <> '' THEN 'own' WHEN e.kind = 'primary' THEN 'english' WHEN j.kind IN ('primary', 'fallback-species') THEN 'japanese' ELSE 'none' END AS how,
+@query(f"""SELECT c.id AS card_id, CASE WHEN coalesce(c.image, '') <> '' THEN 'own' WHEN e.kind = 'primary' THEN 'english' WHEN j.kind IN ('primary', 'fallback-species') THEN 'japanese' ELSE 'none' END AS how,
   CASE WHEN coalesce(c.image, '') <> '' THEN c.image WHEN e.kind = 'primary' THEN 'src/' || CAST(e.source_id // 10 AS STRING) WHEN j.kind IN ('primary', 'fallback-species') THEN 'src/' || CAST(j.source_id // 10 AS STRING) END AS image
-  FROM {{cards}} c JOIN ({ENGLISH}) e ON e.id = c.id JOIN ({JAPANESE}) j ON j.id = c.id""")
+  FROM {{cards}} c JOIN ({ENGLISH}) e ON e.card_id = c.id JOIN ({NATIVE}) j ON j.card_id = c.id""")
 def j15_resolve_assets(t):
     image = t("source").select("source_id", "image")
 
     def lent(matches, name):
-        return matches.where(X.usable(F.col("kind"))).join(image.withColumnRenamed("image", name), "source_id").select("id", name)
+        return matches.where(X.usable(F.col("kind"))).join(image.withColumnRenamed("image", name), "source_id").select("card_id", name)
 
-    rows = t("cards").select("id", "image").join(lent(_english(t), "en"), "id", "left").join(lent(_japanese(t), "ja"), "id", "left")
-    return rows.select("id", X.asset_ladder(("own", F.col("image")), ("english", F.col("en")), ("japanese", F.col("ja"))).alias("a")).select("id", "a.how", F.col("a.value").alias("image"))
+    rows = t(OURS).select("card_id", "image").join(lent(_english(t), "en"), "card_id", "left").join(lent(_japanese(t), "ja"), "card_id", "left")
+    return rows.select("card_id", X.asset_ladder(("own", F.col("image")), ("english", F.col("en")), ("japanese", F.col("ja"))).alias("a")).select("card_id", "a.how", F.col("a.value").alias("image"))
+
+
+COUNTS = "count(*) AS sampled, count(CASE WHEN kind IN ('primary', 'fallback-species') THEN 1 END) AS matched, count(CASE WHEN kind = 'fallback-species' THEN 1 END) AS via_fallback, count(CASE WHEN kind = 'species-conflict' THEN 1 END) AS conflict, count(CASE WHEN kind = 'ambiguous' THEN 1 END) AS ambiguous, count(CASE WHEN kind = 'none' THEN 1 END) AS no_match"
+
+
+@query(f"SELECT source, {COUNTS} FROM (SELECT 'english' AS source, kind FROM ({ENGLISH}) UNION ALL SELECT 'japanese', kind FROM ({NATIVE})) GROUP BY source", "a11_cross_check_counts")
+def a11_cross_check_counts(t):
+    return X.cross_check(_english(t).withColumn("source", F.lit("english")).unionByName(_japanese(t).withColumn("source", F.lit("japanese"))), "source")
 
 
 WORDS = "SELECT word, min(pos) AS pos FROM (SELECT lower(substr(text, 1, 2 + CAST(item_id % 5 AS INT))) AS word, item_id AS pos FROM {benchmark} UNION ALL SELECT 'the', 100000 UNION ALL SELECT 'the ha', 100001) AS w WHERE word NOT LIKE '% ' GROUP BY word"
@@ -143,9 +157,10 @@ def j26_code_match_rows(t):
     return X.code_match_rows(cards, rows, "set_name")
 
 
-@query("SELECT l.base_number, count(*) AS n_forms FROM (" + FORMS + ") l GROUP BY 1")
+@query(f"SELECT number, base_number, slug FROM ({FORMS}) WHERE base_number = 6 UNION ALL SELECT number, base_number, slug FROM ({FORMS}) WHERE number = 20071")
 def j32_form_lookup(t):
-    return O.form_lookup(t(FORMS), base=F.col("base_number")).groupBy("base_number").agg(F.count("*").alias("n_forms"))
+    forms = t(FORMS).select("number", "base_number", "slug")
+    return O.form_lookup(forms, base=6).unionByName(O.form_lookup(forms, number=20071))
 
 
 @query("""SELECT c.id, f.file FROM {cards} c LEFT JOIN (SELECT id, CASE WHEN id % 3 = 0 THEN 'redbolt' || CAST(id AS STRING) || '.png' WHEN id % 3 = 1 AND id % 5 <> 0 THEN 'redbolt' || CAST(id AS STRING) || '.jpg' END AS file FROM {cards}) f USING (id)""")
@@ -167,17 +182,25 @@ def j34_deep_image_stages(t):
     return staged(cards, stages, "id").groupBy("method").agg(F.count("*").alias("n"))
 
 
-SCORED = "SELECT a.item_id, b.doc_id, length(b.text) AS pos, round(length(a.text) % 7 / 7.0 + b.doc_id % 5 / 10.0 - 0.5, 6) AS score FROM {benchmark} a JOIN {documents} b ON b.doc_id % 40 = a.item_id % 40 AND b.doc_id < 400"
+TARGETS = "SELECT DISTINCT p_name AS target, p_name || ' gears' AS wanted, CASE WHEN length(p_name) % 2 = 0 THEN ' small' ELSE ' box' END AS suffix FROM {part}"
+TITLES = "SELECT p_partkey AS candidate, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' gear ' ELSE ' ' END || p_type AS title FROM {part}"
+WORDS_OF = "list_distinct(list_transform(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN left(x, length(x) - 1) ELSE x END))"
+SCORED = f"SELECT target, candidate, len(list_intersect(a, b)) / len(a) + CASE WHEN ends_with(lower(title), lower(suffix)) THEN 0.25 ELSE 0 END AS score FROM (SELECT *, {WORDS_OF.format('wanted')} AS a FROM ({TARGETS})), (SELECT *, {WORDS_OF.format('title')} AS b FROM ({TITLES})) WHERE len(list_intersect(a, b)) > 0"
+
+
+def _scored(t):
+    return X.scored_candidates(t(TARGETS), t(TITLES), "target", "wanted", "candidate", "title", "suffix")
 
 
-@query(f"SELECT item_id, doc_id, score FROM ({SCORED}) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1")
+@query(f"SELECT target, candidate, round(score, 6) AS score FROM ({SCORED}) QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) = 1")
 def w15_best_candidate(t):
-    return X.best_candidate(t(SCORED), "item_id", "score", "doc_id").select("item_id", "doc_id", "score")
+    return X.best_candidate(_scored(t), "target", "score", "candidate").select("target", "candidate", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT item_id, CASE WHEN count(*) = 1 THEN 'hit' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(doc_id) END AS doc_id, max(score) AS score, count(*) AS n_top FROM (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY score DESC) AS r FROM ({SCORED}) WHERE score >= 0.2) WHERE r = 1 GROUP BY item_id")
+@query(f"SELECT target, CASE WHEN count(*) = 1 THEN 'hit' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(candidate) END AS candidate, round(max(score), 6) AS score, count(*) AS n_top FROM (SELECT *, rank() OVER (PARTITION BY target ORDER BY score DESC) AS r FROM ({SCORED}) WHERE score >= 0.5 AND candidate % 7 <> 0) WHERE r = 1 GROUP BY target")
 def w16_best_or_ambiguous(t):
-    return X.best_or_ambiguous(t(SCORED), "item_id", "doc_id", "score", 0.2)
+    guarded = _scored(t).where("candidate % 7 <> 0")
+    return X.best_or_ambiguous(guarded, "target", "candidate", "score", 0.5).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'direct' ELSE 'variant' END AS method, CASE WHEN page_id % 3 = 0 THEN url ELSE replace(url, 'http', 'HTTP') END AS found FROM pages")

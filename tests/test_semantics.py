@@ -1,5 +1,8 @@
 """Domain semantics on small fixtures."""
 
+import random
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -89,11 +92,70 @@ def test_ambiguity_gives_nothing(spark):
     assert found == {"big ring": ("ring", "contained"), "gear": (None, "ambiguous"), "rod": ("rod", "exact"), "ab": (None, "none")}
 
 
+def in_turn(cards, rows):
+    """Each card in order takes the first free row of its code, else the first free one that a prefix accounts for."""
+
+    def parts(code):
+        letters, digits, rest = re.match(r"([A-Za-z]*)0*(\d+)(.*)", code).groups()
+        return letters.upper(), digits + rest.upper()
+
+    def words(name):
+        return {w[:-1] if len(w) > 3 and w.endswith("s") else w for w in re.findall("[a-z0-9]+", name.lower())}
+
+    def by_prefix(a, b, name):
+        return a[1] == b[1] and bool(a[0]) != bool(b[0]) and (a[0] or b[0]).lower() in words(name)
+
+    out = set()
+    for group in {c[0] for c in cards}:
+        free = sorted((r for r in rows if r[0] == group), key=lambda r: r[1])
+        for _, pos, code in sorted((c for c in cards if c[0] == group), key=lambda c: c[1]):
+            hit = next(((r, "exact") for r in free if parts(r[2]) == parts(code)), None)
+            hit = hit or next(((r, "prefix") for r in free if by_prefix(parts(code), parts(r[2]), r[3] or group)), None)
+            if hit:
+                free.remove(hit[0])
+                out.add((group, pos, hit[0][1], hit[1]))
+    return out
+
+
 def test_code_rows_are_matched_once(spark):
-    cards = spark.createDataFrame([("SM Promos", 1, "SM01"), ("SM Promos", 2, "1"), ("SM Promos", 3, "2"), ("SM Promos", 4, "XY5")], "g string, card_pos long, code string")
-    rows = spark.createDataFrame([("SM Promos", 10, "1"), ("SM Promos", 11, "SM2"), ("SM Promos", 12, "5"), ("SM Promos", 13, "1")], "g string, row_pos long, code string")
-    found = {(r["card_pos"], r["row_pos"], r["how"]) for r in X.code_match_rows(cards, rows, "g").collect()}
-    assert found == {(2, 10, "exact"), (1, 13, "prefix"), (3, 11, "prefix")}
+    cards = [("SM Promos", 1, "SM01"), ("SM Promos", 2, "1"), ("SM Promos", 3, "2"), ("SM Promos", 4, "XY5"), ("Old Gears", 5, "GEAR7")]
+    rows = [("SM Promos", 10, "1", None), ("SM Promos", 11, "SM2", None), ("SM Promos", 12, "5", "XY Box"), ("SM Promos", 13, "1", None), ("Old Gears", 14, "7", None)]
+    draw = random.Random(2)
+    code = lambda: draw.choice(["", "SM", "XY", "TG"]) + str(draw.randrange(1, 9))
+    cards += [(f"SM XY {k % 3}", 100 + k, code()) for k in range(60)]
+    rows += [(f"SM XY {k % 3}", 200 + k, code(), draw.choice([None, "TG box", "SM"])) for k in range(60)]
+    found = X.code_match_rows(spark.createDataFrame(cards, "g string, card_pos long, code string"), spark.createDataFrame(rows, "g string, row_pos long, code string, context string"), "g")
+    want = in_turn(cards, rows)
+    assert {(r["g"], r["card_pos"], r["row_pos"], r["how"]) for r in found.collect()} == want
+    assert {("SM Promos", 1, 10, "prefix"), ("SM Promos", 2, 13, "exact"), ("SM Promos", 3, 11, "prefix"), ("SM Promos", 4, 12, "prefix"), ("Old Gears", 5, 14, "prefix")} <= want
+
+
+def test_native_matches(spark):
+    cards = spark.createDataFrame([(i, "box", loc, 7) for i, loc in enumerate(["1", "2", "3", "9"])] + [(4, "two", "1", 7), (5, "none", "1", 7), (6, "lone box set", "5", 8)], "card_id int, set_key string, local_key string, species int")
+    source = [(10, "box", "1", [7]), (11, "box", "2", [4]), (12, "box", "3", []), (13, "box", "3", [7]), (14, "two", None, [7]), (15, "two", "4", [7, 7]), (16, "lone box", None, [8, 8]), (17, "box b", None, [1])]
+    found = {r["card_id"]: (r["kind"], r["source_id"]) for r in X.match_japanese(cards, spark.createDataFrame(source, "source_id int, set_key string, local_key string, species array<int>")).collect()}
+    # the conflict keeps its row; several rows of the species are ambiguous
+    assert found[0] == ("primary", 10) and found[1] == ("species-conflict", 11) and found[2] == ("ambiguous", None) and found[3] == ("ambiguous", None)
+    assert found[4] == ("ambiguous", None) and found[5] == ("none", None)
+    one = spark.createDataFrame(source[4:5] + source[6:7], "source_id int, set_key string, local_key string, species array<int>")
+    found = {r["card_id"]: (r["kind"], r["source_id"]) for r in X.match_japanese(cards, one).collect()}
+    assert found[4] == ("fallback-species", 14) and found[6] == ("fallback-species", 16)
+
+
+def test_latin_matches(spark):
+    cards = spark.createDataFrame([(1, "box", "1", "kel"), (2, "box", "2", "kel"), (3, "box", "3", "x"), (4, "box deluxe", "1", "kel")], "card_id int, set_key string, local_key string, name_key string")
+    source = spark.createDataFrame([(10, "box", "1", "other", []), (11, "box", "2", "kel two", []), (12, "box", "2", "zed", []), (13, "box", "3", "a", ["big x"]), (14, "box", "3", "b", [])], "source_id int, set_key string, local_key string, name_key string, species_keys array<string>")
+    found = {r["card_id"]: (r["kind"], r["source_id"]) for r in X.match_english(cards, source).collect()}
+    assert found == {1: ("primary", 10), 2: ("primary", 11), 3: ("primary", 13), 4: ("primary", 10)}
+
+
+def test_accents(spark):
+    import unicodedata
+
+    texts = ["Élan ÀB straße 日本語", "Ångström K\u212a e\u0301x", "ﬁ ½ Ǆ ế", "", None]
+    plain = lambda v: v if v is None else re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)).lower()).strip()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_ascii(F.col("t")).alias("a")).collect()
+    assert [r["a"] for r in rows] == [plain(r["t"]) for r in rows]
 
 
 def test_longest_species_wins(spark):
