@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words (letters, digits and characters beyond ASCII, A-Z in lower case) and the first 5 and 7 bytes of
-longer words, so that inflected forms of one stem meet. The vocabulary is every term of the examples, without a cut.
-A term weighs (1 + log tf) * idf * g: document frequencies are counted over all documents, and g, which takes the place
-of a cut, is how strongly the term tells the examples' labels apart (log-likelihood ratio), so that words which say
-nothing weigh next to nothing. Examples are a bounded, stratified sample of the labelled training rows (``EXAMPLES`` of
+longer words, so that inflected forms of one stem meet. Every term of the examples is weighed; none is cut by a count.
+A term weighs (1 + log tf) * idf * g: document frequencies are counted over all documents, and g is how far its presence
+tells the examples' labels apart, its log-likelihood ratio. Terms whose ratio is no more than chance alone would give on
+average (``CHANCE``) say nothing: they weigh nothing and take no space in the index. Examples are a bounded, stratified sample of the labelled training rows (``EXAMPLES`` of
 each label, by a hash of doc_id) without near copies, else each word of an often copied text would look telling: of two
 texts of one label that share the smallest hash of their four-word runs and 0.8 of all of those, one stays.
 
@@ -36,6 +36,8 @@ from quarry.llm.shared import held_out, keep
 
 #: Examples of each label, at most.
 EXAMPLES = 2000
+#: The log-likelihood ratio that a term which says nothing has on average (chi-square, one degree of freedom).
+CHANCE = 1.0
 #: Examples of a block, and blocks that a document scores before it looks at its bounds again.
 BLOCK, AT_ONCE = 64, 3
 NEIGHBOURS = 15
@@ -229,23 +231,36 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     if len(of_label) < 2:
         return share
 
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slabs(batches, "text"):
+            row, term, _ = term_counts(batch.column(1))
+            terms, code = np.unique(term, return_inverse=True)
+            pos = np.bincount(code, batch.column(0).to_numpy()[row], len(terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(pos), pa.array(np.bincount(code, minlength=len(terms)) - pos)], names=["term", "pos", "neg"])
+
+    held = sample.select(F.col("label").cast("int"), "text").mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    terms, pos, neg = (held.column(c).to_numpy() for c in ("term", "pos", "neg"))  # the terms of 2 * per_label texts
+    strength = likelihood_ratio(pos, neg, of_label[1], of_label[0]) if len(terms) else np.zeros(0)
+    some = np.flatnonzero(strength > CHANCE)
+    if not len(some):
+        return share
+    order = np.argsort(terms[some].view(np.uint64))
+    strength = strength[some][order]
+    vocabulary = Vocabulary(terms[some].view(np.uint64)[order])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slabs(batches, "text"):
-            row, term, tf = term_counts(batch.column(2))
+            row, code, tf = term_counts(batch.column(2), shared.value)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (term, tf.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "terms", "counts"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "codes", "counts"])
 
-    terms_of = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(described, "doc_id long, label int, terms array<long>, counts array<long>")
-    rows = keep(terms_of, "example-terms").orderBy("doc_id").toArrow().combine_chunks()  # 2 * per_label rows at most, without their texts
+    terms_of = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(described, "doc_id long, label int, codes array<long>, counts array<long>")
+    rows = terms_of.orderBy("doc_id").toArrow().combine_chunks()  # 2 * per_label rows at most, without their texts
     label = rows.column("label").to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(label)), np.asarray(pa.compute.list_value_length(rows.column("terms"))))
-    terms, tf = (np.asarray(pa.compute.list_flatten(rows.column(c))) for c in ("terms", "counts"))
-    distinct, code = np.unique(terms.view(np.uint64), return_inverse=True)
-    if not len(distinct):
-        return share
-    vocabulary = Vocabulary(distinct)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the terms of 2 * per_label texts
+    row = np.repeat(np.arange(len(label)), np.asarray(pa.compute.list_value_length(rows.column("codes"))))
+    code, tf = (np.asarray(pa.compute.list_flatten(rows.column(c))) for c in ("codes", "counts"))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -257,11 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
 
     counts = docs.select("text").mapInArrow(frequency, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the vocabulary
     at, times = counts.column("code").to_numpy(), counts.column("n").to_numpy()
-    df = np.zeros(len(distinct) + 1, np.int64)
+    df = np.zeros(len(vocabulary) + 1, np.int64)
     df[at] = times  # the last one: all documents
-    n_pos, n_neg = int(label.sum()), int((1 - label).sum())
-    pos, neg = (np.bincount(code[label[row] == y], minlength=len(distinct)) for y in (1, 0))
-    weight_of = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * likelihood_ratio(pos, neg, n_pos, n_neg)
+    n_pos, n_neg = of_label[1], of_label[0]
+    weight_of = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * strength
     weight = np.where(label == 1, n[1] / n_pos, n[0] / n_neg)
     # examples in the order of their strongest terms
     strongest = np.full(len(label), -1)

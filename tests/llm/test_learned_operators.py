@@ -80,7 +80,7 @@ def test_neighbours_of_texts_against_plain_python(spark):
         for k, size in zip(held[t], n, strict=True):
             total += k * math.log(k / size / p) if k else 0
             total += (size - k) * math.log((size - k) / size / (1 - p)) if k < size else 0
-        return max(0, 2 * total)
+        return 2 * total if 2 * total > toxicity.CHANCE + 1e-9 else 0
 
     weight = {t: (math.log((1 + len(texts)) / (1 + df[t])) + 1) * ratio(t) for t in known}
 
