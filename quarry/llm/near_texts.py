@@ -173,12 +173,11 @@ class _Bitmaps:
         return out
 
 
-def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: int, apart=None, known=None, bitmaps=None):
+def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: int, apart=None, bitmaps=None):
     """Pairs (a, b) that some groups offer, and whether each row's group has more to offer or was too large.
 
     Rows are sorted by shingle, then size. ``apart`` (two arrays: class and part, or None) leaves out pairs of one class
-    and, for parts, of one part; ``known`` holds codes of pairs, by places in the sorted distinct nodes, that are unlike;
-    ``bitmaps`` rules out pairs that can't be alike.
+    and, for parts, of one part; ``bitmaps`` rules out pairs that can't be alike.
     """
     group = np.cumsum(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)]) - 1
     held = np.bincount(group, minlength=1)[group] if len(group) else group
@@ -190,7 +189,6 @@ def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: i
     total = np.append(0, np.cumsum(n))
     more = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
     found, low = [np.zeros((0, 2), np.int64)], 0
-    places = np.unique(node, return_inverse=True)[1] if known is not None else None
     while low < len(n):
         high = max(low + 1, int(np.searchsorted(total, total[low] + (1 << 21), "right")) - 1)
         a = np.repeat(np.arange(low, high), n[low:high])
@@ -205,10 +203,6 @@ def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: i
             if part is not None:
                 near &= part[a] != part[b]
         a, b = a[near], b[near]
-        if known is not None and len(a):
-            x, y = places[a], places[b]
-            new = ~np.isin(np.minimum(x, y) * len(node) + np.maximum(x, y), known)
-            a, b = a[new], b[new]
         if bitmaps is not None and len(a):
             may = bitmaps.allow(a, b, size)
             a, b = a[may], b[may]
@@ -254,60 +248,46 @@ def _first_meeting(similarity: float):
 
 
 def _later_meeting(similarity: float, times: int):
-    """Some groups (or two parts of each), with the pairs known to be unlike, to new offers."""
+    """Some groups (or two parts of each) to their offers (a, b), and to the shingles of groups that have more to offer."""
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rows = table.filter(pa.compute.is_valid(table.column("node")))
-        unlike = table.filter(pa.compute.is_null(table.column("node")))
-        columns = [rows.column(c).to_numpy() for c in ("shingle", "node", "fp", "size", "pos", "class", "part")]
+        columns = [table.column(c).to_numpy() for c in ("shingle", "node", "fp", "size", "pos", "class", "part")]
         order = np.lexsort((columns[1], columns[3], columns[0]))
         columns = [c[order] for c in columns]
-        bitmaps = _Bitmaps(rows.column("sketch").take(pa.array(order)).to_pylist(), similarity)
-        nodes = np.unique(columns[1])
-        x, y = (np.searchsorted(nodes, unlike.column(c).to_numpy()) for c in ("a", "b"))
-        inside = (x < len(nodes)) & (y < len(nodes))
-        known = np.unique((np.minimum(x, y) * len(order) + np.maximum(x, y))[inside])
+        bitmaps = _Bitmaps(table.column("sketch").take(pa.array(order)).to_pylist(), similarity)
         across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        pairs, _ = _offers(*columns[:5], similarity, len(order), times, (columns[5], columns[6] if across else None), known, bitmaps)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pairs, more = _offers(*columns[:5], similarity, len(order), times, (columns[5], columns[6] if across else None), bitmaps)
+        rest = np.unique(columns[0][more])
+        none = [pa.nulls(n, pa.int64()) for n in (len(pairs), len(rest))]
+        columns = {"a": (pa.array(pairs[:, 0]), none[1]), "b": (pa.array(pairs[:, 1]), none[1]), "shingle": (none[0], pa.array(rest))}
+        return pa.table({k: pa.chunked_array(v, pa.int64()) for k, v in columns.items()})
 
     return meet
 
 
-def _later_offers(alive: DataFrame, unlike: DataFrame, similarity: float, times: int) -> DataFrame:
-    """New pairs (a, b) of the groups in ``alive`` (shingle, node, fp, size, pos, sketch, class)."""
-    of = alive.select("shingle", F.col("node").alias("a"))
-    of_b = alive.select("shingle", F.col("node").alias("b"))
-    known = unlike.join(of, "a").join(of_b, ["shingle", "b"]).select("shingle", "a", "b")
+def _later_offers(alive: DataFrame, similarity: float, times: int) -> DataFrame:
+    """Pairs (a, b) that the groups in ``alive`` (shingle, node, fp, size, pos, sketch, class) offer, and the shingles of
+    those that have more."""
     sizes = alive.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("class", F.struct("n", "class")).alias("main"), F.max("n").alias("n_main"))
-    sizes = keep(sizes, "group-sizes")
-    rows = simhash.TABLE_ROWS
+    rows, found = simhash.TABLE_ROWS, "a long, b long, shingle long"
     hot = sizes.where(F.col("n") > rows).select("shingle", "main", F.ceil(F.col("n_main") / rows).cast("int").alias("first"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_main")) / rows)).cast("int").alias("others"))
-    cold = sizes.where(F.col("n") <= rows).select("shingle")
+    hot = keep(hot, "hot-groups")
     total = max(1, ceil((alive.count() + 1) / BUNDLE_ROWS))
     bundle = F.pmod(F.xxhash64("shingle"), F.lit(total)).alias("bundle")
-    none = F.lit(None).cast("long")
-    zero = [F.lit(0).alias(c) for c in ("part", "low", "high")]
-    shape = ("bundle", "low", "high", "shingle", "node", "fp", "size", "pos", "sketch", "class", "part", "a", "b")
-    cold_rows = alive.join(cold, "shingle", "left_semi").select("*", bundle, none.alias("a"), none.alias("b"), *zero)
-    empty = [none.alias(c) for c in ("node", "fp", "size", "pos", "class")] + [F.lit(None).cast("binary").alias("sketch")]
-    met = cold_rows.select(*shape).unionByName(known.join(cold, "shingle", "left_semi").select("shingle", "a", "b", bundle, *empty, *zero).select(*shape))
-    found = met.groupBy("bundle", "low", "high").applyInArrow(_later_meeting(similarity, times), "a long, b long")
-    if not hot.isEmpty():
-        # the main class has parts of its own, which meet those of the others only
-        def part(node: str, main: Column) -> Column:
-            return F.when(main, F.pmod(F.xxhash64(node), F.col("first").cast("long"))).otherwise(F.col("first") + F.pmod(F.xxhash64(node), F.col("others").cast("long"))).cast("int")
-
-        own = alive.join(hot, "shingle").withColumn("part", part("node", F.col("class") == F.col("main")))
-        own = own.withColumn("other", F.explode(F.expr("sequence(if(part < first, first, 0), first + others - 1)")))
-        own = own.select("*", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), none.alias("a"), none.alias("b"), F.lit(-1).alias("bundle"))
-        parts = own.select("shingle", "node", "part").distinct()
-        ends = known.join(parts.select("shingle", F.col("node").alias("a"), F.col("part").alias("p")), ["shingle", "a"]).join(parts.select("shingle", F.col("node").alias("b"), F.col("part").alias("q")), ["shingle", "b"])
-        ends = ends.select("shingle", "a", "b", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), F.lit(0).alias("part"), F.lit(-1).alias("bundle"), *empty)
-        both = own.select(*shape).unionByName(ends.select(*shape))
-        found = found.unionByName(both.groupBy("shingle", "low", "high").applyInArrow(_later_meeting(similarity, times), "a long, b long"))
-    return found.distinct()
+    shape = ("low", "high", "shingle", "node", "fp", "size", "pos", "sketch", "class", "part")
+    meet = _later_meeting(similarity, times)
+    if hot.isEmpty():
+        return alive.select("*", bundle, *[F.lit(0).alias(c) for c in ("part", "low", "high")]).select("bundle", *shape).groupBy("bundle", "low", "high").applyInArrow(meet, found)
+    cold = alive.join(hot.select("shingle"), "shingle", "left_anti").select("*", bundle, *[F.lit(0).alias(c) for c in ("part", "low", "high")])
+    # the main class has parts of its own, which meet those of the others only
+    main = F.pmod(F.xxhash64("node"), F.col("first").cast("long"))
+    other = F.col("first") + F.pmod(F.xxhash64("node"), F.col("others").cast("long"))
+    own = alive.join(hot, "shingle").withColumn("part", F.when(F.col("class") == F.col("main"), main).otherwise(other).cast("int"))
+    own = own.withColumn("other", F.explode(F.expr("sequence(if(part < first, first, 0), first + others - 1)")))
+    own = own.select("*", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    parts = own.select(*shape).groupBy("shingle", "low", "high").applyInArrow(meet, found)
+    return cold.select("bundle", *shape).groupBy("bundle", "low", "high").applyInArrow(meet, found).unionByName(parts)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -393,11 +373,11 @@ def text_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tu
     texts = source.select("node", "text").join(F.broadcast(involved) if few else involved, "node", "left_semi")
     texts = keep(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
     pairs = screen.where("may").select("a", "b")
-    links, unlike, times = [], [], 1
+    links, seen, times, used = [], [], 1, []
     while True:
         verdict = keep(verified(pairs, texts, width, similarity), "verified")
         links.append(verdict.where("ok").select("a", "b"))
-        unlike.append(verdict.where("not ok").select("a", "b"))
+        seen.append(verdict.select("a", "b"))
         classes = keep(components(_union(links), "components"), "classes")
         alive = waiting.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         several = alive.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("shingle")
@@ -405,14 +385,15 @@ def text_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tu
         if times == 1:  # from here on groups rule out pairs by bitmaps themselves
             alive = alive.join(nodes.select("node", "sketch"), "node")
         alive = keep(alive, "waiting")
-        discard(*([] if times == 1 else [waiting, pairs]))
-        times *= 4
-        waiting = alive.drop("class")
-        if not alive.isEmpty():
-            pairs = keep(_later_offers(alive, _union(unlike), similarity, times), "offers")
-        if alive.isEmpty() or pairs.isEmpty():
+        discard(*used)
+        if alive.isEmpty():
             discard(texts, screen, involved, alive)
             return rows, classes
+        times *= 4
+        met = keep(_later_offers(alive, similarity, times), "offers")
+        pairs = met.where("a is not null").select("a", "b").distinct().join(_union(seen), ["a", "b"], "left_anti")
+        waiting = alive.drop("class").join(met.where("shingle is not null").select("shingle").distinct(), "shingle", "left_semi")
+        used = [alive, met]
 
 
 def _named(rows: DataFrame, classes: DataFrame) -> DataFrame:
