@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
@@ -92,15 +92,14 @@ def term_counts(column: pa.Array, vocabulary: Vocabulary | None = None) -> tuple
     return row, (distinct[code].view(np.int64) if vocabulary is None else code), counts
 
 
-def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """How strongly the presence of terms tells labels apart: log-likelihood ratios from the examples that hold them."""
+def likelihood_ratio(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """How strongly the presence of a term tells labels apart: log-likelihood ratio from the examples that hold it."""
 
-    def part(k: np.ndarray, n: int) -> np.ndarray:
-        share = np.where(k > 0, k * np.log(np.maximum(k, 1) / n / p), 0.0)
-        return share + np.where(k < n, (n - k) * np.log(np.maximum(n - k, 1) / n / np.maximum(1 - p, 1e-300)), 0.0)
+    def part(k: Column, n: int) -> Column:
+        return F.when(k > 0, k * F.log(k / n / p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / n / (1 - p))).otherwise(0.0)
 
     p = (pos + neg) / (n_pos + n_neg)
-    return np.maximum(2 * (part(pos, n_pos) + part(neg, n_neg)), 0)
+    return 2 * (part(pos, n_pos) + part(neg, n_neg))
 
 
 @dataclass
@@ -238,15 +237,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
             pos = np.bincount(code, batch.column(0).to_numpy()[row], len(terms)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(pos), pa.array(np.bincount(code, minlength=len(terms)) - pos)], names=["term", "pos", "neg"])
 
-    held = sample.select(F.col("label").cast("int"), "text").mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
-    terms, pos, neg = (held.column(c).to_numpy() for c in ("term", "pos", "neg"))  # the terms of 2 * per_label texts
-    strength = likelihood_ratio(pos, neg, of_label[1], of_label[0]) if len(terms) else np.zeros(0)
-    some = np.flatnonzero(strength > CHANCE)
-    if not len(some):
+    counted = sample.select(F.col("label").cast("int"), "text").mapInArrow(presence, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    telling = counted.select("term", likelihood_ratio(F.col("pos"), F.col("neg"), of_label[1], of_label[0]).alias("ratio")).where(F.col("ratio") > CHANCE)
+    held = telling.toArrow()  # terms of 2 * per_label texts
+    if not held.num_rows:
         return share
-    order = np.argsort(terms[some].view(np.uint64))
-    strength = strength[some][order]
-    vocabulary = Vocabulary(terms[some].view(np.uint64)[order])
+    terms = held.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    strength, vocabulary = held.column("ratio").to_numpy()[order], Vocabulary(terms[order])
+    del held, terms
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
