@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.shared import fresh, keep
+from quarry.llm.shared import discard, fresh, keep
 
 #: Phrases that are broadcast at once.
 MAX_PHRASES = 1_000_000
@@ -219,6 +219,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) ->
     names = fresh("number", docs.columns), fresh("digest", docs.columns)
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     rows = docs.select(row.alias("doc_id"), "text")
-    hit = decontaminate(rows, items, window).where("n_hit > 0").select("doc_id").distinct()
-    hit = keep(hit, "contaminated").toDF(names[0])
+    index = build_index(rows)
+    hit = keep(search(index, items, window).where("n_hit > 0").select("doc_id").distinct(), "contaminated").toDF(names[0])
+    discard(index)
     return docs.withColumn(names[1], row).join(hit, F.col(names[1]) == F.col(names[0]), "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import keep
+from quarry.llm.shared import discard, keep
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
 
     ``edges``: a, b (long); direction, repeats and loops don't matter; rows with a null are left out. Each round links a
     node's larger neighbours to its smallest one, then its smaller ones; rounds end when the edges are stars already.
-    Every round is written to the shared folder. Groups are only reduced to their minimum, so that a node with very
+    Every round is written to the shared folder, and the one before is freed. Groups are only reduced to their minimum, so that a node with very
     many neighbours is never gathered in one task.
     """
     both = edges.where("a is not null and b is not null and a <> b")
@@ -28,6 +28,7 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         after = keep(small.where("a <> b").distinct(), name)
         sums = [x.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first() for x in (links, after)]
+        discard(links)
         links = after
         if sums[0] == sums[1]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

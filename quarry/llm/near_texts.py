@@ -363,7 +363,7 @@ def text_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tu
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # COMMON rows at most
     sent = source.mapInArrow(_send(width, similarity, bundles, shared), _SENT)
     found = keep(sent.groupBy("bundle").applyInArrow(_first_meeting(similarity), _FOUND), "meetings")
-    rows = found.where("sketch is not null").select("doc_id", "node", "fp")
+    rows = keep(found.where("sketch is not null").select("doc_id", "node", "fp"), "rows")
     nodes = keep(found.where("sketch is not null").groupBy("node").agg(*[F.max(c).alias(c) for c in ("fp", "size", "sketch")]), "nodes")
     waiting = found.where("shingle is not null").select("shingle", "node", "fp", "size", "pos")
     offers = found.where("a is not null").select("a", "b").unionByName(_fingerprint_pairs(nodes.select("node", "fp"))).distinct()
@@ -372,13 +372,16 @@ def text_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tu
     few = involved.count() <= BROADCAST_NODES
     texts = source.select("node", "text").join(F.broadcast(involved) if few else involved, "node", "left_semi")
     texts = keep(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
+    discard(involved)
     pairs = screen.where("may").select("a", "b")
-    links, seen, times, used = [], [], 1, []
+    links, seen, times, used = [], [], 1, [found, nodes, screen]  # used: tables that no step reads once groups are kept
     while True:
         verdict = keep(verified(pairs, texts, width, similarity), "verified")
         links.append(verdict.where("ok").select("a", "b"))
         seen.append(verdict.select("a", "b"))
-        classes = keep(components(_union(links), "components"), "classes")
+        stars = components(_union(links), "components")
+        classes = keep(stars, "classes")
+        discard(stars)
         alive = waiting.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         several = alive.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("shingle")
         alive = alive.join(several, "shingle", "left_semi")
@@ -387,13 +390,13 @@ def text_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tu
         alive = keep(alive, "waiting")
         discard(*used)
         if alive.isEmpty():
-            discard(texts, screen, involved, alive)
+            discard(texts, alive, *links)
             return rows, classes
         times *= 4
         met = keep(_later_offers(alive, similarity, times), "offers")
         pairs = met.where("a is not null").select("a", "b").distinct().join(_union(seen), ["a", "b"], "left_anti")
         waiting = alive.drop("class").join(met.where("shingle is not null").select("shingle").distinct(), "shingle", "left_semi")
-        used = [alive, met]
+        used = [alive, met, classes]
 
 
 def _named(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -419,10 +422,12 @@ def first_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     smallest hash stays.
     """
     rows, classes = text_classes(docs, width, similarity)
-    heads = _named(rows, classes).select("head.doc_id", "head.node").distinct()
+    named = _named(rows, classes)
+    heads = named.select("head.doc_id", "head.node").distinct()
     times = rows.groupBy("doc_id", "node").agg(F.count("*").alias("times"))
     heads = heads.join(times, heads["node"].eqNullSafe(times["node"]) & heads["doc_id"].eqNullSafe(times["doc_id"])).select(heads["doc_id"], heads["node"], "times")
     heads = keep(heads, "heads")
+    discard(rows, classes, named)
     node, key = fresh("node", docs.columns), fresh("key", docs.columns)
     marked = docs.withColumns({node: node_of(F.col("text")), key: F.col("doc_id").cast("long")})
 
