@@ -4,7 +4,8 @@
 character transitions (digit to letter, lower to upper, ...), its spread of characters, the share of it that dictionary
 words cover, its path (how rich in candidates the source is) and its neighbouring words: what stands before it, and how
 strongly labelled findings with that word before them are secrets. A random forest, fitted on labelled findings (at
-most ``FINDINGS`` of each label, by a hash of the row), gives each candidate the probability of being a secret.
+most ``FINDINGS`` of each label, by a hash of the row), gives each candidate the probability of being a secret. While it
+learns, a finding's neighbouring words are weighed by the other half of the findings, so that no label describes itself.
 
 ``weak_labels`` labels findings where no hand-made labels are given: known key prefixes and assignments to a secret's
 name are secrets, bare numbers and bare words are not, and everything else stays unlabelled.
@@ -90,10 +91,10 @@ def weak_labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(secret, 1).when(plain, 0))
 
 
-def _weights(findings: DataFrame, column: str) -> DataFrame:
+def _weights(findings: DataFrame, column: str, *by: str) -> DataFrame:
     """Log odds of label 1 by the word in ``column``, smoothed; as many rows as words of the bounded findings."""
     pos, neg = F.sum("label"), F.sum(1 - F.col("label"))
-    return findings.groupBy(column).agg(F.log((pos + 0.5) / (neg + 0.5)).alias(f"{column}_weight"))
+    return findings.groupBy(column, *by).agg(F.log((pos + 0.5) / (neg + 0.5)).alias(f"{column}_weight"))
 
 
 def scan(docs: DataFrame, dictionary: DataFrame, findings: DataFrame | None = None, per_label: int = FINDINGS, seed: int = 5) -> DataFrame:
@@ -109,23 +110,23 @@ def scan(docs: DataFrame, dictionary: DataFrame, findings: DataFrame | None = No
         given = findings.where("label in (0, 1)").groupBy("doc_id", "candidate").agg(F.max("label").alias("label"))
         known = rows.join(given, ["doc_id", "candidate"])
     chosen = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "candidate"), "doc_id", "start").limit(per_label) for y in (0, 1)]
-    known = keep(chosen[0].unionByName(chosen[1]), "findings")
+    half = F.pmod(F.xxhash64("candidate"), F.lit(2)).alias("half")
+    known = keep(chosen[0].unionByName(chosen[1]).select("*", half), "findings")
     n = {int(y): c for y, c in known.groupBy("label").count().collect()}
     if len(n) < 2:
         share = float(n.get(1, 0) > 0)
         return rows.select("doc_id", "source", "candidate", "start", "n_found", F.lit(share).alias("probability"))
     # at most 2 * per_label rows each
-    words = F.broadcast(_weights(known, "word"))
-    nexts = F.broadcast(_weights(known, "next"))
+    other = known.withColumn("half", 1 - F.col("half"))
 
-    def complete(df: DataFrame) -> DataFrame:
-        df = df.join(words, "word", "left").join(nexts, "next", "left")
-        df = df.withColumn("word_weight", F.coalesce("word_weight", F.lit(0.0))).withColumn("next_weight", F.coalesce("next_weight", F.lit(0.0)))
+    def complete(df: DataFrame, findings: DataFrame, *by: str) -> DataFrame:
+        for c in ("word", "next"):
+            df = df.join(F.broadcast(_weights(findings, c, *by)), [c, *by], "left").withColumn(f"{c}_weight", F.coalesce(f"{c}_weight", F.lit(0.0)))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt")
-    model = forest.fit(complete(known).withColumn("label", F.col("label").cast("double")))
-    scored = model.transform(complete(rows))
+    model = forest.fit(complete(known, other, "half").withColumn("label", F.col("label").cast("double")))
+    scored = model.transform(complete(rows, known))
     return scored.select("doc_id", "source", "candidate", "start", "n_found", vector_to_array("probability")[1].alias("probability"))
 
 
