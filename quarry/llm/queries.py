@@ -41,9 +41,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    records = _table(spark, sf_dir, "documents").select("doc_id", sharding.sizes(text).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    found = sharding.two_pass_shuffle(records, shards=16)
-    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    found = sharding.two_pass_shuffle(_table(spark, sf_dir, "documents"), shards=16, size=sharding.sizes(text))
+    return found.select("doc_id", sharding.sizes(text).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

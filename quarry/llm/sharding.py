@@ -7,8 +7,9 @@ shards' counts differ by one at most, and slots have no gap.
 
 A record's hash takes its number within the input partition besides its id, so that rows which repeat an id (or whole
 rows that repeat) scatter like any others: no bucket depends on how often a value occurs. The order is fixed by the
-seed, the input files and how Spark splits them; once written, it doesn't change when a task runs again. Each bucket is
-a partition of its own number, which fixes the random numbers that its shuffle draws.
+seed, the input files and how Spark splits them; once written, it doesn't change when a task runs again. A hash of a
+bucket's number names its partition, where buckets follow in order of their numbers; that fixes the random numbers that
+each one's shuffle draws.
 
 Defined results: null ids and null columns are records like any other; an empty table gives no rows; other columns
 travel with their record under their own names, and those named shard or slot are replaced.
@@ -41,7 +42,7 @@ def two_pass_shuffle(df: DataFrame, shards: int, id_col: str = "doc_id", size: C
     buckets = max(1, ceil(total / bucket_bytes))
     number = F.monotonically_increasing_id()
     scattered = df.select(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), number), F.lit(buckets)).alias("bucket"), F.xxhash64(F.lit(seed + 1), F.col(id_col), number).alias("key"), F.struct(*[df[c] for c in df.columns]).alias("record"))
-    # one partition for each bucket number, its records in an order that doesn't depend on how they arrived
+    # whole buckets by partition, records in an order that doesn't depend on how they arrived
     gathered = scattered.repartition(buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "record")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("records"))
     shuffled = keep(gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", seed).alias("records")), "shuffled-buckets")
     counts = shuffled.select("bucket", F.size("records").cast("long").alias("n"))
