@@ -16,15 +16,15 @@ from quarry.sources.folders import scratch
 
 @query("SELECT CAST(p_size AS STRING) AS key, p_partkey AS id, p_name AS name FROM part")
 def s1_read_catalog(t):
-    part = t("part")
-    lists = part.groupBy("p_size").agg(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).alias("items"))
-    texts = lists.select(F.to_json(F.create_map(F.col("p_size").cast("string"), "items")).alias("value"))
-    broken = texts.limit(1).select(F.lit('{"1": [').alias("value"))
-    path = scratch(part.sparkSession, "catalog")
-    texts.unionByName(broken).write.text(path)
-    item = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
-    # a line of a catalog file is a catalog of its own here
-    return S.parse_catalog(part.sparkSession.read.text(path), "value", item).drop("pos")
+    """A catalog file for each thousand parts, and one that is broken; files grow in number, not in length."""
+    item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    lists = t("part").groupBy(F.floor(F.col("p_partkey") / 1000).alias("file"), F.col("p_size").cast("string").alias("key")).agg(F.collect_list(item).alias("items"))
+    texts = lists.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "items")))).alias("value"))
+    broken = t("SELECT -1L AS file, '{\"1\": [' AS value")
+    path = scratch(texts.sparkSession, "catalog")
+    texts.unionByName(broken).repartition("file").write.partitionBy("file").text(path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    return S.read_catalog(texts.sparkSession, path, schema, "*.txt").drop("pos")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997")
@@ -35,11 +35,16 @@ def s2_read_catalog_partition(t):
     return S.read_catalog_partition(orders.sparkSession, path, y=1997).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT event_type, count(*) AS n, count(CASE WHEN event_id % 7 = 0 THEN 1 END) AS n_broken FROM events GROUP BY event_type")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS name, s_suppkey % 7 = 0 AS broken FROM supplier")
 def s3_read_record_tree(t):
-    texts = t("events").select("event_type", F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("value"))
-    parsed = S.split_corrupt(texts, "value", T.StructType([T.StructField("k", T.LongType())]))
-    return parsed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("broken")).alias("n_broken"))
+    """A folder with one record for each supplier; every seventh record is cut off."""
+    record = F.to_json(F.struct(F.col("s_name").alias("name")))
+    texts = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, F.substring(record, 1, 6)).otherwise(record).alias("value"))
+    path = scratch(texts.sparkSession, "records")
+    texts.write.partitionBy("s_suppkey").text(path)
+    read = S.read_record_tree(texts.sparkSession, path, T.StructType([T.StructField("name", T.StringType())]), "*.txt")
+    key = F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long")
+    return read.select(key.alias("s_suppkey"), F.when(~F.col("broken"), F.col("record.name")).alias("name"), "broken")
 
 
 @query("SELECT max(p_brand) AS latest FROM part WHERE p_brand LIKE 'Brand#1%'")
@@ -70,6 +75,16 @@ def s8_dimension_gaps(t):
     return S.gaps(t("orders").where("o_orderkey % 10 <> 3 and o_orderkey % 17 > 1"), "o_orderkey")
 
 
+@query("SELECT CAST(p_partkey + 1 AS INTEGER) AS species_id, p_name || '''' AS name FROM part")
+def s8_read_species(t):
+    # two languages; the numbers of one must have no gap
+    part = t("part").select(F.expr("p_partkey + 1").alias("species_id"), F.concat("p_name", F.lit("’")).alias("name"))
+    rows = part.select("species_id", F.lit("9").alias("language_id"), "name").unionByName(part.select("species_id", F.lit("1").alias("language_id"), F.upper("name").alias("name")))
+    path = scratch(part.sparkSession, "species")
+    rows.write.option("header", True).csv(path)
+    return S.require_gapless(S.read_species(part.sparkSession, path, "9"), "species_id", part.count())
+
+
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 4 = 1 THEN lower(n_name) END AS other_name, CASE WHEN n_nationkey % 4 = 1 THEN 'renamed' ELSE 'missing' END AS issue FROM nation WHERE n_nationkey % 4 < 2")
 def s9_dimension_diff(t):
     other = t("nation").where("n_nationkey % 4 <> 0").select("n_nationkey", F.when(F.col("n_nationkey") % 4 == 1, F.lower("n_name")).otherwise(F.col("n_name")).alias("n_name"))
@@ -120,10 +135,18 @@ def s16_set_index(t):
     return S.set_index(t("pages").select("url"), "url", 5, F.regexp_extract("url", "://([^/]+)", 1)).select("set_id", "path")
 
 
-@query("SELECT split_part(url, '/', -2) AS set_slug, split_part(url, '/', -1) AS card_slug FROM pages WHERE url NOT LIKE '%/'")
+@query("SELECT split_part(rtrim(url, '/'), '/', -2) AS set_slug, split_part(rtrim(url, '/'), '/', -1) AS card_slug FROM pages")
 def s17_slug_index(t):
-    return S.slug_index(t("pages").where("url not like '%/'"), "url")
+    return S.slug_index(t("pages"), "url")
+
 
+@query("SELECT 'type' AS field, p_type AS source, min(p_brand) AS target FROM part GROUP BY p_type")
+def s17_read_translation(t):
+    """A dictionary as it was written; that of an absent file adds nothing."""
+    rows = t("part").groupBy(F.col("p_type").alias("source")).agg(F.min("p_brand").alias("target")).select(F.lit("type").alias("field"), "source", "target")
+    path = scratch(rows.sparkSession, "dictionary")
+    rows.write.json(path)
+    return S.read_translation(rows.sparkSession, path).unionByName(S.read_translation(rows.sparkSession, None))
 
 
 def _wiki(t):

@@ -20,9 +20,9 @@ def parse_catalog(texts: DataFrame, column: str, item: T.DataType) -> DataFrame:
     return lists.select("key", F.posexplode("items").alias("pos", "item")).select("key", "pos", "item.*")
 
 
-def read_catalog(spark: SparkSession, path: str, item: T.DataType = CARD) -> DataFrame:
-    """Catalog files below ``path``, with language from the first path part; a broken file reads as no data."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+def read_catalog(spark: SparkSession, path: str, item: T.DataType = CARD, pattern: str = "*.json") -> DataFrame:
+    """All catalog files below ``path``, each one JSON text; a broken file reads as no data."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
     return parse_catalog(texts, "value", item)
 
 
@@ -37,7 +37,7 @@ def language_from_path(path: Column, root: str = "") -> Column:
 
 
 def write_catalog(df: DataFrame, path: str, partitions: Sequence[str] = ("language", "generation")) -> None:
-    """Partitioned Parquet, one task for each partition value and range of ids, so that readers prune by folder."""
+    """Partitioned Parquet, one task for each partition value, so that readers prune by folder."""
     df.repartition(*partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
@@ -180,5 +180,6 @@ def read_translation(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def slug_index(paths: DataFrame, path: str) -> DataFrame:
-    """Card slug to set slug from the last two folder names of a path."""
-    return paths.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("set_slug"), F.regexp_extract(path, r"([^/]+)$", 1).alias("card_slug"))
+    """Card slug to set slug from the last two folder names of a path; slashes at its end don't count."""
+    names = F.split(F.regexp_replace(path, "/+$", ""), "/")
+    return paths.select(F.coalesce(F.try_element_at(names, F.lit(-2)), F.lit("")).alias("set_slug"), F.element_at(names, -1).alias("card_slug"))

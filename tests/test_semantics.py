@@ -231,3 +231,10 @@ def test_html_fields(spark):
 def test_aliases_first_language_wins(spark):
     rows = spark.createDataFrame([(1, 0, "Rare", "rara"), (2, 0, "Common", "rara"), (1, 1, "Odd", "x"), (1, 2, "Rare", "Common"), (1, 3, "Common", " ")], "language_pos int, pos int, canonical string, localized string")
     assert [tuple(r) for r in C.derive_aliases(rows, ["Rare", "Common"]).collect()] == [("rara", "Rare", 1)]
+
+
+def test_missing_numbers_fail_the_job(spark):
+    whole = spark.range(1, 6).toDF("n")
+    assert catalog.require_gapless(whole, "n", 5).count() == 5
+    with pytest.raises(Exception, match="numbers are missing"):
+        catalog.require_gapless(whole.where("n <> 3"), "n", 5).collect()
