@@ -235,6 +235,6 @@ def test_aliases_first_language_wins(spark):
 
 def test_missing_numbers_fail_the_job(spark):
     whole = spark.range(1, 6).toDF("n")
-    assert catalog.require_gapless(whole, "n", 5).count() == 5
+    assert S.require_gapless(whole, "n", 5).count() == 5
     with pytest.raises(Exception, match="numbers are missing"):
-        catalog.require_gapless(whole.where("n <> 3"), "n", 5).collect()
+        S.require_gapless(whole.where("n <> 3"), "n", 5).collect()
