@@ -11,8 +11,11 @@ as long as the next window continues at the next word of the same place; where i
 at least ``window`` words long. Every start is looked up, those inside the last factor too, so that a passage that runs
 over a factor's boundary opens its own factor and nothing is lost there.
 
-Windows that a slab of the input already holds in a smaller document are settled before the shuffle: of a passage that
-a third of all documents share, each slab sends one copy. Defined results: a null or empty text has no words; rows that
+Windows that a slab of the input already holds in a smaller document are settled before the shuffle. What several
+documents of a slab share is remembered for the task's next slabs (``REMEMBERED`` windows, the last used; they decide
+what is sent, never what is found), so that of a passage that a third of all documents share, each task sends about one
+copy. Windows are told apart by 64 bits within a block: about n^2 / (2^65 * blocks) equal hashes of unlike windows are to
+be expected of n windows, one at most for 100 TB. Defined results: a null or empty text has no words; rows that
 repeat a doc_id are one document to each other (they don't remove each other's words) and keep their own texts apart by
 a 16-bit text tag; a row with a null doc_id is neither reference nor parsed; other columns are ignored.
 """
@@ -31,6 +34,8 @@ from quarry.llm import words as W
 
 #: Words of the hashes of which the smallest names a window's block.
 SEED = 6
+#: Shared windows that a task remembers from slab to slab.
+REMEMBERED = 1 << 19
 _SENT = "block int, seeds binary, docs binary, tags binary, starts binary, counts binary, refs binary, places binary"
 _SPANS = "doc_id long, tag smallint, start int, n_words int, ref_doc_id long, ref_start int"
 _ARROW_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int16()), ("start", pa.int32()), ("n_words", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32())])
@@ -72,13 +77,39 @@ def _spans(ids, tags, doc, start, first, window) -> dict[str, np.ndarray]:
     return {"doc_id": ids[doc[heads]], "tag": tags[found[heads]], "start": start[heads].astype(np.int32), "n_words": lengths.astype(np.int32), "ref_doc_id": ids[first[heads] >> 32], "ref_start": (first[heads] & 0xFFFFFFFF).astype(np.int32)}
 
 
-def _send(window: int, blocks: int):
+class _Shared:
+    """First places of windows that several documents of a task's slabs hold, sorted by hash."""
+
+    def __init__(self, limit: int = REMEMBERED):
+        self.limit, self.slab = limit, 0
+        self.seeds = np.zeros(0, np.uint64)
+        self.doc, self.start, self.used = (np.zeros(0, np.int64) for _ in range(3))
+
+    def among(self, seeds: np.ndarray) -> np.ndarray:
+        """Rows of the remembered windows that are among ``seeds``."""
+        if not len(self.seeds):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.seeds, seeds), len(self.seeds) - 1)
+        return np.unique(at[self.seeds[at] == seeds])
+
+    def remember(self, seeds: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        """Put windows in, in place of older entries of theirs; those not used for longest make room."""
+        self.slab += 1
+        used = np.full(len(seeds), self.slab)
+        seeds, at = np.unique(np.concatenate([seeds, self.seeds]), return_index=True)
+        doc, start, used = (np.concatenate(x)[at] for x in ((doc, self.doc), (start, self.start), (used, self.used)))
+        stay = np.sort(np.argsort(-used, kind="stable")[: self.limit])
+        self.seeds, self.doc, self.start, self.used = seeds[stay], doc[stay], start[stay], used[stay]
+
+
+def _send(window: int, blocks: int, slab_bytes: int):
     """Texts to rows for the blocks. A row with refs holds factors found inside the slab, which the block passes on."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(name, pa.int32() if name == "block" else pa.binary()) for name in (x.split()[0] for x in _SENT.split(", "))])
         table = W.whitespace_table()
-        for batch in W.slabs(batches, "text", 2 * W.SLAB_BYTES):  # larger slabs settle more windows before the shuffle
+        shared = _Shared()
+        for batch in W.slabs(batches, "text", slab_bytes):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tag = batch.column(1).to_numpy(zero_copy_only=False)
             data, at = W.text_bytes(batch.column(2))
@@ -93,9 +124,13 @@ def _send(window: int, blocks: int):
             at_word = W.ranges(first_word[:-1], n)
             start = at_word - first_word[:-1][row]
             seeds, block = seeds[at_word], block[at_word].astype(np.int32)
-            unique, rank = np.unique(ids, return_inverse=True)
-            doc = rank[row].astype(np.int64)
-            first = _first_places(seeds, doc, start)
+            known = shared.among(seeds)
+            unique, rank = np.unique(np.concatenate([ids, shared.doc[known]]), return_inverse=True)
+            rank = rank.astype(np.int64)
+            doc = rank[row]
+            first = _first_places(np.append(seeds, shared.seeds[known]), np.append(doc, rank[len(ids) :]), np.append(start, shared.start[known]))[: len(row)]
+            again = np.flatnonzero(doc > first >> 32)
+            shared.remember(seeds[again], unique[first[again] >> 32], first[again] & 0xFFFFFFFF)
             own = _spans(unique, tag[row], doc, start, first, window)
             columns: dict[str, list] = {name: [] for name in schema.names}
 
@@ -149,18 +184,18 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(shiftright(xxhash64(text), 48) as smallint)").alias("tag"), "text")
 
 
-def duplicate_spans(docs: DataFrame, window: int = 13, block_mb: float = 8) -> DataFrame:
+def duplicate_spans(docs: DataFrame, window: int = 13, block_mb: float = 8, slab_mb: float = 4) -> DataFrame:
     """Factors that also occur in a document with a smaller doc_id.
 
     ``docs``: doc_id (integer), text. Returns doc_id, tag, start and n_words (counted in words; ``window`` or more), and
     the place of the factor in the reference: ref_doc_id, ref_start. Factors may overlap. ``block_mb`` bounds what one
-    block holds of window hashes; the number of blocks follows the input.
+    block holds of window hashes; the number of blocks follows the input. ``slab_mb``: text that a task looks at together.
     """
     if window < SEED:
         raise ValueError(f"a window has {SEED} words or more")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(1.3 * total / (block_mb * 1e6)))
-    sent = _tagged(docs).where("doc_id is not null and text is not null").mapInArrow(_send(window, blocks), _SENT)
+    sent = _tagged(docs).where("doc_id is not null and text is not null").mapInArrow(_send(window, blocks, int(slab_mb * 1e6)), _SENT)
     return sent.groupBy("block").applyInArrow(_parse(window), _SPANS)
 
 
@@ -195,11 +230,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_words - n_kept), kept], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def remove_duplicates(docs: DataFrame, window: int = 13, block_mb: float = 8) -> DataFrame:
+def remove_duplicates(docs: DataFrame, window: int = 13, block_mb: float = 8, slab_mb: float = 4) -> DataFrame:
     """Every row of ``docs`` without the words of its ``duplicate_spans``: doc_id, n_words, n_removed, kept_text.
 
     kept_text joins the kept words by one space. A row that has lost nothing is returned too (n_removed 0).
     """
-    spans = duplicate_spans(docs, window, block_mb).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("start", "n_words"))).alias("spans"))
+    spans = duplicate_spans(docs, window, block_mb, slab_mb).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("start", "n_words"))).alias("spans"))
     joined = _tagged(docs).join(spans.hint("shuffle_hash"), ["doc_id", "tag"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,6 +49,32 @@ def test_substring_dedup_odd(odd, empty):
     assert substring_dedup.remove_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", ["doc_id", "-doc_id", "hash(text)"])
+def test_windows_remembered_from_slab_to_slab(docs, odd, order):
+    for table in (docs, odd.select("doc_id", "text")):
+        rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+        one = table.coalesce(1).sortWithinPartitions(F.expr(order))
+        found = substring_dedup.remove_duplicates(one, block_mb=0.5, slab_mb=0.004)
+        assert sorted(map(tuple, found.collect()), key=repr) == without_repeats(rows)
+
+
+def test_room_for_remembered_windows_does_not_matter(monkeypatch):
+    hot = " ".join(f"w{i}" for i in range(60))
+    rows = pa.record_batch({"doc_id": pa.array(range(400)), "tag": pa.array([0] * 400, pa.int16()), "text": [f"{hot} own{i // 100} {hot}" for i in range(400)]})
+
+    def sent_and_found(limit):
+        monkeypatch.setattr(substring_dedup._Shared.__init__, "__defaults__", (limit,))
+        sent = list(substring_dedup._send(13, 4, 4000)(iter([rows])))
+        pieces = sum(len(b.column("seeds").drop_null()) for b in sent)
+        spans = [s for t in pa.Table.from_batches(sent).group_by("block").aggregate([]).column("block").to_pylist() for s in substring_dedup._parse(13)(pa.Table.from_batches(sent).filter(pa.compute.field("block") == t)).to_pylist()]
+        gone = {(s["doc_id"], k) for s in spans for k in range(s["start"], s["start"] + s["n_words"])}
+        return pieces, gone
+
+    none, some, all_ = (sent_and_found(limit) for limit in (0, 20, 1 << 19))
+    assert none[1] == some[1] == all_[1] and len(none[1]) > 399 * 100
+    assert all_[0] < none[0] / 3
+
+
 def test_factors_point_to_equal_words(docs):
     texts = {r["doc_id"]: split(r["text"]) for r in docs.collect()}
     spans = substring_dedup.duplicate_spans(docs, block_mb=0.05).collect()
