@@ -147,7 +147,7 @@ def _send(window: int, blocks: int, slab_bytes: int):
             pieces = _runs((block, 0), (row, 0), (start, 1))
             lengths = np.diff(np.append(pieces, len(left))).astype(np.int32)
             cuts = np.flatnonzero(np.diff(block[pieces], prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(pieces)), strict=True):
+            for a, b in zip(cuts, np.append(cuts, len(pieces))[1:], strict=True):  # none, if all windows are settled
                 low, high = pieces[a], pieces[b - 1] + lengths[b - 1]
                 at_piece = pieces[a:b]
                 put(int(block[low]), seeds=seeds[low:high], docs=unique[doc[at_piece]], tags=tag[row[at_piece]], starts=start[at_piece].astype(np.int32), counts=lengths[a:b])
