@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import keep
 
+#: Buckets whose first places (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_BUCKETS = 1 << 20
+
 
 def sizes(text: Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus one."""
@@ -48,6 +51,7 @@ def two_pass_shuffle(df: DataFrame, shards: int, id_col: str = "doc_id", size: C
     counts = shuffled.select("bucket", F.size("records").cast("long").alias("n"))
     # a row for each bucket, not for each record
     before = counts.withColumn("begin", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "begin")
+    before = F.broadcast(before) if buckets <= BROADCAST_BUCKETS else before  # records aren't shuffled again
     numbered = shuffled.join(before, "bucket").select("begin", F.posexplode("records").alias("at", "r"))
     place = F.col("begin") + F.col("at")
     return numbered.select("r.record.*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))

@@ -268,3 +268,12 @@ def test_queries_digests(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((d, n, r, hashlib.sha256(k.encode()).hexdigest()) for d, n, r, k in without_repeats(docs))
     assert sorted(map(tuple, found)) == want
+
+
+def test_places_of_many_buckets_are_joined(docs, monkeypatch):
+    def placed():
+        return sorted(map(tuple, sharding.two_pass_shuffle(docs.select("doc_id"), 4, bucket_bytes=3000).collect()))
+
+    near = placed()
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", 0)
+    assert placed() == near
