@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` (what the stage before has kept) and returns the
 columns of ``documents``; the last one adds ``shard`` and ``slot``. ``run`` writes each stage's result to the shared
-folder and hands on what it reads there.
+folder, hands on what it reads there, and frees the result before it.
 
 Defined results, in every stage: an empty table stays empty. Rows are judged one by one, so that of rows that repeat a
 doc_id or have none each has its own result. Null and empty texts aren't toxic and hold no benchmark item; they are one
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, mixing, near_texts, sharding, toxicity
 from quarry.llm.queries import mix_targets
-from quarry.llm.shared import keep
+from quarry.llm.shared import discard, keep
 
 #: Share of the tokens that mixing keeps, and number of shards.
 FRACTION, SHARDS = 0.8, 16
@@ -65,6 +65,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    for at, (name, stage) in enumerate(STAGES):
+        before, docs = docs, keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if at:
+            discard(before)
     return docs
