@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, neighbours, oracles, quality, revisits, secret_scan, sharding, simhash, substring_dedup, toxicity
+from quarry.llm import decontamination, mixing, neighbours, oracles, quality, revisits, secret_scan, sentence_pieces, sharding, simhash, substring_dedup, toxicity
 from quarry.llm.shared import keep
 
 
@@ -82,7 +82,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination)}
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentence_pieces.read_model(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    found = sentence_pieces.decode(sentence_pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination, op11_sentence_pieces)}
 
 ORACLES: dict[str, str] = {
     "op2_revisits": oracles.REVISITS,
