@@ -54,6 +54,32 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+def _hashed(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+
+#: One tree: levels until a single node is left, the runs of each level, and the way of each leaf. ``t``, ``r``, ``w``: names.
+_TREE = """{t}(k, lvl, i, h, n) AS (SELECT k, 0, i, h, count(*) OVER (PARTITION BY k) FROM {leaves} UNION ALL SELECT k, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {t} WHERE n > 1 GROUP BY k, lvl, i // 3, n),
+{r} AS (SELECT k, lvl, i // 3 AS g, list(h ORDER BY i) AS hs FROM {t} WHERE n > 1 GROUP BY k, lvl, i // 3),
+{w}(k, lvl, i, id, proof, fold) AS (SELECT k, 0, i, id, proof, fold FROM {ways} UNION ALL SELECT w.k, w.lvl + 1, w.i // 3, id, proof || array_to_string(hs[1:w.i % 3], '') || array_to_string(hs[w.i % 3 + 2:], ''),
+  sha256(array_to_string(hs[1:w.i % 3], '') || fold || array_to_string(hs[w.i % 3 + 2:], '')) FROM {w} w JOIN {r} r ON r.k = w.k AND r.lvl = w.lvl AND r.g = w.i // 3)"""
+MERKLE = f"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(x AS UBIGINT) FOR x IN range(8)]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS UBIGINT)) ELSE a >> 1 END)) AS crc),
+e AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST(ascii(x) AS UBIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) % 2 = 0 AS changed FROM documents, c),
+d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS k, {_hashed("text")} AS h, {_hashed("CASE WHEN changed THEN replace(text, chr(10), '') ELSE text END")} AS odd FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+ow AS (SELECT *, '' AS proof, odd AS fold FROM o),
+{_TREE.format(t="t", r="r", w="w", leaves="o", ways="ow")},
+s AS (SELECT k AS source, h, row_number() OVER (ORDER BY k) - 1 AS i, '' AS k FROM t WHERE n = 1),
+ends AS (SELECT w.* FROM w JOIN t ON t.k = w.k AND t.lvl = w.lvl AND t.i = w.i WHERE t.n = 1),
+sw AS (SELECT '' AS k, s.i, ends.id, ends.proof, ends.fold FROM ends JOIN s ON s.source = ends.k),
+{_TREE.format(t="st", r="sr", w="sv", leaves="s", ways="sw")},
+root AS (SELECT h, lvl FROM st WHERE n = 1)
+SELECT o.doc_id, o.h AS leaf, s.h AS subroot, root.h AS root, sha256(sv.proof) AS proof_sha256, sv.fold AS folded_root, sv.fold = root.h AS verified
+FROM sv JOIN root ON root.lvl = sv.lvl JOIN o ON o.id = sv.id JOIN s ON s.source = o.k
+"""
+
 
 def mixing(targets: Mapping[str, Mapping[str, float]], fraction: float, rounds: int = 64, seed: int = 8) -> str:
     """Raking and rates as a chain of steps over the cells."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, neighbours, oracles, quality, revisits, secret_scan, sentence_pieces, sharding, simhash, substring_dedup, toxicity
+from quarry.llm import decontamination, merkle, mixing, neighbours, oracles, quality, revisits, secret_scan, sentence_pieces, sharding, simhash, substring_dedup, toxicity
 from quarry.llm.shared import keep
 
 
@@ -91,11 +91,19 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination, op11_sentence_pieces)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(changed, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"text": text}, siblings=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination, op11_sentence_pieces, op12_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
     "op2_revisits": oracles.REVISITS,
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_mixing": oracles.mixing(MIX, MIX_FRACTION),
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op12_merkle_manifest": oracles.MERKLE,
 }
