@@ -80,6 +80,21 @@ SELECT o.doc_id, o.h AS leaf, s.h AS subroot, root.h AS root, sha256(sv.proof) A
 FROM sv JOIN root ON root.lvl = sv.lvl JOIN o ON o.id = sv.id JOIN s ON s.source = o.k
 """
 
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+s AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM s),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM i, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, n AS a, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND n >= 10),
+x AS (SELECT c.*, l.n AS l, r.n AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(l.n AS HUGEINT) * r.n) AS score FROM c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM b WHERE k = 3) GROUP BY lang, phrase),
+q AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2 WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q) JOIN (SELECT lang, sum(n) AS n FROM g WHERE k = 1 GROUP BY lang) t USING (lang) WHERE rank <= 2000
+"""
+
 
 def mixing(targets: Mapping[str, Mapping[str, float]], fraction: float, rounds: int = 64, seed: int = 8) -> str:
     """Raking and rates as a chain of steps over the cells."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, merkle, mixing, neighbours, oracles, quality, revisits, secret_scan, sentence_pieces, sharding, simhash, substring_dedup, toxicity
+from quarry.llm import collocations, decontamination, merkle, mixing, neighbours, oracles, quality, revisits, secret_scan, sentence_pieces, sharding, simhash, substring_dedup, toxicity
 from quarry.llm.shared import keep
 
 
@@ -98,7 +98,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination, op11_sentence_pieces, op12_merkle_manifest)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_revisits, op3_simhash, op4_neighbours, op5_secrets, op6_sharding, op7_substring_dedup, op8_mixing, op9_quality, op10_decontamination, op11_sentence_pieces, op12_merkle_manifest, op13_collocations)}
 
 ORACLES: dict[str, str] = {
     "op2_revisits": oracles.REVISITS,
@@ -106,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op8_mixing": oracles.mixing(MIX, MIX_FRACTION),
     "op10_decontamination": oracles.DECONTAMINATION,
     "op12_merkle_manifest": oracles.MERKLE,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
