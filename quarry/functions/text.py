@@ -42,14 +42,15 @@ def numerator(card_number: Column) -> Column:
     return F.regexp_replace(F.trim(F.split_part(card_number, F.lit("/"), F.lit(1))), r"^0+(?=\d)", "")
 
 
-_CODE = r"^([A-Za-z]*)0*(\d+)(.*)$"
-
-
-def normalize_card_code(value: Column) -> Column:
-    """Letters, digits without leading zeros, rest, all upper-case; a code without digits is just upper-cased."""
-    code = F.trim(F.split_part(value, F.lit("/"), F.lit(1)))
-    whole = F.concat(F.upper(F.regexp_extract(code, _CODE, 1)), F.regexp_extract(code, _CODE, 2), F.upper(F.regexp_extract(code, _CODE, 3)))
-    return F.when(code.rlike(_CODE), whole).otherwise(F.upper(code))
+def normalize_card_code(code: Column) -> Column:
+    """The part before a slash: upper case, and no zeros before the digits that follow its letters, if digits do."""
+    text = F.trim(F.split_part(code, F.lit("/"), F.lit(1)))
+    letters = F.regexp_extract(text, "^[A-Za-z]*", 0)
+    digits = F.regexp_extract(F.substring(text, F.length(letters) + 1, F.length(text)), "^[0-9]*", 0)
+    rest = F.substring(text, F.length(letters) + F.length(digits) + 1, F.length(text))
+    bare = F.ltrim(digits, F.lit("0"))
+    number = F.when(bare == "", "0").otherwise(bare)
+    return F.upper(F.when(digits == "", text).otherwise(F.concat(letters, number, rest)))
 
 
 def code_prefix(code: Column) -> Column:
@@ -181,42 +182,55 @@ def guess_filenames(card_name: Column, set_names: list[Column], number: Column)
     return F.array_distinct(F.array_compact(F.array(*[F.concat(b, F.lit(f".{e}")) for b in bases for e in ("jpg", "png")])))
 
 
-_TITLE = r"^(.+?)\s\(([^()]+)\)$"
+#: Letters that a card number may begin with, and the shares of set tokens that a title needs with and without a number: fixed values.
+CODE_LETTERS, SET_SHARE, SET_SHARE_ALONE = 8, 0.5, 0.75
 
 
 def looks_like_code(token: Column) -> Column:
-    """Whether a token may be a card number: up to eight letters, a digit, then letters and digits."""
-    return token.rlike(r"^[A-Za-z]{0,8}\d+[A-Za-z0-9]*$")
+    """Whether a token may be a card number: a few letters or none, a digit, then letters and digits."""
+    rest = F.regexp_replace(token, "^[A-Za-z]+", "")
+    return (F.length(token) - F.length(rest) <= CODE_LETTERS) & F.substring(rest, 1, 1).between("0", "9") & ~rest.rlike("[^A-Za-z0-9]")
+
+
+def _bracketed(title: Column) -> tuple[Column, Column]:
+    """What stands before and in the brackets that end a title; null without them, or if nothing parts them from the name."""
+    back = F.instr(F.reverse(title), F.lit("("))  # the last opening bracket, from the end
+    size = F.length(title)
+    head, inner = F.substring(title, F.lit(1), size - back), F.substring(title, size - back + 2, back - 2)
+    whole = title.endswith(")") & (back > 2) & head.rlike(r"\s$") & ~F.contains(inner, F.lit(")"))
+    return F.when(whole, F.trim(head)), F.when(whole, F.trim(inner))
 
 
 def print_disambiguator(title: Column, need_number: bool = False) -> Column:
     """``Name (Set Number)`` as a struct (name, set_name, number), else null; the number may be absent unless needed."""
-    inner = F.trim(F.regexp_extract(title, _TITLE, 2))
-    name = F.trim(F.regexp_extract(title, _TITLE, 1))
-    last = F.regexp_extract(inner, r"(\S+)$", 1)
-    before = F.trim(F.regexp_extract(inner, r"^(.*)\s\S+$", 1))
-    whole = title.rlike(_TITLE) & (name != "") & (inner != "")
-    parts = lambda s, n: F.struct(name.alias("name"), s.alias("set_name"), n.alias("number"))
+    name, inner = _bracketed(title)
+    words = F.split(inner, " +")
+    last = F.element_at(words, -1)
+    first = F.trim(F.substring(inner, F.lit(1), F.length(inner) - F.length(last)))
+    numbered = F.struct(name.alias("name"), first.alias("set_name"), last.alias("number"))
+    alone = F.struct(name.alias("name"), inner.alias("set_name"), F.lit(None).cast("string").alias("number"))
+    there = (name != "") & (inner != "")
+    several = F.size(words) > 1
     if need_number:
-        return F.when(whole & (before != "") & (last != ""), parts(before, last))
-    coded = looks_like_code(last)
-    number = F.when(coded & (before != ""), last)
-    return F.when(whole & ~(coded & (before == "")), parts(F.when(number.isNotNull(), before).otherwise(inner), number))
+        return F.when(there & several, numbered)
+    return F.when(there & several & looks_like_code(last), numbered).when(there & (several | ~looks_like_code(last)), alone)
 
 
 def match_print(title: Column, name: Column, set_name: Column, local_id: Column) -> Column:
-    """Why a page's title is not a card's print; ``ok`` where it is: name, number and set name must agree."""
+    """Why a page's title is not a card's print; ``ok`` where it is.
+
+    Three things are held against the title's brackets: the name, the number if they have one, and the share of the
+    set's tokens, of which a title without a number needs more.
+    """
     page = print_disambiguator(title)
-    overlap = token_overlap(set_name, page["set_name"])
-    return (
-        F.when(page.isNull(), "no disambiguator")
-        .when(F.lower(page["name"]) != F.lower(name), "name")
-        .when(page["number"].isNull() & (overlap < 0.75), "set")
-        .when(page["number"].isNull(), "ok")
-        .when(~card_codes_match(local_id, page["number"], page["set_name"]), "number")
-        .when(overlap < 0.5, "set")
-        .otherwise("ok")
-    )
+    bare = page["number"].isNull()
+    rules = [
+        ("no disambiguator", page.isNull()),
+        ("name", F.lower(page["name"]) != F.lower(name)),
+        ("number", ~bare & ~card_codes_match(local_id, page["number"], page["set_name"])),
+        ("set", token_overlap(set_name, page["set_name"]) < F.when(bare, SET_SHARE_ALONE).otherwise(SET_SHARE)),
+    ]
+    return F.coalesce(*[F.when(broken, reason) for reason, broken in rules], F.lit("ok"))
 
 
 def infobox_code(fields: Column, pattern: str = r"CS\d+[a-zA-Z]?") -> Column:

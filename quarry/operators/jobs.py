@@ -94,12 +94,13 @@ def full_history(metadata: DataFrame, refreshes: DataFrame, key: str) -> DataFra
 
 
 def run_outcomes(jobs: DataFrame, results: DataFrame, failures: DataFrame, key: str) -> DataFrame:
-    """After a run: each job's status, rows and attempts. Success clears an earlier failure; one bad job stops no other."""
+    """After a run: each job's status, rows and failed attempts. Success clears what has failed before; one bad job stops no other."""
     ok = results.groupBy(key).agg(F.count("*").alias("n_rows"))
     bad = failures.groupBy(key).agg(F.count("*").alias("attempts"), F.max_by("reason", "attempt").alias("reason"))
     out = jobs.join(ok, key, "left").join(bad, key, "left")
     status = F.when(F.col("n_rows").isNotNull(), "done").when(F.col("attempts").isNotNull(), "failed").otherwise("pending")
-    return out.withColumn("status", status).withColumn("reason", F.when(F.col("status") == "failed", F.col("reason"))).na.fill(0, ["n_rows", "attempts"])
+    out = out.withColumn("status", status).withColumns({c: F.when(F.col("status") == "failed", F.col(c)) for c in ("reason", "attempts")})
+    return out.na.fill(0, ["n_rows", "attempts"])
 
 
 def staged(targets: DataFrame, stages: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import code_prefix, code_rest, normalize_card_code, tokens
+from quarry.functions.text import code_prefix, code_rest, match_print, normalize_card_code, print_disambiguator, token_overlap, tokens
 from quarry.operators.keyed import first_wins
+from quarry.sources.folders import keep
 
 #: Fragments at both ends by which containment candidates meet.
 _GRAM = 3
@@ -186,18 +187,42 @@ def code_match_rows(cards: DataFrame, rows: DataFrame, group: str) -> DataFrame:
     return exact.unionByName(loose)
 
 
-def scored_candidates(targets: DataFrame, candidates: DataFrame, target: str, name: str, candidate: str, title: str, suffix: str, bonus: float = 0.25) -> DataFrame:
+def scored_candidates(targets: DataFrame, candidates: DataFrame, target: str, name: str, candidate: str, title: str, suffix: str, bonus: float = 0.25, floor: float = 0.0) -> DataFrame:
     """Candidates that share a token with a target, with ``score``: the share of the target's tokens that the title has,
-    plus ``bonus`` if the title ends as the target expects (column ``suffix``).
+    plus ``bonus`` if the title ends as the target expects (column ``suffix``); those of ``floor`` or more.
 
-    Both sides meet by tokens; of the tokens that a pair shares, the first one alone makes a row.
+    Both sides meet by tokens; of the tokens that a pair shares, the first one alone makes a row. A target of n tokens that
+    must share m of them for the floor shares one of any n - m + 1, so that only so many meet, those that the fewest
+    titles have: a token that all titles have makes no rows unless the floor lets it decide alone.
     """
-    t = targets.select(target, suffix, tokens(F.col(name)).alias("own")).withColumn("token", F.explode("own"))
-    c = candidates.select(candidate, title, tokens(F.col(title)).alias("theirs")).withColumn("token", F.explode("theirs"))
-    shared = F.array_intersect("own", "theirs")
-    rows = t.join(c, "token").where(F.col("token") == shared[0])
+    theirs = tokens(F.col(title))
+    c = candidates.select(candidate, title, theirs.alias("theirs")).withColumn("token", F.explode("theirs"))
+    own = targets.select(target, suffix, tokens(F.col(name)).alias("own"))
+    if floor > bonus:
+        often = c.groupBy("token").agg(F.count("*").alias("titles"))
+        ranked = own.select(target, "own", suffix, F.explode("own").alias("token")).join(often, "token", "left").groupBy(target, suffix, "own")
+        ranked = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "token"))), lambda x: x["token"]).alias("rare"))
+        shared = F.ceil((floor - bonus) * F.size("own") - 1e-9).cast("int")
+        own = ranked.select(target, suffix, "own", F.slice("rare", 1, F.size("own") - shared + 1).alias("tried"))
+    else:
+        own = own.withColumn("tried", F.col("own"))
+    met = own.withColumn("token", F.explode("tried")).join(c, "token").where(F.col("token") == F.array_intersect("tried", "theirs")[0])
     ends = F.coalesce(F.lower(F.col(title)).endswith(F.lower(F.col(suffix))), F.lit(False))
-    return rows.select(target, candidate, (F.size(shared) / F.size("own") + F.when(ends, bonus).otherwise(0.0)).alias("score"))
+    score = F.size(F.array_intersect("own", "theirs")) / F.size("own") + F.when(ends, bonus).otherwise(0.0)
+    return met.select(target, candidate, score.alias("score")).where(F.col("score") >= floor)
+
+
+def best_candidates(targets: DataFrame, candidates: DataFrame, target: str, name: str, candidate: str, title: str, suffix: str, bonus: float = 0.25, floors: Sequence[float] = (1.0, 0.5, 0.0)) -> DataFrame:
+    """The first candidate with the best score over zero, per target.
+
+    Floors are tried from the top: what has a candidate of a floor has its best one among those, and meets no others.
+    """
+    found = None
+    for floor in floors:
+        hits = keep(best_candidate(scored_candidates(targets, candidates, target, name, candidate, title, suffix, bonus, floor), target, "score", candidate), "best")
+        found = hits if found is None else found.unionByName(hits)
+        targets = targets.join(hits, target, "left_anti")
+    return found
 
 
 def best_candidate(scored: DataFrame, target: str, score: str, position: str) -> DataFrame:
@@ -205,12 +230,26 @@ def best_candidate(scored: DataFrame, target: str, score: str, position: str) ->
     return first_wins(scored.where(F.col(score) > 0), [target], F.desc(score), position)
 
 
-def best_or_ambiguous(scored: DataFrame, target: str, candidate: str, score: str, floor: float) -> DataFrame:
-    """Per target: the best candidate of at least ``floor``, or ``ambiguous`` where several share the top score."""
-    w = Window.partitionBy(target).orderBy(F.desc(score))
-    top = scored.where(F.col(score) >= floor).withColumn("_r", F.rank().over(w)).where("_r = 1")
-    out = top.groupBy(target).agg(F.count("*").alias("n_top"), F.min(candidate).alias("_one"), F.max(score).alias("score"))
-    return out.select(target, F.when(F.col("n_top") == 1, "hit").otherwise("ambiguous").alias("status"), F.when(F.col("n_top") == 1, F.col("_one")).alias(candidate), "score", "n_top")
+def print_candidates(cards: DataFrame, titles: DataFrame) -> DataFrame:
+    """Article titles that may be of a card's very print: card_id, title, score.
+
+    ``cards``: card_id, name, set_name, local_id; ``titles``: title. Both meet by the name in front of a title's brackets. A
+    title must pass ``match_print``; it scores 1 if its brackets hold a number, else 0.75, plus the share of the card's set
+    tokens that the brackets have.
+    """
+    named = titles.select("title", print_disambiguator(F.col("title")).alias("d")).where("d is not null").withColumn("key", F.lower(F.trim(F.col("d")["name"])))
+    met = cards.withColumn("key", F.lower(F.trim("name"))).join(named, "key")
+    right = match_print(F.col("title"), F.col("name"), F.col("set_name"), F.col("local_id")) == "ok"
+    score = F.when(F.col("d")["number"].isNull(), 0.75).otherwise(1.0) + token_overlap(F.col("set_name"), F.col("d")["set_name"])
+    return met.where(right).select("card_id", "title", score.alias("score"))
+
+
+def best_or_ambiguous(scored: DataFrame, target: str, candidate: str, score: str, floor: float = 1.5) -> DataFrame:
+    """Per target with a candidate of at least ``floor``: the best one, or ``ambiguous`` and the list of those that share the top score."""
+    top = scored.where(F.col(score) >= floor).groupBy(target).agg(F.max(score).alias("score"))
+    tied = scored.withColumnRenamed(score, "score").join(top, [target, "score"]).groupBy(target, "score").agg(F.array_sort(F.collect_set(candidate)).alias("tied"))
+    one = F.size("tied") == 1
+    return tied.select(target, F.when(one, "hit").otherwise("ambiguous").alias("status"), F.when(one, F.col("tied")[0]).alias(candidate), "score", F.when(~one, F.col("tied")).alias("tied"))
 
 
 def resolution_ladder(targets: DataFrame, key: str, candidates: Sequence[tuple[str, Column]], table: DataFrame, lookup: str, guard: Callable[[], Column] | None = None) -> DataFrame:

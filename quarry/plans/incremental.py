@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import harvest as H
 from quarry.operators import jobs as J
 from quarry.operators import keyed as K
 from quarry.plans.tables import query
+from quarry.sources.folders import keep, scratch
 
 
 @query("SELECT DISTINCT p_size, p_size // 10 AS generation FROM part WHERE p_size // 10 IN (1, 3)")
@@ -103,8 +105,43 @@ def t11_full_history_flag(t):
     return J.full_history(t("customer").select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("complete")), refreshes, "c_custkey")
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'done' WHEN page_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS n_rows, CASE WHEN page_id % 3 = 1 OR page_id % 6 = 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN page_id % 3 = 1 THEN 'no table' END AS reason FROM pages""")
+#: A set of 20 parts is a job. Its article has the job's title, a variant of it, one noted by hand, none, one to be searched, or no rows.
+JOBS = "SELECT DISTINCT CAST(p_partkey DIV 20 AS STRING) AS job, concat('Rock & Sand ', p_partkey DIV 20, ' (TCG)') AS title, p_partkey DIV 20 AS k FROM {part}"
+ARTICLES = """SELECT CASE WHEN k % 6 IN (0, 1, 5) THEN concat('Rock & Sand ', k, ' (TCG)') WHEN k % 6 = 2 THEN concat('Rock and Sand ', k, ' (TCG)') WHEN k % 6 = 3 THEN concat('By hand ', k) ELSE concat('TCG: sand of rock, ', k) END AS title,
+  CASE WHEN k % 6 = 5 THEN 'nothing yet' ELSE concat('== Cards ==\n', rows) END AS wikitext FROM (
+  SELECT p_partkey DIV 20 AS k, array_join(array_sort(collect_list(concat('{{{{list/entry|', lpad(CAST(p_partkey AS STRING), 9, '0'), '|[[', p_name, ' (', p_brand, ' ', p_size, ')]]|', p_type, '|Rare|}}}}'))), '\n') AS rows FROM {part} GROUP BY p_partkey DIV 20) AS x WHERE k % 12 <> 4"""
+SPECIES = "SELECT split_part(p_name, ' ', 1) AS name, min(p_partkey) AS pos FROM {part} WHERE p_name NOT LIKE 'red%' GROUP BY split_part(p_name, ' ', 1)"
+
+
+def _harvested(t, first, rest):
+    """The store after a run over two files of jobs, a retry, and both once more under their old numbers."""
+    jobs, pages, species = t(JOBS).select("job", "title", "k"), keep(t(ARTICLES), "articles"), t(SPECIES)
+    spark = jobs.sparkSession
+    folder = scratch(spark, "harvest")
+    for part in (0, 1):
+        jobs.where(F.col("k") % 2 == part).select("job", "title").coalesce(1).write.parquet(f"{folder}/jobs/{part}")
+    store = H.open_store(spark, f"{folder}/store", buckets=4)
+    overrides = jobs.where("k % 6 = 3").select("job", F.concat(F.lit("By hand "), F.col("k").cast("string")).alias("title"))
+    stream = spark.readStream.schema("job string, title string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{folder}/jobs")
+    for again in ("a", "b"):
+        first(stream, store, pages, H.retry_stages(pages, overrides)[:1], species, f"{folder}/checkpoint-{again}").awaitTermination()
+        rest(store, 1000, jobs.select("job", "title"), pages, overrides, species)
+    return jobs, store
+
+
+@query("""WITH j AS (SELECT p_partkey // 20 AS k, count(*) AS n, count(CASE WHEN p_name NOT LIKE 'red%' THEN 1 END) AS m FROM part GROUP BY 1)
+  SELECT CAST(k AS STRING) AS job, CASE WHEN k % 12 = 4 THEN 'failed' ELSE 'done' END AS status, CASE WHEN k % 6 IN (0, 1, 5) THEN 'direct' WHEN k % 6 = 2 THEN 'variant' WHEN k % 6 = 3 THEN 'override' WHEN k % 12 = 10 THEN 'search' END AS method,
+    CASE WHEN k % 12 = 4 THEN NULL WHEN k % 6 = 5 THEN 0 ELSE n END AS n_rows, CASE WHEN k % 12 = 4 THEN NULL WHEN k % 6 = 5 THEN 0 ELSE m END AS n_matched, CASE WHEN k % 12 = 4 THEN 'no article' END AS reason,
+    CASE WHEN k % 12 = 4 THEN 'Rock & Sand ' || CAST(k AS STRING) || ' (TCG)|Rock and Sand ' || CAST(k AS STRING) || ' (TCG)' END AS attempts, CASE WHEN k % 12 = 4 THEN 2 END AS runs, CASE WHEN k % 12 = 4 THEN NULL WHEN k % 6 = 5 THEN 0 ELSE n END AS n_held FROM j""")
 def t12_harvest_run(t):
+    jobs, store = _harvested(t, H.harvest_stream, H.retry)
+    held = store.read("results").select("job", F.size("rows").cast("long").alias("n_held"))
+    out = H.states(jobs, store).join(held, "job", "left")
+    return out.select("job", "status", "method", "n_rows", "n_matched", "reason", F.array_join("attempts", "|").alias("attempts"), "runs", "n_held")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'done' WHEN page_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS n_rows, CASE WHEN page_id % 3 = 1 THEN 1 ELSE 0 END AS attempts, CASE WHEN page_id % 3 = 1 THEN 'no table' END AS reason FROM pages""")
+def t12_run_outcomes(t):
     pages = t("pages").select("page_id")
     ok = pages.where("page_id % 3 = 0")
     bad = pages.where("page_id % 3 = 1 or page_id % 6 = 0").select("page_id", F.lit("no table").alias("reason"), F.lit(1).alias("attempt"))

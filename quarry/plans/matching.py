@@ -188,19 +188,28 @@ WORDS_OF = "list_distinct(list_transform(list_filter(string_split_regex(lower({}
 SCORED = f"SELECT target, candidate, len(list_intersect(a, b)) / len(a) + CASE WHEN ends_with(lower(title), lower(suffix)) THEN 0.25 ELSE 0 END AS score FROM (SELECT *, {WORDS_OF.format('wanted')} AS a FROM ({TARGETS})), (SELECT *, {WORDS_OF.format('title')} AS b FROM ({TITLES})) WHERE len(list_intersect(a, b)) > 0"
 
 
-def _scored(t):
-    return X.scored_candidates(t(TARGETS), t(TITLES), "target", "wanted", "candidate", "title", "suffix")
-
-
 @query(f"SELECT target, candidate, round(score, 6) AS score FROM ({SCORED}) QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) = 1")
 def w15_best_candidate(t):
-    return X.best_candidate(_scored(t), "target", "score", "candidate").select("target", "candidate", F.round("score", 6).alias("score"))
+    best = X.best_candidates(t(TARGETS), t(TITLES), "target", "wanted", "candidate", "title", "suffix")
+    return best.select("target", "candidate", F.round("score", 6).alias("score"))
+
+
+PRINTS = "SELECT p_partkey AS card_id, p_name AS name, p_brand || ' ' || p_type AS set_name, 'SM' || CAST(p_size AS STRING) AS local_id FROM {part}"
+PAGES = """SELECT upper(p_name) || ' (' || CASE p_partkey % 5 WHEN 0 THEN p_brand || ' ' || p_type ELSE p_brand || ' sm ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN ' foil' ELSE '' END || CASE WHEN p_partkey % 5 = 4 THEN '' ELSE ' 0' || CAST(p_size AS STRING) END END || ')' AS title FROM {part}"""
+#: The same guard and score in SQL: tokens are those of brand and type; a prefix SM is named by the titles that hold a number.
+W16 = f"""WITH p AS (SELECT DISTINCT title, regexp_extract(title, '^(.*) \\(', 1) AS key, regexp_extract(title, '\\((.*)\\)$', 1) AS inside FROM ({PAGES})),
+  d AS (SELECT title, key, CASE WHEN regexp_matches(inside, ' 0[0-9]+$') THEN regexp_replace(inside, ' 0[0-9]+$', '') ELSE inside END AS s, ltrim(regexp_extract(inside, ' (0[0-9]+)$', 1), '0') AS n FROM p),
+  m AS (SELECT c.card_id, d.title, d.n, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(a) AS overlap FROM (SELECT *, {WORDS_OF.format('set_name')} AS a FROM ({PRINTS})) c JOIN (SELECT *, {WORDS_OF.format('s')} AS b FROM d) d ON d.key = upper(c.name)
+    WHERE d.n = '' OR d.n = substr(c.local_id, 3)),
+  s AS (SELECT card_id, title, CASE WHEN n = '' THEN 0.75 ELSE 1 END + overlap AS score FROM m WHERE overlap >= CASE WHEN n = '' THEN 0.75 ELSE 0.5 END),
+  t AS (SELECT * FROM s WHERE score >= 1.5 QUALIFY score = max(score) OVER (PARTITION BY card_id))
+  SELECT card_id, CASE WHEN count(*) = 1 THEN 'hit' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(title) END AS title, round(max(score), 6) AS score, CASE WHEN count(*) > 1 THEN string_agg(title, '|' ORDER BY title) END AS tied FROM t GROUP BY card_id"""
 
 
-@query(f"SELECT target, CASE WHEN count(*) = 1 THEN 'hit' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(candidate) END AS candidate, round(max(score), 6) AS score, count(*) AS n_top FROM (SELECT *, rank() OVER (PARTITION BY target ORDER BY score DESC) AS r FROM ({SCORED}) WHERE score >= 0.5 AND candidate % 7 <> 0) WHERE r = 1 GROUP BY target")
+@query(W16)
 def w16_best_or_ambiguous(t):
-    guarded = _scored(t).where("candidate % 7 <> 0")
-    return X.best_or_ambiguous(guarded, "target", "candidate", "score", 0.5).withColumn("score", F.round("score", 6))
+    scored = X.print_candidates(t(PRINTS), t(PAGES).distinct())
+    return X.best_or_ambiguous(scored, "card_id", "title", "score").withColumns({"score": F.round("score", 6), "tied": F.array_join("tied", "|")})
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'direct' ELSE 'variant' END AS method, CASE WHEN page_id % 3 = 0 THEN url ELSE replace(url, 'http', 'HTTP') END AS found FROM pages")

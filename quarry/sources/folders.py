@@ -39,6 +39,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def children(spark: SparkSession, path: str) -> dict[str, str]:
+    """Names and paths of what lies in a folder of any store that Spark reads; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {f.getPath().getName(): f.getPath().toString() for f in system.listStatus(folder)} if system.exists(folder) else {}
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders, if they are there."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(*kept: DataFrame) -> None:
     """Free the space of tables that ``keep`` has written and no later step reads: each is overwritten without rows."""
     for path in {unquote(f.rsplit("/", 1)[0]) for df in kept for f in df.inputFiles()}:
