@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.classify import is_mega_name, is_vmax_name
+from quarry.sources.folders import keep
 
 
 def available_cards(cards: DataFrame, groups: DataFrame, active: Sequence[str], overrides: DataFrame, fallback_group: Column | None = None, mega: str = "mega", vmax: str = "vmax") -> DataFrame:
@@ -89,36 +89,71 @@ def sequence_of(binders: DataFrame, custom: str, default: DataFrame, value: str)
     return own.unionByName(rest.crossJoin(F.broadcast(ordered)).select("binder", F.posexplode("_all").alias("pos", value)))
 
 
-def fold_user(events: pd.DataFrame) -> dict[tuple[str, int], str]:
-    """State of one user after events in order: (owned or wish, species) to card.
+#: Stands in a transition for what was there before, whatever it was; no card id is written so.
+_BEFORE = "\0"
+_STATE = "struct<owned:string,wish:string>"
 
-    own replaces the card and deletes the wish; unown removes it; wish sets a card, takes it back if it is the same, and
-    is rejected while another is wished or the species is owned; unwish removes it.
+
+def _after(state: Column, event: Column) -> Column:
+    """The state (owned, wish) of a species after one event (action, card_id).
+
+    own replaces the card and deletes the wish; unown deletes the card; wish sets a card if none is wished, takes it back
+    if it is the same, and is rejected while another is wished; unwish deletes it. Other actions change nothing.
     """
-    state: dict[tuple[str, int], str] = {}
-    for action, species, card in zip(events["action"], events["species"], events["card_id"], strict=True):
-        own, wish = ("owned", species), ("wish", species)
-        if action == "own":
-            state[own] = card
-            state.pop(wish, None)
-        elif action == "unown":
-            state.pop(own, None)
-        elif action == "unwish" or action == "wish" and state.get(wish) == card:
-            state.pop(wish, None)
-        elif action == "wish" and wish not in state and own not in state:
-            state[wish] = card
-    return state
+    action, card, wish = event["action"], event["card_id"], state["wish"]
+    none = F.lit(None).cast("string")
+    owned = F.when(action == "own", card).when(action == "unown", none).otherwise(state["owned"])
+    toggled = F.when(wish.isNull(), card).when(wish != card, wish)
+    wished = F.when(action.isin("own", "unwish"), none).when(action == "wish", toggled).otherwise(wish)
+    return F.struct(owned.alias("owned"), wished.alias("wish"))
 
 
-def collection_state(events: DataFrame) -> DataFrame:
-    """Final state per user from events (user, seq, action, species, card_id): user, kind, species, card_id.
+def _state(owned: Column, wish: Column) -> Column:
+    return F.struct(owned.cast("string").alias("owned"), wish.cast("string").alias("wish"))
+
+
+def _transition(events: Column) -> Column:
+    """A block of events as a function: what becomes of each wish that tells apart, by wish ('': none, else ``=card`` or any other).
+
+    What is owned only passes through, as do wishes for cards that the block doesn't name.
+    """
+    cards = F.array_distinct(F.transform(F.filter(events, lambda e: (e["action"] == "wish") & e["card_id"].isNotNull()), lambda e: e["card_id"]))
+    wishes = F.concat(F.array(F.lit(None).cast("string"), F.lit(_BEFORE)), cards)
+    before = F.when(F.size(events) >= 0, _BEFORE)  # a value that may be null, as the state is
+    outcome = lambda w: F.aggregate(events, _state(before, w), _after)
+    return F.map_from_entries(F.transform(wishes, lambda w: F.struct(F.coalesce(F.concat(F.lit("="), w), F.lit("")).alias("key"), outcome(w).alias("value"))))
+
+
+def _applied(state: Column, transition: Column) -> Column:
+    """The state after a block."""
+    other = F.lit("=" + _BEFORE)
+    out = F.coalesce(F.try_element_at(transition, F.coalesce(F.concat(F.lit("="), state["wish"]), F.lit(""))), F.try_element_at(transition, other))
+    keep_old = lambda new, old: F.when(new == _BEFORE, old).otherwise(new)
+    return _state(keep_old(out["owned"], state["owned"]), keep_old(out["wish"], state["wish"]))
 
-    Species don't touch each other, so each (user, species) is a group of its own: a very busy user spreads.
+
+def species_state(events: DataFrame) -> DataFrame:
+    """Final owned and wished card of each user and species, from events (user, seq, action, species, card_id) in order of seq.
+
+    An ordered scan in segments: events are dealt out by range of (user, species, seq), so that those of one very busy
+    species lie in several partitions. In each the run of a key becomes a transition, which is folded without knowing the
+    state before it; a key's transitions, one a partition at most, are then applied in order. Events that repeat a seq are
+    taken in order of (action, card_id).
     """
+    dealt = events.select("user", "species", F.struct("seq", "action", F.col("card_id").cast("string").alias("card_id")).alias("event"))
+    dealt = dealt.repartitionByRange("user", "species", "event").withColumn("part", F.spark_partition_id())
+    blocks = keep(dealt, "dealt").groupBy("user", "species", "part").agg(F.array_sort(F.collect_list("event")).alias("events"))
+    steps = blocks.select("user", "species", F.struct("part", _transition(F.col("events")).alias("step")).alias("step"))
+    steps = steps.groupBy("user", "species").agg(F.collect_list("step").alias("steps"))
+    # a map can't be sorted; the parts are, and tell the order
+    order = F.array_sort(F.transform("steps", lambda s, k: F.struct(s["part"].alias("part"), k.alias("at"))))
+    nothing = _state(F.lit(None), F.lit(None))
+    final = F.aggregate(order, nothing, lambda state, o: _applied(state, F.get("steps", o["at"])["step"]))
+    return steps.select("user", "species", final.alias("state")).select("user", "species", "state.*")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        user = pdf["user"].iloc[0]
-        return pd.DataFrame([(user, kind, species, card) for (kind, species), card in fold_user(pdf).items()], columns=["user", "kind", "species", "card_id"])
 
-    return events.groupBy("user", "species").applyInPandas(fold, "user long, kind string, species long, card_id string")
+def collection_state(events: DataFrame) -> DataFrame:
+    """Final state from events: user, kind (owned, wish), species, card_id; see ``species_state``."""
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("card_id")) for kind, c in (("owned", "owned"), ("wish", "wish"))])
+    rows = species_state(events).select("user", "species", F.explode(kinds).alias("k"))
+    return rows.select("user", "k.kind", "species", "k.card_id").where(F.col("card_id").isNotNull())

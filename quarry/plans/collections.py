@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from quarry.operators import collection as L
 from quarry.plans.tables import query
+from quarry.sources.folders import scratch
+from quarry.streaming.state import ROCKS, collection_stream, latest_sink
+from quarry.streaming.store import Keyed, VersionedStore
 
 GROUPS = "SELECT * FROM VALUES ('full', 'PROMO', 0), ('full', 'LARGE', 0), ('alt', 'LARGE', 1), ('alt', 'SMALL', 1), ('off', 'ECONOMY', 2) AS v(group_id, rarity, pos)"
 OVER = "SELECT id AS card_id, CASE WHEN id % 2 = 0 THEN 'off' ELSE 'alt' END AS group_id FROM {cards} WHERE id % 13 = 0"
@@ -97,11 +100,50 @@ def w6_sequence(t):
 ACTIONS = "SELECT user_id AS user, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'own' WHEN 'error' THEN 'unown' WHEN 'click' THEN 'wish' WHEN 'signup' THEN 'unwish' ELSE 'wish' END AS action, event_id % 5 AS species, CAST(event_id % 3 AS STRING) AS card_id FROM {events}"
 
 
-@query()
+#: The fold in SQL: a list of each user's and species' events in order, reduced from the empty state.
+FOLD = f"""SELECT user, species, list_reduce(list_prepend({{'a': '', 'c': NULL, 'o': NULL, 'w': NULL}}, list({{'a': action, 'c': card_id, 'o': NULL, 'w': NULL}} ORDER BY seq)), lambda s, e: {{'a': '', 'c': NULL,
+  'o': CASE e.a WHEN 'own' THEN e.c WHEN 'unown' THEN NULL ELSE s.o END, 'w': CASE e.a WHEN 'own' THEN NULL WHEN 'unwish' THEN NULL WHEN 'wish' THEN CASE WHEN s.w IS NULL THEN e.c WHEN s.w = e.c THEN NULL ELSE s.w END ELSE s.w END}}) AS s
+  FROM ({ACTIONS}) GROUP BY user, species"""
+
+
+@query(f"SELECT user, kind, species, card_id FROM (SELECT user, 'owned' AS kind, species, s.o AS card_id FROM ({FOLD}) UNION ALL SELECT user, 'wish', species, s.w FROM ({FOLD})) WHERE card_id IS NOT NULL")
 def t1_collection_state(t):
     return L.collection_state(t(ACTIONS))
 
 
+def _in_files(df, order, n, folder):
+    """A stream over ``df``, a file for each of ``n`` ranges of ``order``; their times are their order."""
+    spark, top = df.sparkSession, (df.agg(F.max(order)).first()[0] or 0) + 1
+    for k in range(n):
+        df.where(F.floor(F.col(order) * n / top) == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(f"SELECT user, species, s.o AS owned, s.w AS wish FROM ({FOLD}) WHERE s.o IS NOT NULL OR s.w IS NOT NULL")
+def t1_collection_stream(t):
+    """The events as a stream of three files; the changes of each micro-batch go to a store."""
+    events = t(ACTIONS)
+    spark, folder = events.sparkSession, scratch(events.sparkSession, "collection")
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        store = VersionedStore(spark, f"{folder}/store", {"state": Keyed("user long, species long, owned string, wish string, seq long", ["user", "species"], ["seq"])}, buckets=4)
+        latest_sink(collection_stream(_in_files(events, "seq", 3, f"{folder}/events")), store, "state", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.unset(ROCKS[0]) if before is None else spark.conf.set(ROCKS[0], before)
+    return store.read("state").where("owned is not null or wish is not null").drop("seq")
+
+
+@query(f"SELECT user, arg_max(action, seq) AS action, max(seq) AS seq FROM ({ACTIONS}) GROUP BY user")
+def w2_latest_stream(t):
+    """The last event of each user, kept up to date by a stream of three files."""
+    events = t(ACTIONS).select("user", "action", "seq")
+    spark, folder = events.sparkSession, scratch(events.sparkSession, "latest")
+    store = VersionedStore(spark, f"{folder}/store", {"last": Keyed("user long, action string, seq long", ["user"], ["seq"])}, buckets=4)
+    latest_sink(_in_files(events, "seq", 3, f"{folder}/events"), store, "last", f"{folder}/checkpoint").awaitTermination()
+    return store.read("last")
+
+
 @query(f"SELECT user, species, card_id FROM (SELECT user, species, action, card_id FROM ({ACTIONS}) WHERE action IN ('own', 'unown') QUALIFY row_number() OVER (PARTITION BY user, species ORDER BY seq DESC) = 1) WHERE action = 'own'")
 def t1_owned_state(t):
     return L.collection_state(t(ACTIONS)).where("kind = 'owned'").select("user", "species", "card_id")

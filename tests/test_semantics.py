@@ -17,6 +17,7 @@ from quarry.operators import match as X
 from quarry.operators import merge as M
 from quarry.sources import catalog as S
 from quarry.sources import extract as E
+from quarry.streaming.state import next_state
 
 
 def column(spark, values, f, schema="v string"):
@@ -186,9 +187,27 @@ def test_slots_and_back(spark, by_column):
     assert (first["row"], first["col"]) == ((1, 0) if by_column else (0, 1))
 
 
-def test_collection_rules():
-    events = pd.DataFrame([("wish", 1, "a"), ("wish", 1, "b"), ("own", 1, "c"), ("wish", 1, "d"), ("wish", 2, "x"), ("wish", 2, "x"), ("wish", 3, "y"), ("own", 4, "z"), ("unown", 4, "z")], columns=["action", "species", "card_id"])
-    assert L.fold_user(events) == {("owned", 1): "c", ("wish", 3): "y"}
+def test_collection_rules(spark):
+    events = [("wish", 1, "a"), ("wish", 1, "b"), ("own", 1, "c"), ("wish", 1, "d"), ("wish", 2, "x"), ("wish", 2, "x"), ("wish", 3, "y"), ("own", 4, "z"), ("unown", 4, "z"), ("wish", 5, None), ("look", 6, "q")]
+    df = spark.createDataFrame([(1, k, *e) for k, e in enumerate(events)], "user long, seq long, action string, species long, card_id string")
+    assert sorted(map(tuple, L.collection_state(df).select("kind", "species", "card_id").collect())) == [("owned", 1, "c"), ("wish", 1, "d"), ("wish", 3, "y")]
+    assert L.collection_state(df.limit(0)).count() == 0
+
+
+def test_a_busy_species_lies_in_several_blocks(spark):
+    """Random events of few keys, dealt to many partitions, against one fold after the other."""
+    rng = random.Random(5)
+    rows = [(1, k, rng.choice(["own", "unown", "wish", "wish", "wish", "unwish", "look"]) if rng.random() < 0.3 else "wish", rng.choice([7, 7, 7, 8, 9]), rng.choice("abcd")) for k in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        for n in (1, 57, 3000):
+            state = {}
+            for _, _, action, species, card in rows[:n]:
+                state[species] = next_state(*state.get(species, (None, None)), action, card)
+            found = L.species_state(spark.createDataFrame(rows[:n], "user long, seq long, action string, species long, card_id string").repartition(5))
+            assert {r["species"]: (r["owned"], r["wish"]) for r in found.collect()} == state
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_limit_counts_whole_units(spark):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.collection import collection_state
 from quarry.operators.keyed import latest_wins
-from quarry.streaming.state import collection_stream, latest_sink, windowed_counts
+from quarry.streaming.state import ROCKS, collection_stream, latest_sink, windowed_counts
+from quarry.streaming.store import Keyed, VersionedStore
 
 SCHEMA = "user long, seq long, action string, species long, card_id string"
 
@@ -18,8 +19,10 @@ def _files(spark, tmp_path):
 
 def test_state_follows_the_batch_fold(spark, tmp_path):
     batch, stream = _files(spark, tmp_path)
+    spark.conf.set(*ROCKS)
     query = collection_stream(stream).writeStream.format("memory").queryName("changes").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
+    spark.conf.unset(ROCKS[0])
     assert query.exception() is None
     seen = {}
     for r in spark.table("changes").collect():  # rows of a key come in order of their batches
@@ -32,11 +35,12 @@ def test_state_follows_the_batch_fold(spark, tmp_path):
 
 def test_latest_rows_of_a_stream(spark, tmp_path):
     batch, stream = _files(spark, tmp_path)
-    query = latest_sink(stream, str(tmp_path / "out"), str(tmp_path / "d"), ["user"], ["seq"])
-    query.awaitTermination(120)
-    assert query.exception() is None
-    last = spark.read.parquet(str(tmp_path / "out/2"))
-    assert sorted(map(tuple, last.select("user", "seq").collect())) == sorted(map(tuple, latest_wins(batch, ["user"], ["seq"]).select("user", "seq").collect()))
+    store = VersionedStore(spark, str(tmp_path / "out"), {"last": Keyed(SCHEMA, ["user"], ["seq"])}, buckets=2)
+    for checkpoint in ("d", "e"):  # the second time all batches are there already
+        query = latest_sink(stream, store, "last", str(tmp_path / checkpoint))
+        query.awaitTermination(120)
+        assert query.exception() is None and store.last() == 2
+    assert sorted(map(tuple, store.read("last").select("user", "seq").collect())) == sorted(map(tuple, latest_wins(batch, ["user"], ["seq"]).select("user", "seq").collect()))
 
 
 def test_windows_close_by_watermark(spark, tmp_path):
