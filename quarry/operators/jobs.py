@@ -102,12 +102,3 @@ def run_outcomes(jobs: DataFrame, results: DataFrame, failures: DataFrame, key:
     out = out.withColumn("status", status).withColumns({c: F.when(F.col("status") == "failed", F.col(c)) for c in ("reason", "attempts")})
     return out.na.fill(0, ["n_rows", "attempts"])
 
-
-def staged(targets: DataFrame, stages: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """Each target with the first stage that resolves it (``none``: no stage); later stages see what earlier ones left."""
-    ranked = None
-    for rank, (method, found) in enumerate(stages):
-        one = found.select(key, F.lit(rank).alias("_rank"), F.lit(method).alias("method"))
-        ranked = one if ranked is None else ranked.unionByName(one)
-    first = ranked.groupBy(key).agg(F.min_by("method", "_rank").alias("method"))
-    return targets.join(first, key, "left").withColumn("method", F.coalesce("method", F.lit("none")))

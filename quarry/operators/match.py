@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import code_prefix, code_rest, match_print, normalize_card_code, print_disambiguator, token_overlap, tokens
 from quarry.operators.keyed import first_wins
-from quarry.sources.folders import keep
+from quarry.sources.folders import discard, keep
 
 #: Fragments at both ends by which containment candidates meet.
 _GRAM = 3
@@ -74,7 +73,7 @@ def match_japanese(cards: DataFrame, source: DataFrame) -> DataFrame:
     row; the second stage gives ``fallback-species``; several rows at either stage are ``ambiguous``.
     """
     ours = in_resolved_sets(cards, source)
-    s = source.select("source_id", F.col("set_key").alias("target"), "local_key", F.col("species").alias("theirs"))
+    s = source.select("source_id", F.col("set_key").alias("target"), "local_key", F.coalesce("species", F.array().cast(source.schema["species"].dataType)).alias("theirs"))
     fits = (F.size("theirs") == 0) | F.array_contains("theirs", F.col("species"))
     first = ours.join(s, ["target", "local_key"], "left").groupBy("card_id", "target", "species").agg(F.count("source_id").alias("n"), F.min("source_id").alias("single"), F.bool_and(fits).alias("fits"))
     left = first.where("n = 0").select("card_id", "target", "species")
@@ -148,8 +147,8 @@ def code_match_rows(cards: DataFrame, rows: DataFrame, group: str) -> DataFrame:
 
     Each card in turn takes the first free row of its exact code, else the first free row whose code matches once a
     prefix that the row's ``context`` (null or no such column: the group's name) accounts for is added. Only codes with
-    one rest behind their letters compete, so that each such rest is a group of its own. Where all its codes are equal,
-    cards and rows are paired k-th with k-th by rank; the others, small ones, go through Python in order.
+    one rest behind their letters compete. Where all codes of such a rest are equal, cards and rows are paired k-th with
+    k-th by rank; the others go through ``in_card_order``.
     """
     if "context" not in rows.columns:
         rows = rows.withColumn("context", F.lit(None).cast("string"))
@@ -166,25 +165,39 @@ def code_match_rows(cards: DataFrame, rows: DataFrame, group: str) -> DataFrame:
         return plain.where(F.col(pos).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(group, "norm").orderBy(pos))).select(group, "norm", "k", pos)
 
     exact = ranked("card_pos").join(ranked("row_pos"), [group, "norm", "k"]).select(group, "card_pos", "row_pos", F.lit("exact").alias("how"))
-
-    def greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        free = pdf[pdf.card_pos.isna()].sort_values("row_pos")[["row_pos", "prefix", "names"]].values.tolist()
-        out = []
-        for pos, own in pdf[pdf.row_pos.isna()].sort_values("card_pos")[["card_pos", "prefix"]].values.tolist():
-            def fits(other: str, held: list[str], own: str = own) -> bool:
-                return bool(own) != bool(other) and (own or other).lower() in held
-
-            at = next((k for k, (_, p, _) in enumerate(free) if p == own), None)
-            how = "exact" if at is not None else "prefix"
-            if at is None:
-                at = next((k for k, (_, p, held) in enumerate(free) if fits(p, held)), None)
-            if at is not None:
-                out.append((key[0], int(pos), int(free.pop(at)[0]), how))
-        return pd.DataFrame(out, columns=[group, "card_pos", "row_pos", "how"])
-
-    kind = dict(cards.dtypes)[group]
-    loose = both.join(mixed, [group, "rest"], "left_semi").groupBy(group, "rest").applyInPandas(greedy, f"{group} {kind}, card_pos long, row_pos long, how string")
-    return exact.unionByName(loose)
+    contested = keep(both.join(mixed, [group, "rest"], "left_semi"), "contested")
+    ours, theirs = contested.where("card_pos is not null"), contested.where("row_pos is not null")
+    kinds = ours.select(group, "rest", "prefix").distinct()
+    own, other = F.col("prefix"), F.col("_prefix")
+    fits = (own == other) | ((own == "") != (other == "")) & F.array_contains("names", F.lower(F.concat("prefix", "_prefix")))
+    offers = kinds.join(theirs.select(group, "rest", F.col("prefix").alias("_prefix"), "row_pos", "names"), [group, "rest"]).where(F.coalesce(fits, F.lit(False)))
+    how = F.when(own == other, "exact").otherwise("prefix")
+    found = in_card_order(ours.select(group, "rest", "prefix", "card_pos"), offers.select(group, "rest", "prefix", "row_pos", how.alias("how")), [group, "rest"], "prefix")
+    return exact.unionByName(found.select(group, "card_pos", "row_pos", "how"))
+
+
+def in_card_order(cards: DataFrame, offers: DataFrame, group: Sequence[str], kind: str) -> DataFrame:
+    """What each card gets if cards take, one after the other in order of card_pos, the first row that is still free.
+
+    ``cards``: group, kind, card_pos; ``offers``: group, kind, row_pos, how (exact before prefix, then by row_pos): the
+    rows that cards of a kind may take. Cards propose in rounds. A row keeps the smallest of its proposers; a card that was
+    turned away goes on by one row, and so do the later ones of its kind that stand in its way: their rows differ and
+    ascend, as they all have one list. Turned away is final, as a row's holder only gets smaller, so that rounds end
+    with the result of the sequence; there are as many as one group has conflicts between kinds in a row.
+    """
+    keys = [*group, kind]
+    listed = keep(offers.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("how", "row_pos"))), "offers")
+    asking = keep(cards.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("card_pos"))).withColumn("at", F.col("nth")), "asking")
+    while True:
+        asked = asking.join(listed, [*keys, "at"])
+        kept = asked.groupBy(*group, "row_pos").agg(F.min("card_pos").alias("holder"))
+        away = keep(asked.join(kept, [*group, "row_pos"]).where("card_pos > holder").select(*keys, "card_pos", F.lit(1).alias("away")), "away")
+        if away.isEmpty():
+            return asked
+        moved = asking.join(away, [*keys, "card_pos"], "left").withColumn("at", F.col("at") + F.coalesce("away", F.lit(0))).drop("away")
+        ahead = F.max(F.col("at") - F.col("nth")).over(Window.partitionBy(*keys).orderBy("nth"))
+        before, asking = asking, keep(moved.withColumn("at", F.col("nth") + ahead), "asking")
+        discard(before, away)
 
 
 def scored_candidates(targets: DataFrame, candidates: DataFrame, target: str, name: str, candidate: str, title: str, suffix: str, bonus: float = 0.25, floor: float = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from quarry.operators import harvest as H
 from quarry.operators import jobs as J
 from quarry.operators import keyed as K
 from quarry.plans.tables import query
+from quarry.sources import snapshots as N
 from quarry.sources.folders import keep, scratch
 
 
@@ -75,10 +76,22 @@ def t6_mark_done(t):
     return J.mark_done(old, new, ["p_partkey"])
 
 
-@query("SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_type = 'PROMO')")
+@query("""WITH s AS (SELECT DISTINCT p_brand FROM part WHERE p_size = 50 AND p_type = 'PROMO'), v AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type)
+  SELECT p_brand, p_type, CASE WHEN p_brand IN (SELECT p_brand FROM s) THEN n ELSE n * 10 END AS n, p_brand NOT IN (SELECT p_brand FROM s) AS stale FROM v WHERE p_brand IN (SELECT p_brand FROM s) OR p_type <> 'PROMO'""")
 def t7_stale_views(t):
-    stamps = t("part").where("p_size = 50 and p_type = 'PROMO'").select("p_brand", F.lit(3).alias("version")).distinct()
-    return J.stale(t("part").select("p_brand").distinct(), stamps, "p_brand", 3)
+    """A view of brands, all of version 1; then those that hold no large promo are stale at version 2, which leaves promos out."""
+    part = t("part").select("p_brand", "p_type", "p_size")
+    spark, path = part.sparkSession, scratch(part.sparkSession, "view")
+    stamps = N.stamps_store(spark, f"{path}/stamps")
+    counted = part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    brands = part.select("p_brand").distinct()
+    N.refresh_view(brands, "p_brand", 1, f"{path}/view", stamps, lambda keys: counted.join(keys, "p_brand", "left_semi"))
+    fresh = part.where("p_size = 50 and p_type = 'PROMO'").select(F.col("p_brand").alias("part"), F.lit(2).cast("long").alias("version")).distinct()
+    stamps.commit(100, {"stamps": fresh})
+    again = counted.where("p_type <> 'PROMO'").withColumn("n", F.col("n") * 10)
+    todo = N.refresh_view(brands, "p_brand", 2, f"{path}/view", stamps, lambda keys: again.join(keys, "p_brand", "left_semi"))
+    view = spark.read.parquet(f"{path}/view")
+    return view.join(todo.withColumn("stale", F.lit(True)), "p_brand", "left").select("p_brand", "p_type", "n", F.coalesce("stale", F.lit(False)).alias("stale"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE NOT (lang IN ('en', 'fr') AND doc_id % 3 <> 0 AND doc_id % 5 <> 0)")

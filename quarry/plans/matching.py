@@ -150,11 +150,14 @@ def j24_fan_out_rarity(t):
     return X.fan_out(t("part").select("p_size").distinct(), t("part").select("p_type").distinct(), names, "p_size", "n")
 
 
+#: Two cards in four have a prefix; rows have it now and then, or a context that names it.
+HELD_CODES = "SELECT concat('Promos ', set_id) AS set_name, id AS card_pos, CASE WHEN id % 4 = 0 THEN concat('SM', local_id) WHEN id % 4 = 1 THEN concat('XY', local_id) ELSE local_id END AS code FROM {cards}"
+ROW_CODES = "SELECT concat('Promos ', set_id) AS set_name, source_id AS row_pos, CASE WHEN source_id % 30 = 0 THEN concat('sm', local_id) ELSE local_id END AS code, CASE WHEN source_id % 40 = 0 THEN 'SM Promos' WHEN source_id % 60 = 0 THEN 'XY and SM' END AS context FROM {source}"
+
+
 @query()
 def j26_code_match_rows(t):
-    cards = t("cards").select(F.concat(F.lit("SM Promos "), "set_id").alias("set_name"), F.col("id").alias("card_pos"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("SM"), "local_id")).otherwise(F.col("local_id")).alias("code"))
-    rows = t("source").select(F.concat(F.lit("SM Promos "), "set_id").alias("set_name"), F.col("source_id").alias("row_pos"), F.col("local_id").alias("code"))
-    return X.code_match_rows(cards, rows, "set_name")
+    return X.code_match_rows(t(HELD_CODES), t(ROW_CODES), "set_name")
 
 
 @query(f"SELECT number, base_number, slug FROM ({FORMS}) WHERE base_number = 6 UNION ALL SELECT number, base_number, slug FROM ({FORMS}) WHERE number = 20071")
@@ -173,13 +176,51 @@ def j33_resolve_row_images(t):
     return X.resolution_ladder(cards, "id", [("guess", files)], held, "file", lambda: card_shaped(F.col("w"), F.col("h")) | F.col("any")).select("id", F.col("found").alias("file"))
 
 
-@query("SELECT method, count(*) AS n FROM (SELECT CASE WHEN id % 2 = 0 THEN 'guess' WHEN id % 3 = 0 THEN 'rows' WHEN id % 5 = 0 THEN 'pages' ELSE 'none' END AS method FROM {cards}) GROUP BY method")
+#: Files as guessed from name, set and number, half of them of another shape; the rows of set articles; and single pages.
+DEEP = "SELECT id, name, set_id AS set_name, local_id AS code FROM {cards} WHERE rarity <> ''"
+FILES = """SELECT concat(translate(name, ' -&#', ''), translate(set_id, ' -&#', ''), CAST(CAST(local_id AS INT) AS STRING), CASE WHEN id % 4 = 0 THEN '.png' ELSE '.jpg' END) AS file, CASE WHEN id % 8 = 0 THEN 100 ELSE 70 END AS w, 100 AS h FROM {cards} WHERE id % 4 < 2
+  UNION ALL SELECT concat('Row', CAST(id AS STRING), '.jpg'), CASE WHEN id % 3 = 0 THEN 100 ELSE 70 END, 100 FROM {cards}"""
+SET_ROWS = "SELECT set_id AS set_name, id AS row_pos, local_id AS code FROM {cards} WHERE id % 5 = 0"
+CARD_PAGES = "SELECT DISTINCT concat(name, ' (', set_id, ' ', CAST(CAST(local_id AS INT) AS STRING), ')') AS title FROM {cards} WHERE id % 7 < 3"
+
+
+def _deep(t):
+    from quarry.functions.predicates import card_shaped
+    from quarry.operators.stages import first_found, resolve_in_stages
+
+    files, rows, pages = t(FILES).groupBy("file").agg(F.min("w").alias("w"), F.min("h").alias("h")), t(SET_ROWS), t(CARD_PAGES)
+    shaped = lambda: card_shaped(F.col("w"), F.col("h"))
+
+    def set_rows(rest):
+        """Rows of the card's set by code (J26), and what their own files hold (J33); a row without one resolves nothing."""
+        met = X.code_match_rows(rest.select("set_name", F.col("id").alias("card_pos"), "code"), rows, "set_name")
+        named = met.select(F.col("card_pos").alias("id"), F.concat(F.lit("Row"), F.col("row_pos").cast("string"), F.lit(".jpg")).alias("file"))
+        return X.resolution_ladder(named, "id", [("row", F.col("file"))], files, "file", shaped).select("id", "found")
+
+    number = T.numerator(F.col("code"))
+    guess = first_found([T.guess_filenames(F.col("name"), [F.col("set_name")], F.col("code"))], files, "file", "id", shaped)
+    page = first_found([F.concat(F.col("name"), F.lit(" ("), F.col("set_name"), F.lit(" "), number, F.lit(")"))], pages, "title", "id")
+    return resolve_in_stages(t(DEEP), [("filename-guess", guess), ("set-rows", set_rows), ("article", page)], "id")
+
+
+@query(r"""WITH f AS (SELECT file, min(w) AS w FROM (""" + FILES + r""") GROUP BY file), d AS (""" + DEEP + r"""),
+  g AS (SELECT d.*, regexp_replace(name, '[^A-Za-z0-9]', '', 'g') || regexp_replace(set_name, '[^A-Za-z0-9]', '', 'g') || CAST(CAST(code AS INT) AS STRING) AS base FROM d),
+  a AS (SELECT g.*, CASE WHEN j.w < 100 THEN j.file WHEN p.w < 100 THEN p.file END AS one FROM g LEFT JOIN f j ON j.file = base || '.jpg' LEFT JOIN f p ON p.file = base || '.png'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY set_name, code ORDER BY row_pos) AS k FROM (""" + SET_ROWS + r""")),
+  b AS (SELECT a.*, row_number() OVER (PARTITION BY set_name, code ORDER BY id) AS k FROM a WHERE one IS NULL),
+  c AS (SELECT b.*, CASE WHEN f.w < 100 THEN f.file END AS two FROM b LEFT JOIN r USING (set_name, code, k) LEFT JOIN f ON f.file = 'Row' || CAST(r.row_pos AS STRING) || '.jpg'),
+  e AS (SELECT c.*, p.title AS three FROM c LEFT JOIN (""" + CARD_PAGES + r""") p ON two IS NULL AND p.title = name || ' (' || set_name || ' ' || CAST(CAST(code AS INT) AS STRING) || ')')
+  SELECT id, one AS found, 'filename-guess' AS method FROM a WHERE one IS NOT NULL UNION ALL SELECT id, coalesce(two, three), CASE WHEN two IS NOT NULL THEN 'set-rows' WHEN three IS NOT NULL THEN 'article' END FROM e""")
 def j34_deep_image_stages(t):
-    from quarry.operators.jobs import staged
+    return _deep(t).select("id", "found", "method")
 
-    cards = t("cards").select("id")
-    stages = [("guess", cards.where("id % 2 = 0")), ("rows", cards.where("id % 3 = 0")), ("pages", cards.where("id % 5 = 0"))]
-    return staged(cards, stages, "id").groupBy("method").agg(F.count("*").alias("n"))
+
+@query("SELECT coalesce(method, 'none') AS method, count(*) AS n FROM (SELECT CASE WHEN id % 2 = 0 THEN 'guess' WHEN id % 3 = 0 THEN 'rows' WHEN id % 5 = 0 THEN 'pages' END AS method FROM {cards}) GROUP BY 1")
+def j34_counts_by_method(t):
+    from quarry.operators.stages import counts_by_method, resolve_in_stages
+
+    part = lambda n: lambda rest: rest.where(F.col("id") % n == 0).select("id", F.lit(n).alias("found"))
+    return counts_by_method(resolve_in_stages(t("cards").select("id"), [("guess", part(2)), ("rows", part(3)), ("pages", part(5))], "id"))
 
 
 TARGETS = "SELECT DISTINCT p_name AS target, p_name || ' gears' AS wanted, CASE WHEN length(p_name) % 2 = 0 THEN ' small' ELSE ' box' END AS suffix FROM {part}"

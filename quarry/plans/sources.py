@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from quarry.plans.tables import query
 from quarry.sources import catalog as S
 from quarry.sources import extract as E
+from quarry.sources import snapshots as N
 from quarry.sources.folders import scratch
 
 
@@ -115,10 +116,18 @@ def s12_version_stamp(t):
     return stats.crossJoin(version.select(F.col("version").isNotNull().alias("stamped")))  # one row
 
 
-@query("SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+@query("""SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(CASE WHEN NOT contains(url, '?') AND page_id % 7 <> 0 THEN 1 END) AS records, count(CASE WHEN NOT contains(url, '?') AND page_id % 7 = 0 THEN 1 END) AS failures,
+  count(CASE WHEN contains(url, '?') THEN 1 END) AS skipped, string_agg(CASE WHEN NOT contains(url, '?') AND page_id % 7 = 0 THEN CAST(page_id AS STRING) END, ',' ORDER BY CAST(page_id AS STRING)) AS failed FROM pages GROUP BY 1""")
 def s13_publish_snapshot(t):
+    """Two snapshots; the second one's manifest, held against the records that readers see, and its failures."""
     pages = t("pages").select("page_id", "url", F.regexp_extract("url", "://([^/]+)", 1).alias("host"))
-    return S.publish(pages, scratch(pages.sparkSession, "snapshot"), "host")
+    path = scratch(pages.sparkSession, "snapshots")
+    for rows in (pages.where("page_id % 2 = 0"), pages):
+        N.publish(rows, path, "host", F.when(F.col("page_id") % 7 == 0, "no image"), F.contains("url", F.lit("?")))
+    seen = N.read_snapshot(pages.sparkSession, path).groupBy("host").agg(F.count("*").alias("seen"))
+    failed = N.read_snapshot(pages.sparkSession, path, "failures").groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.col("page_id").cast("string"))), ",").alias("failed"))
+    out = N.read_snapshot(pages.sparkSession, path, "manifest").join(seen, "host", "left").join(failed, "host", "left")
+    return out.select("host", F.when(F.coalesce("seen", F.lit(0)) == F.col("records"), F.col("records")).alias("records"), "failures", "skipped", "failed")
 
 
 @query("SELECT event_id, event_id % 3 <> 0 AS valid, CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 7 ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END END AS k, CASE WHEN event_id % 3 <> 0 THEN event_type END AS kind FROM events")

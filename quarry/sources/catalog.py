@@ -144,14 +144,6 @@ def write_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.max("version").alias("version"))
 
 
-def publish(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Write a snapshot and, last, its manifest (counts by group): readers take a folder with a manifest only."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    written = df.sparkSession.read.parquet(f"{path}/data")
-    written.groupBy(by).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/manifest")
-    return df.sparkSession.read.parquet(f"{path}/manifest")
-
-
 def export_collection(df: DataFrame, user: str, fields: Sequence[str], version: int = 1) -> DataFrame:
     """One JSON document for each user."""
     return df.select(user, F.to_json(F.struct(F.lit(version).alias("version"), *fields)).alias("payload"))

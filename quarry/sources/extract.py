@@ -119,28 +119,32 @@ def section(text: Column, heading: Column) -> Column:
 
 
 class _Fields(HTMLParser):
-    """Text of the first element for each wanted (tag, class), and the first image."""
+    """Text of the first element for each wanted (tag, class), with what lies in it, and the first image."""
 
     def __init__(self, layout: dict[str, tuple[str, str | None]]):
         super().__init__(convert_charrefs=True)
-        self.layout, self.found, self.image, self.open = layout, {}, None, []
+        self.layout, self.found, self.image = layout, {}, None
+        self.depth: dict[str, int] = {}  # of the field's tag within the field, while it is open
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag == "img" and self.image is None:
             self.image = attrs.get("data-src") or attrs.get("src")
         for name, (wanted, cls) in self.layout.items():
-            if tag == wanted and name not in self.found and (cls is None or cls in (attrs.get("class") or "").split()):
-                self.found[name] = ""
-                self.open.append((name, tag))
+            if name in self.depth:
+                self.depth[name] += tag == wanted
+            elif tag == wanted and name not in self.found and (cls is None or cls in (attrs.get("class") or "").split()):
+                self.found[name], self.depth[name] = "", 1
 
     def handle_endtag(self, tag):
-        if self.open and self.open[-1][1] == tag:
-            self.open.pop()
+        for name in [n for n in self.depth if self.layout[n][0] == tag]:
+            self.depth[name] -= 1
+            if not self.depth[name]:
+                del self.depth[name]
 
     def handle_data(self, data):
-        if self.open:
-            self.found[self.open[-1][0]] += data
+        for name in self.depth:
+            self.found[name] += data
 
 
 def card_pages(pages: DataFrame, html: str, layout: dict[str, tuple[str, str | None]], keep: list[str]) -> DataFrame:

@@ -3,8 +3,8 @@
 import random
 import re
 
-import pandas as pd
 import pytest
+from compare import SF
 from pyspark.sql import functions as F
 
 from quarry.functions import classify as C
@@ -15,6 +15,7 @@ from quarry.operators import forms as O
 from quarry.operators import keyed as K
 from quarry.operators import match as X
 from quarry.operators import merge as M
+from quarry.plans import matching, tables
 from quarry.sources import catalog as S
 from quarry.sources import extract as E
 from quarry.streaming.state import next_state
@@ -131,6 +132,31 @@ def test_code_rows_are_matched_once(spark):
     assert {("SM Promos", 1, 10, "prefix"), ("SM Promos", 2, 13, "exact"), ("SM Promos", 3, 11, "prefix"), ("SM Promos", 4, 12, "prefix"), ("Old Gears", 5, 14, "prefix")} <= want
 
 
+def test_code_rows_of_the_query(spark):
+    """The query of J26 against one card after the other."""
+    t = lambda text: tables.sql(spark, SF, text)
+    cards = [(r["set_name"], r["card_pos"], r["code"]) for r in t(matching.HELD_CODES).collect()]
+    rows = [(r["set_name"], r["row_pos"], r["code"], r["context"]) for r in t(matching.ROW_CODES).collect()]
+    want = in_turn(cards, rows)
+    found = tables.QUERIES["j26_code_match_rows"](spark, SF)
+    assert {(r["set_name"], r["card_pos"], r["row_pos"], r["how"]) for r in found.collect()} == want and found.count() == len(want)
+    assert {how for *_, how in want} == {"exact", "prefix"}
+
+
+def test_cards_that_turn_each_other_away(spark):
+    """Kinds with one list compete for every row; a kind without offers gets nothing."""
+    cards = [(1, kind, 3 * k + i) for i, kind in enumerate("abc") for k in range(6)] + [(2, "a", 99)]
+    offers = [(1, kind, row, "exact" if kind == "b" and row % 2 else "prefix") for kind in "ab" for row in range(9)]
+    found = X.in_card_order(spark.createDataFrame(cards, "g int, kind string, card_pos long"), spark.createDataFrame(offers, "g int, kind string, row_pos long, how string"), ["g"], "kind")
+    free, want = set(range(9)), set()
+    for g, kind, pos in sorted(cards, key=lambda c: c[2]):
+        mine = sorted((how, row) for og, ok, row, how in offers if (og, ok) == (g, kind) and row in free)
+        if mine:
+            free.remove(mine[0][1])
+            want.add((pos, mine[0][1]))
+    assert {(r["card_pos"], r["row_pos"]) for r in found.collect()} == want
+
+
 def test_native_matches(spark):
     cards = spark.createDataFrame([(i, "box", loc, 7) for i, loc in enumerate(["1", "2", "3", "9"])] + [(4, "two", "1", 7), (5, "none", "1", 7), (6, "lone box set", "5", 8)], "card_id int, set_key string, local_key string, species int")
     source = [(10, "box", "1", [7]), (11, "box", "2", [4]), (12, "box", "3", []), (13, "box", "3", [7]), (14, "two", None, [7]), (15, "two", "4", [7, 7]), (16, "lone box", None, [8, 8]), (17, "box b", None, [1])]
@@ -138,6 +164,8 @@ def test_native_matches(spark):
     # the conflict keeps its row; several rows of the species are ambiguous
     assert found[0] == ("primary", 10) and found[1] == ("species-conflict", 11) and found[2] == ("ambiguous", None) and found[3] == ("ambiguous", None)
     assert found[4] == ("ambiguous", None) and found[5] == ("none", None)
+    nothing = spark.createDataFrame([(10, "box", "1", None)], "source_id int, set_key string, local_key string, species array<int>")
+    assert X.match_japanese(cards.where("card_id = 0"), nothing).first()["kind"] == "primary"  # no species at all don't conflict
     one = spark.createDataFrame(source[4:5] + source[6:7], "source_id int, set_key string, local_key string, species array<int>")
     found = {r["card_id"]: (r["kind"], r["source_id"]) for r in X.match_japanese(cards, one).collect()}
     assert found[4] == ("fallback-species", 14) and found[6] == ("fallback-species", 16)
