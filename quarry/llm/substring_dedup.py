@@ -17,7 +17,7 @@ what is sent, never what is found), so that of a passage that a third of all doc
 copy. Windows are told apart by 64 bits within a block: about n^2 / (2^65 * blocks) equal hashes of unlike windows are to
 be expected of n windows, one at most for 100 TB. Defined results: a null or empty text has no words; rows that
 repeat a doc_id are one document to each other (they don't remove each other's words) and keep their own texts apart by
-a 16-bit text tag; a row with a null doc_id is neither reference nor parsed; other columns are ignored.
+a tag, 16 bits of the text's hash, or all 64 where two texts of a doc_id would have one tag; a row with a null doc_id is neither reference nor parsed; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ SEED = 6
 #: Shared windows that a task remembers from slab to slab.
 REMEMBERED = 1 << 19
 _SENT = "block int, seeds binary, docs binary, tags binary, starts binary, counts binary, refs binary, places binary"
-_SPANS = "doc_id long, tag smallint, start int, n_words int, ref_doc_id long, ref_start int"
-_ARROW_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int16()), ("start", pa.int32()), ("n_words", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32())])
+_SPANS = "doc_id long, tag long, start int, n_words int, ref_doc_id long, ref_start int"
+_ARROW_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32())])
 
 
 def _first_places(seeds: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def _spans(ids, tags, doc, start, first, window) -> dict[str, np.ndarray]:
     if not len(doc):
         return {}
     heads, lengths = _factors(doc, start, first, window)
-    return {"doc_id": ids[doc[heads]], "tag": tags[found[heads]], "start": start[heads].astype(np.int32), "n_words": lengths.astype(np.int32), "ref_doc_id": ids[first[heads] >> 32], "ref_start": (first[heads] & 0xFFFFFFFF).astype(np.int32)}
+    return {"doc_id": ids[doc[heads]], "tag": tags[found[heads]].astype(np.int64), "start": start[heads].astype(np.int32), "n_words": lengths.astype(np.int32), "ref_doc_id": ids[first[heads] >> 32], "ref_start": (first[heads] & 0xFFFFFFFF).astype(np.int32)}
 
 
 class _Shared:
@@ -102,7 +102,7 @@ class _Shared:
         self.seeds, self.doc, self.start, self.used = seeds[stay], doc[stay], start[stay], used[stay]
 
 
-def _send(window: int, blocks: int, slab_bytes: int):
+def _send(window: int, blocks: int, slab_bytes: int, tag_type: type):
     """Texts to rows for the blocks. A row with refs holds factors found inside the slab, which the block passes on."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _send(window: int, blocks: int, slab_bytes: int):
         shared = _Shared()
         for batch in W.slabs(batches, "text", slab_bytes):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            tag = batch.column(1).to_numpy(zero_copy_only=False)
+            tag = batch.column(1).to_numpy(zero_copy_only=False).astype(tag_type)
             data, at = W.text_bytes(batch.column(2))
             starts, ends, first_word = W.bounds(data, at, table)
             words = W.hashes(data, starts, ends)
@@ -140,7 +140,7 @@ def _send(window: int, blocks: int, slab_bytes: int):
                     columns[name].append(arrays[name].tobytes() if name in arrays else None)  # noqa: B023
 
             if own:
-                put(int(block[0]), docs=own["doc_id"], tags=own["tag"], starts=own["start"], counts=own["n_words"], refs=own["ref_doc_id"], places=own["ref_start"])
+                put(int(block[0]), docs=own["doc_id"], tags=own["tag"].astype(tag_type), starts=own["start"], counts=own["n_words"], refs=own["ref_doc_id"], places=own["ref_start"])
             left = np.flatnonzero(doc == first >> 32)
             left = left[np.argsort(block[left].astype(np.uint16) if blocks <= 1 << 16 else block[left], kind="stable")]
             doc, start, seeds, block, row = doc[left], start[left], seeds[left], block[left], row[left]
@@ -156,7 +156,7 @@ def _send(window: int, blocks: int, slab_bytes: int):
     return send
 
 
-def _parse(window: int):
+def _parse(window: int, tag_type: type):
     """One block: index the windows of all pieces, then factor every piece."""
 
     def parse(table: pa.Table) -> pa.Table:
@@ -166,37 +166,47 @@ def _parse(window: int):
 
         done = np.asarray(table.column("seeds").is_null())
         passed, sent = np.flatnonzero(done), np.flatnonzero(~done)
-        out = [{"doc_id": joined("docs", np.int64, passed), "tag": joined("tags", np.int16, passed), "start": joined("starts", np.int32, passed), "n_words": joined("counts", np.int32, passed), "ref_doc_id": joined("refs", np.int64, passed), "ref_start": joined("places", np.int32, passed)}]
+        out = [{"doc_id": joined("docs", np.int64, passed), "tag": joined("tags", tag_type, passed).astype(np.int64), "start": joined("starts", np.int32, passed), "n_words": joined("counts", np.int32, passed), "ref_doc_id": joined("refs", np.int64, passed), "ref_start": joined("places", np.int32, passed)}]
         if len(sent):
             counts = joined("counts", np.int32, sent).astype(np.int64)
             ids, rank = np.unique(joined("docs", np.int64, sent), return_inverse=True)
             doc = np.repeat(rank.astype(np.int64), counts)
             start = W.ranges(joined("starts", np.int32, sent).astype(np.int64), counts)
             first = _first_places(joined("seeds", np.uint64, sent), doc, start)
-            out.append(_spans(ids, np.repeat(joined("tags", np.int16, sent), counts), doc, start, first, window))
+            out.append(_spans(ids, np.repeat(joined("tags", tag_type, sent), counts), doc, start, first, window))
         return pa.table({f.name: pa.array(np.concatenate([x[f.name] for x in out if x]), f.type) for f in _ARROW_SPANS}, _ARROW_SPANS)
 
     return parse
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
+def _tagged(docs: DataFrame, wide: bool) -> DataFrame:
     """doc_id, tag and text; the tag tells apart texts of rows that repeat a doc_id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(shiftright(xxhash64(text), 48) as smallint)").alias("tag"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(f"shiftright(xxhash64(text), {0 if wide else 48})").alias("tag"), "text")
 
 
-def duplicate_spans(docs: DataFrame, window: int = 13, block_mb: float = 8, slab_mb: float = 4) -> DataFrame:
+def _needs_wide_tags(docs: DataFrame) -> bool:
+    """Whether some doc_id has two texts of one short tag."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).where("doc_id is not null")
+    tags = rows.groupBy("doc_id", F.shiftright("h", 48).alias("tag")).agg((F.min("h") != F.max("h")).alias("two"))
+    return not tags.where("two").isEmpty()
+
+
+def duplicate_spans(docs: DataFrame, window: int = 13, block_mb: float = 8, slab_mb: float = 4, wide: bool | None = None) -> DataFrame:
     """Factors that also occur in a document with a smaller doc_id.
 
     ``docs``: doc_id (integer), text. Returns doc_id, tag, start and n_words (counted in words; ``window`` or more), and
     the place of the factor in the reference: ref_doc_id, ref_start. Factors may overlap. ``block_mb`` bounds what one
     block holds of window hashes; the number of blocks follows the input. ``slab_mb``: text that a task looks at together.
+    ``wide``: tags of 64 bits instead of 16 (None: where they are needed).
     """
     if window < SEED:
         raise ValueError(f"a window has {SEED} words or more")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(1.3 * total / (block_mb * 1e6)))
-    sent = _tagged(docs).where("doc_id is not null and text is not null").mapInArrow(_send(window, blocks, int(slab_mb * 1e6)), _SENT)
-    return sent.groupBy("block").applyInArrow(_parse(window), _SPANS)
+    wide = _needs_wide_tags(docs) if wide is None else wide
+    tag_type = np.int64 if wide else np.int16
+    sent = _tagged(docs, wide).where("doc_id is not null and text is not null").mapInArrow(_send(window, blocks, int(slab_mb * 1e6), tag_type), _SENT)
+    return sent.groupBy("block").applyInArrow(_parse(window, tag_type), _SPANS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +245,7 @@ def remove_duplicates(docs: DataFrame, window: int = 13, block_mb: float = 8, sl
 
     kept_text joins the kept words by one space. A row that has lost nothing is returned too (n_removed 0).
     """
-    spans = duplicate_spans(docs, window, block_mb, slab_mb).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("start", "n_words"))).alias("spans"))
-    joined = _tagged(docs).join(spans.hint("shuffle_hash"), ["doc_id", "tag"], "left")
+    wide = _needs_wide_tags(docs)
+    spans = duplicate_spans(docs, window, block_mb, slab_mb, wide).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.array("start", "n_words"))).alias("spans"))
+    joined = _tagged(docs, wide).join(spans.hint("shuffle_hash"), ["doc_id", "tag"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

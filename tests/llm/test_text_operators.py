@@ -64,9 +64,9 @@ def test_room_for_remembered_windows_does_not_matter(monkeypatch):
 
     def sent_and_found(limit):
         monkeypatch.setattr(substring_dedup._Shared.__init__, "__defaults__", (limit,))
-        sent = list(substring_dedup._send(13, 4, 4000)(iter([rows])))
+        sent = list(substring_dedup._send(13, 4, 4000, np.int16)(iter([rows])))
         pieces = sum(len(b.column("seeds").drop_null()) for b in sent)
-        spans = [s for t in pa.Table.from_batches(sent).group_by("block").aggregate([]).column("block").to_pylist() for s in substring_dedup._parse(13)(pa.Table.from_batches(sent).filter(pa.compute.field("block") == t)).to_pylist()]
+        spans = [s for t in pa.Table.from_batches(sent).group_by("block").aggregate([]).column("block").to_pylist() for s in substring_dedup._parse(13, np.int16)(pa.Table.from_batches(sent).filter(pa.compute.field("block") == t)).to_pylist()]
         gone = {(s["doc_id"], k) for s in spans for k in range(s["start"], s["start"] + s["n_words"])}
         return pieces, gone
 
@@ -277,3 +277,19 @@ def test_places_of_many_buckets_are_joined(docs, monkeypatch):
     near = placed()
     monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", 0)
     assert placed() == near
+
+
+def test_texts_of_one_doc_id_and_one_tag(spark):
+    """Two texts of a doc_id whose short tags agree: words are taken from the one that repeats them, not from the other."""
+    shared = " ".join(f"s{k}" for k in range(20))
+    by_tag, pair = {}, None
+    for n in range(100_000):
+        for kind, text in ((0, f"a{n} {shared}"), (1, " ".join(f"b{n}x{k}" for k in range(26)))):
+            tag = xxhash.xxh64_intdigest(text, 42) >> 48
+            if by_tag.setdefault((tag, kind), text) and (tag, 1 - kind) in by_tag:
+                pair = by_tag[tag, 0], by_tag[tag, 1]
+        if pair:
+            break
+    docs = spark.createDataFrame([(1, shared), (5, pair[0]), (5, pair[1]), (6, pair[1] + " end")], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_duplicates(docs).collect())
+    assert found == [(1, 20, 0), (5, 21, 20), (5, 26, 0), (6, 27, 26)]
