@@ -139,6 +139,32 @@ def newest(df: DataFrame, group: str, name: str, position: str) -> DataFrame:
     return df.groupBy(group).agg(F.max_by(name, position).alias("newest"))
 
 
+def version_label(names: DataFrame, group: str, newest_name: str, covered: DataFrame, version: DataFrame) -> DataFrame:
+    """Each group's label: the date of the catalog's version for covered groups, else its newest name; null if there is none.
+
+    ``version``: one row at most, with ``version`` as ISO time; any text that is no date gives none.
+    """
+    stamp = version.agg(F.max(F.to_date(F.try_to_timestamp(F.substring("version", 1, 10)))).alias("_date"))
+    known = covered.select(group).distinct().withColumn("_covered", F.lit(True))
+    label = F.when(F.col("_covered"), F.date_format("_date", "yyyy-MM-dd")).otherwise(F.col(newest_name))
+    return names.join(known, group, "left").crossJoin(F.broadcast(stamp)).select(group, label.alias("label"))  # one row
+
+
+def cross_check_outcomes(checked: DataFrame, by: str, kind: str, agreement: Column, ours: Column, theirs: Column) -> DataFrame:
+    """What a source says of sampled rows, per ``by``: sampled, matched, via_fallback, conflict, ambiguous, no_match, and of
+    the matched ones variant and mismatch (of names), label_differences (both have a label), label_absent, and clean: the
+    names agree, and so do the labels where the source has any.
+    """
+    k, matched = F.col(kind), F.col(kind).isin("primary", "fallback-species")
+    same = F.coalesce(F.lower(F.trim(ours)) == F.lower(F.trim(theirs)), F.lit(False))
+    counts = {
+        "matched": matched, "via_fallback": k == "fallback-species", "conflict": k == "species-conflict", "ambiguous": k == "ambiguous", "no_match": k == "none",
+        "variant": matched & (agreement == "variant"), "mismatch": matched & (agreement == "mismatch"), "label_differences": matched & theirs.isNotNull() & ~same,
+        "label_absent": matched & theirs.isNull(), "clean": matched & (agreement != "mismatch") & same,
+    }
+    return checked.groupBy(by).agg(F.count("*").alias("sampled"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
 def has_value(df: DataFrame, column: str, value) -> DataFrame:
     """One row: whether any row has the value; reads no further than the first."""
     return df.where(F.col(column) == value).limit(1).agg((F.count("*") > 0).alias("present"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +81,32 @@ def rewrite_urls(df: DataFrame, field: str, checkpoint: DataFrame, target: Colum
     return out.withColumn(field, F.when(F.col("rewritten"), target).otherwise(F.col(field))).drop("_done")
 
 
+def rewrite_fields(df: DataFrame, fields: dict[str, Column], external: Callable[[Column], Column], checkpoint: DataFrame) -> DataFrame:
+    """Each field's URL replaced by its target where it is external and the checkpoint (url, status) says done.
+
+    ``fields``: name to the column of what takes its place. ``changes`` has an entry (field, old, new) for each replaced one.
+    """
+    done = checkpoint.where(F.col("status") == "done").select("url").distinct()
+    out = df
+    for k, name in enumerate(fields):
+        out = out.join(done.select(F.col("url").alias(name), F.lit(True).alias(f"_done{k}")), name, "left")
+    hit = {name: F.coalesce(F.col(f"_done{k}") & external(F.col(name)), F.lit(False)) for k, name in enumerate(fields)}
+    change = [F.when(hit[name], F.struct(F.lit(name).alias("field"), F.col(name).alias("old"), new.alias("new"))) for name, new in fields.items()]
+    out = out.withColumn("changes", F.array_compact(F.array(*change)))
+    return out.select(*[F.when(hit[c], fields[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns], "changes")
+
+
+def rewrite_summary(rewritten: DataFrame, file: str) -> DataFrame:
+    """One row: how many fields and how many files have changed."""
+    changed = rewritten.where(F.size("changes") > 0)
+    return changed.agg(F.coalesce(F.sum(F.size("changes")), F.lit(0)).alias("fields"), F.countDistinct(file).alias("files"))
+
+
+def rewrite_samples(rewritten: DataFrame, file: str, key: str, most: int = 60) -> DataFrame:
+    """The first changed fields by file and key: file, key, field, old, new."""
+    return rewritten.select(file, key, F.posexplode("changes").alias("_at", "c")).select(file, key, "_at", "c.*").orderBy(file, key, "_at").limit(most).drop("_at")
+
+
 def mirror_worklist(urls: DataFrame, checkpoint: DataFrame, url: str) -> DataFrame:
     """Distinct URLs that were neither done nor failed before."""
     return urls.select(url).distinct().join(checkpoint.select(F.col("url").alias(url)), url, "left_anti")

@@ -20,21 +20,31 @@ def _grams(value: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - _GRAM + 1, F.lit(1))), lambda i: F.substring(value, i, F.lit(_GRAM))))
 
 
+def _containing(short: DataFrame, inner: str, long: DataFrame, outer: str) -> DataFrame:
+    """Pairs of texts of which the second contains the first.
+
+    The longer one has every run of three characters of the shorter one; they meet by that which the fewest of the longer
+    texts have, so that a run which all share makes no pairs unless there is no other.
+    """
+    held = long.withColumn("g", F.explode(_grams(F.col(outer))))
+    often = held.groupBy("g").agg(F.count("*").alias("texts"))
+    asked = short.withColumn("g", F.explode(_grams(F.col(inner)))).join(often, "g", "left").groupBy(inner).agg(F.min_by("g", F.struct(F.coalesce("texts", F.lit(0)), "g")).alias("g"))
+    return asked.join(held, "g").where(F.contains(outer, F.col(inner))).select(inner, outer)
+
+
 def fuzzy_set_match(names: DataFrame, targets: DataFrame, name: str, target: str) -> DataFrame:
     """Each distinct name with the one target that it equals, else the only one that contains it or is contained.
 
     Both sides have three characters or more for containment; several candidates give ``ambiguous`` and no target.
-    Containment of the shorter in the longer implies that the shorter's first three characters occur in the longer, so
-    both directions are equi-joins on such runs, without comparing all pairs.
     """
     left = names.select(F.col(name).alias("name")).distinct()
     right = targets.select(F.col(target).alias("target")).distinct()
     exact = left.join(right, F.col("name") == F.col("target")).select("name", "target")
     rest = left.join(exact, "name", "left_anti").where(F.length("name") >= _GRAM)
     long_right = right.where(F.length("target") >= _GRAM)
-    inside = rest.withColumn("g", F.substring("name", 1, _GRAM)).join(long_right.withColumn("g", F.explode(_grams(F.col("target")))), "g").where(F.contains("target", F.col("name")))
-    around = rest.withColumn("g", F.explode(_grams(F.col("name")))).join(long_right.withColumn("g", F.substring("target", 1, _GRAM)), "g").where(F.contains("name", F.col("target")))
-    found = inside.select("name", "target").unionByName(around.select("name", "target")).distinct()
+    inside = _containing(rest, "name", long_right, "target")
+    around = _containing(long_right, "target", rest, "name")
+    found = inside.unionByName(around.select("name", "target")).distinct()
     chosen = found.groupBy("name").agg(F.count("*").alias("n"), F.min("target").alias("target"))
     near = chosen.select("name", F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") == 1, "contained").otherwise("ambiguous").alias("how"))
     hits = exact.withColumn("how", F.lit("exact")).unionByName(near)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import audit as A
 from quarry.plans.tables import query
+from quarry.sources import catalog as S
+from quarry.sources.folders import scratch
 
 MAPPED = "SELECT id, set_id, rarity AS raw, CASE rarity WHEN 'ECONOMY' THEN 'Common' WHEN 'SMALL' THEN 'Common' WHEN '' THEN 'Unknown' WHEN 'MEDIUM' THEN 'Unknown' ELSE rarity END AS mapped FROM {cards}"
 
@@ -138,6 +140,13 @@ def a26_newest_set(t):
     return A.newest(t("part"), "p_brand", "p_name", "p_partkey")
 
 
+@query("SELECT p_brand, CASE WHEN p_brand LIKE '%2' THEN '2026-01-31' ELSE arg_max(p_name, p_partkey) END AS label FROM part GROUP BY p_brand")
+def a26_version_label(t):
+    names = A.newest(t("part"), "p_brand", "p_name", "p_partkey")
+    version = t("SELECT '2026-01-31T10:00:00Z' AS version")
+    return A.version_label(names, "p_brand", "newest", t("part").where(F.col("p_brand").endswith("2")), version)
+
+
 @query("SELECT DISTINCT p_brand, p_type FROM part WHERE p_brand IN ('Brand#1', 'Brand#9')")
 def a27_purge_partitions(t):
     deny = t("SELECT * FROM VALUES ('Brand#1'), ('Brand#9') AS v(p_brand)")
@@ -149,12 +158,17 @@ def a28_has_language(t):
     return A.has_value(t("documents"), "lang", "es")
 
 
-@query("SELECT name, arg_max(id, id) AS id FROM {cards} WHERE name LIKE '% VMAX' GROUP BY name")
-def a29_id_index(t):
-    from quarry.functions.classify import is_vmax_name
-    from quarry.operators.keyed import latest_wins
+GENERATIONS = "SELECT id, name, set_id, pos, CASE WHEN id % 10 = 3 THEN 'ja' ELSE 'en' END AS language, id % 3 + 1 AS generation FROM {cards} UNION ALL SELECT id - 1, name, set_id, pos, 'en', id % 3 + 1 FROM {cards} WHERE id % 4 = 1"
 
-    return latest_wins(t("cards").where(is_vmax_name(F.col("name"))).select("name", "id", "pos"), ["name"], ["pos"]).select("name", "id")
+
+@query(f"SELECT id, name, generation FROM ({GENERATIONS}) WHERE language = 'en' AND contains(name, 'VMAX') QUALIFY row_number() OVER (PARTITION BY id ORDER BY generation DESC) = 1")
+def a29_id_index(t):
+    """VMAX cards of all written generations of a language; of an id that several have, the last generation's."""
+    cards = t(GENERATIONS)
+    path = scratch(cards.sparkSession, "generations")
+    S.write_catalog(cards, path)
+    rows = S.collect_by_pattern(cards.sparkSession, path, "en", "VMAX", ["id", "name"])
+    return S.id_index(rows, "id").select("id", "name", F.col("generation").cast("long").alias("generation"))
 
 
 @query("SELECT set_id, species, 'left' AS side FROM (SELECT set_id, species FROM {cards} EXCEPT SELECT set_id, species FROM {source}) UNION ALL SELECT set_id, species, 'right' FROM (SELECT set_id, species FROM {source} EXCEPT SELECT set_id, species FROM {cards})")

@@ -107,6 +107,31 @@ def t9_rewrite_mirrored_urls(t):
     return J.rewrite_urls(t("pages").select("page_id", "url"), "url", checkpoint, F.concat(F.lit("own/"), F.col("page_id").cast("string")))
 
 
+REWRITTEN = """SELECT page_id, host, f, old, new FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, unnest(['thumb', 'full']) AS f, unnest([url, CASE WHEN page_id % 2 = 0 THEN url || '#big' ELSE 'own/kept' END]) AS old, unnest(['own/t' || CAST(page_id AS STRING), 'own/f' || CAST(page_id AS STRING)]) AS new FROM pages)
+  WHERE starts_with(old, 'http') AND replace(old, '#big', '') IN (SELECT url FROM pages WHERE page_id % 4 = 0)"""
+
+
+def _rewritten(t):
+    """Two fields of each page; a checkpoint that says done for every fourth URL and its large form."""
+    pages = t("pages")
+    big = F.concat("url", F.lit("#big"))
+    rows = pages.select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.col("url").alias("thumb"), F.when(F.col("page_id") % 2 == 0, big).otherwise("own/kept").alias("full"))
+    status = F.when(F.col("page_id") % 4 == 0, "done").otherwise("failed").alias("status")
+    checkpoint = pages.select("url", status).unionByName(pages.select(big.alias("url"), status))
+    own = {"thumb": F.concat(F.lit("own/t"), F.col("page_id").cast("string")), "full": F.concat(F.lit("own/f"), F.col("page_id").cast("string"))}
+    return J.rewrite_fields(rows, own, lambda u: u.startswith("http"), checkpoint)
+
+
+@query(f"SELECT count(*) AS fields, count(DISTINCT host) AS files FROM ({REWRITTEN})")
+def t9_rewrite_summary(t):
+    return J.rewrite_summary(_rewritten(t), "host")
+
+
+@query(f"SELECT host, page_id, f AS field, old, new FROM ({REWRITTEN}) ORDER BY host, page_id, CASE f WHEN 'thumb' THEN 0 ELSE 1 END LIMIT 60")
+def t9_rewrite_samples(t):
+    return J.rewrite_samples(_rewritten(t), "host", "page_id")
+
+
 @query("SELECT DISTINCT url FROM pages WHERE page_id % 3 <> 0")
 def t10_mirror_worklist(t):
     return J.mirror_worklist(t("pages"), t("pages").where("page_id % 3 = 0").select("url"), "url")

@@ -82,6 +82,29 @@ def a11_cross_check_counts(t):
     return X.cross_check(_english(t).withColumn("source", F.lit("english")).unionByName(_japanese(t).withColumn("source", F.lit("japanese"))), "source")
 
 
+SAMPLED = f"""SELECT x.card_id, x.species, m.kind, m.source_id, c.name AS ours, s.name AS theirs, c.rarity AS our_label, CASE WHEN s.source_id % 40 <> 0 THEN s.rarity END AS their_label FROM (
+  SELECT card_id, species FROM ({OURS}) QUALIFY row_number() OVER (PARTITION BY species ORDER BY md5('en-sample:' || CAST(species AS STRING) || ':' || CAST(card_id AS STRING)), card_id) = 1) x
+  JOIN ({ENGLISH}) m ON m.card_id = x.card_id JOIN {{cards}} c ON c.id = x.card_id LEFT JOIN {{source}} s ON s.source_id = m.source_id"""
+
+
+@query(f"""WITH a AS (SELECT *, kind = 'primary' AS hit, CASE WHEN lower(ours) = lower(theirs) THEN 'exact' WHEN contains(lower(ours), lower(theirs)) OR contains(lower(theirs), lower(ours)) OR contains(lower(ours), 'bolt') AND contains(lower(theirs), 'bolt') THEN 'variant' ELSE 'mismatch' END AS g,
+    coalesce(lower(trim(our_label)) = lower(trim(their_label)), false) AS same FROM ({SAMPLED}))
+  SELECT 'english' AS source, count(*) AS sampled, count(CASE WHEN hit THEN 1 END) AS matched, 0 AS via_fallback, 0 AS conflict, count(CASE WHEN kind = 'ambiguous' THEN 1 END) AS ambiguous, count(CASE WHEN kind = 'none' THEN 1 END) AS no_match,
+    count(CASE WHEN hit AND g = 'variant' THEN 1 END) AS variant, count(CASE WHEN hit AND g = 'mismatch' THEN 1 END) AS mismatch, count(CASE WHEN hit AND their_label IS NOT NULL AND NOT same THEN 1 END) AS label_differences,
+    count(CASE WHEN hit AND their_label IS NULL THEN 1 END) AS label_absent, count(CASE WHEN hit AND g <> 'mismatch' AND same THEN 1 END) AS clean FROM a""")
+def a11_cross_check_sample(t):
+    """One card of each species, held against the source that matches it."""
+    from quarry.operators.audit import cross_check_outcomes, name_agreement
+    from quarry.operators.keyed import reproducible_sample
+
+    sampled = reproducible_sample(t(OURS).select("card_id", "species"), "species", "card_id", "en-sample")
+    cards = t("cards").select(F.col("id").alias("card_id"), F.col("name").alias("ours"), F.col("rarity").alias("our_label"))
+    records = t("source").select("source_id", F.col("name").alias("theirs"), F.when(F.col("source_id") % 40 != 0, F.col("rarity")).alias("their_label"))
+    rows = sampled.join(_english(t), "card_id").join(cards, "card_id").join(records, "source_id", "left").withColumn("source", F.lit("english"))
+    agreement = name_agreement(F.col("ours"), F.col("theirs"), F.lit("bolt"))
+    return cross_check_outcomes(rows, "source", "kind", agreement, F.col("our_label"), F.col("their_label"))
+
+
 WORDS = "SELECT word, min(pos) AS pos FROM (SELECT lower(substr(text, 1, 2 + CAST(item_id % 5 AS INT))) AS word, item_id AS pos FROM {benchmark} UNION ALL SELECT 'the', 100000 UNION ALL SELECT 'the ha', 100001) AS w WHERE word NOT LIKE '% ' GROUP BY word"
 
 

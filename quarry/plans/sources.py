@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.match import match_prefix
 from quarry.plans.tables import query
 from quarry.sources import catalog as S
 from quarry.sources import extract as E
@@ -158,26 +159,45 @@ def s17_read_translation(t):
     return S.read_translation(rows.sparkSession, path).unionByName(S.read_translation(rows.sparkSession, None))
 
 
+@query("SELECT CASE WHEN k % 2 = 0 THEN 'english' ELSE 'japanese' END AS source, source_id, set_id AS set_slug, 'c' || CAST(source_id AS STRING) AS card_slug FROM (SELECT *, source_id // 20 AS k FROM {source}) WHERE k % 3 <> 0")
+def s17_load_match_sources(t):
+    """Two sources, each with an old snapshot of other rows and a later one."""
+    rows = t("source").select("source_id", F.concat(F.lit("en/"), "set_id", F.lit("/c"), F.col("source_id").cast("string"), F.lit("/")).alias("place"), F.floor(F.col("source_id") / 20).alias("k"))
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "sources")
+    for when, part in (("2025-01-01", rows.where("k % 3 = 0")), ("2026-01-01", rows.where("k % 3 <> 0"))):
+        for side, prefix in enumerate(("english-", "japanese-")):
+            N.publish(part.where(F.col("k") % 2 == side), path, "k", snapshot=f"{prefix}{when}")
+    found = N.load_match_sources(spark, path, {"english": "english-", "japanese": "japanese-"}, "place")
+    tagged = [df.select(F.lit(source).alias("source"), "source_id", "set_slug", "card_slug") for source, df in found.items()]
+    return tagged[0].unionByName(tagged[1])
+
+
+#: Parts on a page of a brand's list, and the page of a part.
+PAGE = "p_brand || CASE WHEN p_partkey // 1000 > 0 THEN ' ' || CAST(p_partkey // 1000 AS STRING) ELSE '' END"
+
+
 def _wiki(t):
-    """Wikitext pages made from parts: a set list of each brand."""
+    """Wikitext pages made from parts: the set list of each brand, a page for each thousand part keys."""
+    number = F.floor(F.col("p_partkey") / 1000)
+    title = F.concat("p_brand", F.when(number > 0, F.concat(F.lit(" "), number.cast("string"))).otherwise(""))
     line = F.concat(F.lit("{{list/entry|"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("|[["), "p_name", F.lit(" ("), "p_brand", F.lit(" "), F.col("p_size").cast("string"), F.lit(")]]|"), "p_type", F.lit("|Rare|}}"))
-    head = F.concat(F.lit("{{Set Infobox|name="), "p_brand", F.lit("|code=[[CS"), F.min("p_size").cast("string"), F.lit("|x]]}}\n== Cards ==\n"))
+    head = F.concat(F.lit("{{Set Infobox|name="), "title", F.lit("|code=[[CS"), F.min("p_size").cast("string"), F.lit("|x]]}}\n== Cards ==\n"))
     body = F.concat_ws("\n", F.array_sort(F.collect_list(line)))
-    return t("part").groupBy("p_brand").agg(F.concat(head, body, F.lit("\n=== More ===\n{{list/entry|broken\n== Rest ==\nend")).alias("wikitext")).select(F.col("p_brand").alias("title"), "wikitext")
+    return t("part").withColumn("title", title).groupBy("title").agg(F.concat(head, body, F.lit("\n=== More ===\n{{list/entry|broken\n== Rest ==\nend")).alias("wikitext"))
 
 
-@query("SELECT p_brand AS title, lpad(CAST(p_partkey AS STRING), 5, '0') AS number, p_name AS name, p_name || ' (' || p_brand || ' ' || CAST(p_size AS STRING) || ')' AS article, p_type AS type, 'Rare' AS rarity FROM part")
+@query(f"SELECT {PAGE} AS title, lpad(CAST(p_partkey AS STRING), 5, '0') AS number, p_name AS name, p_name || ' (' || p_brand || ' ' || CAST(p_size AS STRING) || ')' AS article, p_type AS type, 'Rare' AS rarity FROM part")
 def x1_extract_setlist_rows(t):
     return E.setlist_rows(_wiki(t)).select("title", "number", "name", "article", "type", "rarity")
 
 
-@query("SELECT p_brand AS title, p_brand AS name, '[[CS' || CAST(min(p_size) AS STRING) || '|x]]' AS code FROM part GROUP BY p_brand")
+@query(f"SELECT {PAGE} AS title, {PAGE} AS name, '[[CS' || CAST(min(p_size) AS STRING) || '|x]]' AS code FROM part GROUP BY {PAGE}")
 def x2_extract_infobox(t):
     boxes = E.infobox(_wiki(t))
     return boxes.select("title", E.first_field(F.col("fields"), "title", "name").alias("name"), F.element_at("fields", F.lit("code")).alias("code"))
 
 
-@query("SELECT p_brand AS title, count(*) + 2 AS n_lines FROM part GROUP BY p_brand")
+@query(f"SELECT {PAGE} AS title, count(*) + 2 AS n_lines FROM part GROUP BY {PAGE}")
 def x3_extract_section(t):
     cut = _wiki(t).select("title", E.section(F.col("wikitext"), F.lit("Cards")).alias("text"))
     return cut.select("title", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
@@ -198,10 +218,12 @@ def x5_extract_links(t):
     return E.links(t("pages"), "page_id", "html", r"/[^\"]*").select("page_id", "href")
 
 
-@query("SELECT p_type AS job, count(*) AS n_rows, string_agg(DISTINCT p_brand, ' / ' ORDER BY p_brand) AS set_names FROM part GROUP BY p_type")
+@query(f"SELECT p_type AS job, count(*) AS n_rows, count(CASE WHEN p_name NOT LIKE 'red%' THEN 1 END) AS n_matched, string_agg(DISTINCT {PAGE}, ' / ' ORDER BY {PAGE}) AS set_names FROM part GROUP BY p_type")
 def x6_harvest_pages(t):
-    rows = E.setlist_rows(_wiki(t)).select(F.col("type").alias("job"), F.col("title").alias("set_name"), F.col("title").alias("page_pos"))
-    return E.harvest_pages(rows, "job", "set_name")
+    """Rows of the pages of each job, matched to species by the beginning of their names."""
+    rows = E.setlist_rows(_wiki(t)).select(F.col("type").alias("job"), F.col("title").alias("set_name"), F.col("title").alias("page_pos"), "name", F.concat_ws("#", "title", "pos").alias("row"))
+    species = t("SELECT split_part(p_name, ' ', 1) AS name, min(p_partkey) AS pos FROM {part} WHERE p_name NOT LIKE 'red%' GROUP BY split_part(p_name, ' ', 1)")
+    return E.harvest_pages(match_prefix(rows, "row", "name", species, "name", "pos"), "job", "set_name", "matched")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size > 40 OR p_name LIKE '%bolt%'")

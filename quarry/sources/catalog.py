@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import blank
+from quarry.operators.keyed import latest_wins
 
 CARD = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "setId", "setName", "localId", "rarity", "imageBase", "language")] + [T.StructField("dexNumber", T.IntegerType()), T.StructField("hostedThumbUrl", T.StringType()), T.StructField("hostedFullUrl", T.StringType())])
 
@@ -37,8 +38,22 @@ def language_from_path(path: Column, root: str = "") -> Column:
 
 
 def write_catalog(df: DataFrame, path: str, partitions: Sequence[str] = ("language", "generation")) -> None:
-    """Partitioned Parquet, one task for each partition value, so that readers prune by folder."""
-    df.repartition(*partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    """Partitioned Parquet, rows of a partition value together, so that readers prune by folder; a hot value is split over tasks."""
+    df.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+
+
+def collect_by_pattern(spark: SparkSession, path: str, language: str, pattern: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of all generations of a language whose name matches: the columns, generation, file, and place in the file.
+
+    Folders of other languages aren't read, nor other columns.
+    """
+    rows = spark.read.parquet(path).where(F.col("language") == language)
+    return rows.where(F.col("name").rlike(pattern)).select(*columns, "generation", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def id_index(rows: DataFrame, key: str) -> DataFrame:
+    """The last row of each id in the order of the files and of the rows in them, generation by generation."""
+    return latest_wins(rows, [key], ["generation", "file", "at"])
 
 
 def read_catalog_partition(spark: SparkSession, path: str, **values) -> DataFrame:

@@ -169,7 +169,7 @@ def links(pages: DataFrame, page: str, html: str, shape: str = r"[^\"]*") -> Dat
     return pages.select(page, F.posexplode(found).alias("pos", "href"))
 
 
-def harvest_pages(rows: DataFrame, job: str, set_name: str) -> DataFrame:
-    """Rows of several pages of one job: how many, and the joined set names in page order."""
-    first = rows.groupBy(job, set_name).agg(F.min("page_pos").alias("_p"), F.count("*").alias("_n"))
-    return first.groupBy(job).agg(F.sum("_n").alias("n_rows"), F.concat_ws(" / ", F.transform(F.array_sort(F.collect_list(F.struct("_p", set_name))), lambda s: s[set_name])).alias("set_names"))
+def harvest_pages(rows: DataFrame, job: str, set_name: str, matched: str) -> DataFrame:
+    """Rows of several pages of one job: how many, how many of a known species, and the joined set names in page order."""
+    first = rows.groupBy(job, set_name).agg(F.min("page_pos").alias("_p"), F.count("*").alias("_n"), F.count(matched).alias("_m"))
+    return first.groupBy(job).agg(F.sum("_n").alias("n_rows"), F.sum("_m").alias("n_matched"), F.concat_ws(" / ", F.transform(F.array_sort(F.collect_list(F.struct("_p", set_name))), lambda s: s[set_name])).alias("set_names"))

@@ -91,6 +91,22 @@ def retire(spark: SparkSession, path: str, last: int = 2) -> list[str]:
     return old
 
 
+def load_match_sources(spark: SparkSession, path: str, prefixes: dict[str, str], place: str) -> dict[str, DataFrame]:
+    """The records of each source's latest published snapshot (source to the beginning of its snapshots' names).
+
+    Records get ``set_slug`` and ``card_slug`` from the last two folders of their ``place``.
+    """
+    names = published(spark, path)
+    out = {}
+    for source, prefix in prefixes.items():
+        own = sorted(n for n in names if n.startswith(prefix))
+        if not own:
+            raise FileNotFoundError(f"{path}: no snapshot {prefix}*")
+        parts = F.split(F.regexp_replace(place, "/+$", ""), "/")
+        out[source] = read_snapshot(spark, path, snapshot=own[-1]).withColumns({"set_slug": F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")), "card_slug": F.element_at(parts, -1)})
+    return out
+
+
 def stamps_store(spark: SparkSession, path: str, buckets: int = 4) -> VersionedStore:
     """Versions of the parts of views."""
     return VersionedStore(spark, path, {"stamps": Keyed("part string, version long", ["part"])}, buckets)
