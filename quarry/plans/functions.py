@@ -105,7 +105,7 @@ def c1_normalize_rarity(t):
     return C.normalize_rarity(t("cards"), "rarity", t(ALIASES), ["STANDARD", "Unknown"]).select("id", "canonical")
 
 
-DICTIONARY = "SELECT CAST(substr(p_brand, 7) AS INT) AS language_pos, min(p_partkey) AS pos, p_type AS canonical, substr(p_name, 1, 3) AS localized FROM {part} WHERE p_size < 4 GROUP BY p_brand, p_type, substr(p_name, 1, 3)"
+DICTIONARY = "SELECT CAST(substr(p_brand, 7) AS INT) AS language_pos, min(p_partkey) AS pos, p_type AS canonical, substr(p_name, 1, 3) AS localized FROM {part} GROUP BY p_brand, p_type, substr(p_name, 1, 3)"
 
 
 @query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY localized ORDER BY language_pos, pos) AS n FROM ({DICTIONARY}) WHERE canonical IN ('ECONOMY', 'SMALL', 'PROMO') AND localized <> 'new')
@@ -200,12 +200,14 @@ def c18_card_codes_match(t):
     return t("customer").select("c_custkey", T.card_codes_match(F.concat(F.lit("sm"), F.col("c_custkey").cast("string")), other, name).alias("same"))
 
 
-@query("""SELECT a.item_id, b.item_id AS other_id, round(len(list_intersect(x, y)) * 1.0 / len(x), 6) AS overlap FROM
-  (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS x FROM benchmark) a JOIN
-  (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS y FROM benchmark) b ON b.item_id = a.item_id + 1""")
+#: Cards and the records that share their set and number.
+NAMES = "SELECT c.id, s.source_id, c.name AS ours, s.name AS theirs FROM {cards} c JOIN {source} s ON s.set_id = c.set_id AND s.local_id = substr(c.local_id, 2, 2)"
+
+
+@query(f"""SELECT id, source_id, round(len(list_intersect(x, y)) * 1.0 / len(x), 6) AS overlap FROM (SELECT id, source_id,
+  list_distinct(list_filter(regexp_split_to_array(lower(ours), '[^a-z0-9]+'), lambda w: w <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(theirs), '[^a-z0-9]+'), lambda w: w <> '')) AS y FROM ({NAMES}))""")
 def c19_token_overlap(t):
-    b = t("benchmark").select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other_id"), F.col("text").alias("other"))
-    return t("benchmark").join(b, "item_id").select("item_id", "other_id", F.round(T.token_overlap(F.col("text"), F.col("other"), plural=False), 6).alias("overlap"))
+    return t(NAMES).select("id", "source_id", F.round(T.token_overlap(F.col("ours"), F.col("theirs"), plural=False), 6).alias("overlap"))
 
 
 @query("SELECT p_partkey, replace(p_name, ' ', '-') AS slug FROM part")

@@ -203,12 +203,15 @@ def x3_extract_section(t):
     return cut.select("title", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS first_link FROM pages")
-def x4_page_fields(t):
-    return t("pages").select("page_id", F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", r'<a href="([^"]*)"', 1).alias("first_link"))
+def _element(start: str) -> str:
+    """SQL of the text of the first element that begins so and holds no other."""
+    text = f"regexp_extract(html, '{start}([^<]*)<', 1)"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    return f"CASE WHEN regexp_matches(html, '{start}') THEN trim(regexp_replace({text}, '\\s+', ' ', 'g')) END"
 
 
-@query()
+@query(f"""SELECT page_id, {_element("<title>")} AS title, {_element("<h1>")} AS heading, {_element('<div class="ad">')} AS ad, nullif(regexp_extract(html, '<img[^>]*src="([^"]*)"', 1), '') AS image FROM pages""")
 def x4_extract_card_pages(t):
     return E.card_pages(t("pages"), "html", {"title": ("title", None), "heading": ("h1", None), "ad": ("div", "ad")}, ["page_id"])
 
