@@ -197,8 +197,11 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, span: int | Non
     """
     phrases = items.select(F.sum((F.octet_length("text") + 1) / 2)).first()[0] or 0
     n = max(1, ceil(phrases / MAX_PHRASES))
-    parts = [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-    found = [index.mapInArrow(_search(*_items(part), window, span), _HITS) for part in parts]
+    found = []
+    for k in range(n):  # one after the other: the driver holds one pass's phrases at a time
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        hits = index.mapInArrow(_search(*_items(part), window, span), _HITS)
+        found.append(hits if n == 1 else keep(hits, "hits"))
     one = found[0]
     if n > 1:
         one = reduce(DataFrame.unionByName, found).groupBy("shard", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
