@@ -17,7 +17,7 @@ s AS (SELECT page_id * 5 + k AS record_id, page_id + k * 7 AS time, CASE WHEN is
 c1 AS (SELECT *, regexp_replace(trim(spelled), '#.*$', '') AS whole FROM s),
 c2 AS (SELECT *, regexp_replace(whole, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM c1),
 c3 AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), CASE WHEN starts_with(lower(whole), 'https://') THEN ':443$' ELSE ':80$' END, '') AS site, regexp_replace(bare, '^[^/?]*', '') AS tail FROM c2),
-c4 AS (SELECT *, list_sort(list_filter(string_split(regexp_replace(tail, '^[^?]*\??', ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid)='))) AS given FROM c3),
+c4 AS (SELECT *, list_transform(list_sort(list_transform(list_filter(string_split(regexp_replace(tail, '^[^?]*\??', ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid)=')), lambda x, i: {'n': split_part(x, '=', 1), 'i': i, 'x': x})), lambda x: x.x) AS given FROM c3),
 c AS (SELECT *, CASE WHEN site <> '' THEN site || CASE WHEN regexp_extract(tail, '^[^?]*') = '' THEN '/' ELSE regexp_extract(tail, '^[^?]*') END || CASE WHEN len(given) > 0 THEN '?' || array_to_string(given, '&') ELSE '' END END AS canonical FROM c4),
 j AS (SELECT c.*, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER w AS b_id, last_value(CASE WHEN is_full THEN etag END IGNORE NULLS) OVER w AS b_etag,
     last_value(CASE WHEN is_full THEN modified END IGNORE NULLS) OVER w AS b_modified, last_value(CASE WHEN is_full THEN digest END IGNORE NULLS) OVER w AS b_digest, last_value(CASE WHEN is_full THEN page_id END IGNORE NULLS) OVER w AS b_page

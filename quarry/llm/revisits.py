@@ -33,7 +33,10 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without ``www.`` and default port, path (``/`` if empty) and sorted parameters; null if there is no host."""
+    """Host in lower case without ``www.`` and default port, path (``/`` if empty) and parameters; null if there is no host.
+
+    Parameters are sorted by name; those of one name keep their order, which may matter to who reads them.
+    """
     whole = F.regexp_replace(F.trim(url), r"#.*$", "")
     secure = F.rlike(whole, F.lit("^(?i)https://"))
     rest = F.regexp_replace(whole, _SCHEME, "")
@@ -42,7 +45,9 @@ def canonical_url(url: Column) -> Column:
     tail = F.regexp_replace(rest, r"^[^/?]*", "")
     path = F.regexp_extract(tail, r"^[^?]*", 0)
     parameters = F.split(F.regexp_replace(tail, r"^[^?]*\??", ""), "&")
-    parameters = F.array_sort(F.filter(parameters, lambda x: (x != "") & ~F.rlike(x, F.lit(rf"^({'|'.join(TRACKING)})="))))
+    parameters = F.filter(parameters, lambda x: (x != "") & ~F.rlike(x, F.lit(rf"^({'|'.join(TRACKING)})=")))
+    named = F.transform(parameters, lambda x, at: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("name"), at.alias("at"), x.alias("whole")))
+    parameters = F.transform(F.array_sort(named), lambda x: x["whole"])
     query = F.when(F.size(parameters) > 0, F.concat(F.lit("?"), F.array_join(parameters, "&"))).otherwise("")
     return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
 

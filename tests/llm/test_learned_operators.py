@@ -228,6 +228,12 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], FIELDS)).count() == 0
 
 
+def test_parameters_of_one_name_keep_their_order(spark):
+    rows = spark.createDataFrame([("http://h/p?b=1&a=2&b=0&a",), ("http://h/p?b=0&a=2&b=1&a",), ("http://h/p?a=2&b=1&a&b=0",)], "u string")
+    found = [r[0] for r in rows.select(revisits.canonical_url(F.col("u"))).collect()]
+    assert found == ["h/p?a=2&a&b=1&b=0", "h/p?a=2&a&b=0&b=1", "h/p?a=2&a&b=1&b=0"]
+
+
 def test_canonical_urls(spark):
     same = [("http://X.org", "x.org/"), ("https://www.x.org:443/a?b=2&a=1", "http://x.org:80/a?a=1&b=2"), ("x.org/a?utm_source=m#f", "x.org/a"), ("x.org?", "x.org/")]
     other = [("x.org/a", "x.org/A"), ("x.org/a", "x.org/a/"), ("x.org", "m.x.org"), ("x.org/?a=1", "x.org/?a=2"), ("http://x.org:443", "x.org"), ("x.org/?ref=1", "x.org/")]
