@@ -9,8 +9,9 @@ finds ``RECALL`` of the true neighbours of sample queries within the sample.
 
 The number of parts follows the table (about ``MEAN_ROWS`` vectors each), as far as the sample can teach them apart. A part
 of more than ``PART_ROWS`` vectors is cut into chunks that are searched on their own, so that a part which holds most
-rows (one vector repeated) spreads over the cluster; queries are dealt to blocks of about ``QUERY_ROWS``, so that a task
-compares one block with one chunk. Each returns its k nearest, and the k best of all stay.
+rows (one vector repeated) spreads over the cluster; the queries that ask for a part are dealt to blocks of about
+``QUERY_ROWS``, so that a task compares one block with one chunk, and a chunk is sent once for each block that asks for
+its part. Each returns its k nearest, and the k best of all stay.
 
 Defined results: null vectors, zero vectors, vectors with a null or non-finite component, vectors of another length
 than the most common one (ties: the longer), which have no distance to the others, and rows with a null id, which can't
@@ -237,13 +238,13 @@ def nearest(table: DataFrame, asked: Column, id_col: str = "vec_id", vector_col:
     router = fit(rows, parts, k)
     stored = keep(rows.select("row", "vec_id", "vector").mapInArrow(_route(router, 1), _ROUTED), "parts")
     queries = rows.where("asked").select("row", "vec_id", "vector")
-    blocks = max(1, ceil(queries.count() / QUERY_ROWS))
-    asked_at = queries.mapInArrow(_route(router, probes or (router.probes if router else 1)), _ROUTED)
+    asked_at = keep(queries.mapInArrow(_route(router, probes or (router.probes if router else 1)), _ROUTED), "asked")
     chunks = F.broadcast(stored.groupBy("part").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("chunks")))  # a row for each part
+    blocks = F.broadcast(asked_at.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks")))  # so here
     stored = stored.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks").cast("long")).cast("int"))
-    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    stored = stored.join(blocks, "part").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     asked_at = asked_at.join(chunks, "part").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    asked_at = asked_at.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    asked_at = asked_at.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks").cast("long")).cast("int"))
     key, shape = ("part", "chunk", "block"), ("part", "chunk", "block", "row", "vec_id", "vector")
     found = asked_at.select(*shape).groupBy(*key).cogroup(stored.select(*shape).groupBy(*key)).applyInArrow(_rerank(k), _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))

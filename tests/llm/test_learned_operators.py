@@ -228,6 +228,26 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], FIELDS)).count() == 0
 
 
+def test_clustered_vectors_need_few_parts(spark, monkeypatch):
+    """On vectors in clusters the router asks for few parts and still finds the neighbours; several blocks of queries a part."""
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 20)
+    draw = np.random.default_rng(11)
+    x = draw.normal(0, 1, (40, 16))[draw.integers(0, 40, 4000)] * 3 + draw.normal(0, 0.4, (4000, 16))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    rows = neighbours.vectors(table, "vec_id", "embedding", F.col("vec_id") % 10 == 0)
+    router = neighbours.fit(rows, 16, 10)
+    assert router.probes <= 4
+    found = {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 10 == 0, parts=16).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 10):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(found[q] & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 4000
+
+
 def test_parameters_of_one_name_keep_their_order(spark):
     rows = spark.createDataFrame([("http://h/p?b=1&a=2&b=0&a",), ("http://h/p?b=0&a=2&b=1&a",), ("http://h/p?a=2&b=1&a&b=0",)], "u string")
     found = [r[0] for r in rows.select(revisits.canonical_url(F.col("u"))).collect()]
