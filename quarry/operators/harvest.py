@@ -77,10 +77,11 @@ def attempt(jobs: DataFrame, pages: DataFrame, stages: Sequence[tuple[str, Stage
     of_job = rows.groupBy("job").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     out = read.join(of_job, "job", "left").withColumn("rows", F.coalesce("rows", F.array().cast(_ROWS)))
     reason = F.when(F.col("article").isNull(), "no article").when(F.col("wikitext").isNull(), "no text")
+    tried = F.col("tried") if len(stages) > 1 else F.slice("tried", 1, 1)
     matched = F.size(F.filter("rows", lambda r: r["species"].isNotNull()))
     return out.select(
         "job", F.col("article").alias("title"), "method", "rows", F.size("rows").cast("long").alias("n_rows"), matched.cast("long").alias("n_matched"),
-        reason.alias("reason"), F.when(F.col("article").isNull(), F.slice("tried", 1, F.when(F.lit(len(stages) > 1), F.size("tried")).otherwise(1))).otherwise(F.array("article")).alias("attempts"),
+        reason.alias("reason"), F.when(F.col("article").isNull(), tried).otherwise(F.array("article")).alias("attempts"),
     )
 
 

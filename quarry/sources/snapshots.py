@@ -85,7 +85,7 @@ def retire(spark: SparkSession, path: str, last: int = 2) -> list[str]:
     names = published(spark, path)
     old = [n for n in names if n not in names[-last:]]
     for number, pointer in children(spark, f"{path}/pointers").items():
-        if spark.read.parquet(pointer).first()["snapshot"] in old:
+        if "_SUCCESS" in children(spark, pointer) and spark.read.parquet(pointer).first()["snapshot"] in old:
             remove(spark, f"{path}/pointers/{number}")
     remove(spark, *[f"{path}/snapshots/{n}" for n in old])
     return old
