@@ -74,10 +74,13 @@ def invalidate(df: DataFrame, language: str, covered: DataFrame, known_version:
     return df.join(gone, language, "left").where(~drop).drop("_c")
 
 
-def rewrite_urls(df: DataFrame, field: str, checkpoint: DataFrame, target: Column) -> DataFrame:
-    """``field`` replaced by ``target`` where the checkpoint (url, status) says done; ``rewritten`` tells which."""
-    done = checkpoint.where(F.col("status") == "done").select(F.col("url").alias(field)).distinct().withColumn("_done", F.lit(True))
-    out = df.join(done, field, "left").withColumn("rewritten", F.col("_done").isNotNull())
+def rewrite_urls(df: DataFrame, field: str, checkpoint: DataFrame, target: Column, by: Sequence[str] = ()) -> DataFrame:
+    """``field`` replaced by ``target`` where the checkpoint (url, status) says done; ``rewritten`` tells which.
+
+    ``by``: columns of both that tell apart the rows of one URL, each with a status of its own.
+    """
+    done = checkpoint.where(F.col("status") == "done").select(F.col("url").alias(field), *by).distinct().withColumn("_done", F.lit(True))
+    out = df.join(done, [field, *by], "left").withColumn("rewritten", F.col("_done").isNotNull())
     return out.withColumn(field, F.when(F.col("rewritten"), target).otherwise(F.col(field))).drop("_done")
 
 
