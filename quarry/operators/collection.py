@@ -132,9 +132,11 @@ def _applied(state: Column, transition: Column) -> Column:
     return _state(keep_old(out["owned"], state["owned"]), keep_old(out["wish"], state["wish"]))
 
 
-def species_state(events: DataFrame) -> DataFrame:
+def species_state(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Final owned and wished card of each user and species, from events (user, seq, action, species, card_id) in order of seq.
 
+    ``before``: the state (user, species, owned, wish) that the events go on from; none: nothing is owned nor wished.
+
     An ordered scan in segments: events are dealt out by range of (user, species, seq), so that those of one very busy
     species lie in several partitions. In each the run of a key becomes a transition, which is folded without knowing the
     state before it; a key's transitions, one a partition at most, are then applied in order. Events that repeat a seq are
@@ -147,8 +149,12 @@ def species_state(events: DataFrame) -> DataFrame:
     steps = steps.groupBy("user", "species").agg(F.collect_list("step").alias("steps"))
     # a map can't be sorted; the parts are, and tell the order
     order = F.array_sort(F.transform("steps", lambda s, k: F.struct(s["part"].alias("part"), k.alias("at"))))
-    nothing = _state(F.lit(None), F.lit(None))
-    final = F.aggregate(order, nothing, lambda state, o: _applied(state, F.get("steps", o["at"])["step"]))
+    start = _state(F.lit(None), F.lit(None))
+    if before is not None:
+        held = before.select(*[F.col(c).alias(f"_{c}") for c in ("user", "species", "owned", "wish")])
+        steps = steps.join(held, F.col("user").eqNullSafe(F.col("_user")) & F.col("species").eqNullSafe(F.col("_species")), "left")
+        start = _state(F.col("_owned"), F.col("_wish"))
+    final = F.aggregate(order, start, lambda state, o: _applied(state, F.get("steps", o["at"])["step"]))
     return steps.select("user", "species", final.alias("state")).select("user", "species", "state.*")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import collection as L
 from quarry.plans.tables import query
 from quarry.sources.folders import scratch
-from quarry.streaming.state import ROCKS, collection_stream, latest_sink
+from quarry.streaming.state import collection_sink, latest_sink
 from quarry.streaming.store import Keyed, VersionedStore
 
 GROUPS = "SELECT * FROM VALUES ('full', 'PROMO', 0), ('full', 'LARGE', 0), ('alt', 'LARGE', 1), ('alt', 'SMALL', 1), ('off', 'ECONOMY', 2) AS v(group_id, rarity, pos)"
@@ -121,16 +121,11 @@ def _in_files(df, order, n, folder):
 
 @query(f"SELECT user, species, s.o AS owned, s.w AS wish FROM ({FOLD}) WHERE s.o IS NOT NULL OR s.w IS NOT NULL")
 def t1_collection_stream(t):
-    """The events as a stream of three files; the changes of each micro-batch go to a store."""
+    """The events as a stream of three files; each micro-batch is folded on from the store's state."""
     events = t(ACTIONS)
     spark, folder = events.sparkSession, scratch(events.sparkSession, "collection")
-    before = spark.conf.get(ROCKS[0], None)
-    spark.conf.set(*ROCKS)
-    try:
-        store = VersionedStore(spark, f"{folder}/store", {"state": Keyed("user long, species long, owned string, wish string, seq long", ["user", "species"], ["seq"])}, buckets=4)
-        latest_sink(collection_stream(_in_files(events, "seq", 3, f"{folder}/events")), store, "state", f"{folder}/checkpoint").awaitTermination()
-    finally:
-        spark.conf.unset(ROCKS[0]) if before is None else spark.conf.set(ROCKS[0], before)
+    store = VersionedStore(spark, f"{folder}/store", {"state": Keyed("user long, species long, owned string, wish string, seq long", ["user", "species"], ["seq"])}, buckets=4)
+    collection_sink(_in_files(events, "seq", 3, f"{folder}/events"), store, "state", f"{folder}/checkpoint").awaitTermination()
     return store.read("state").where("owned is not null or wish is not null").drop("seq")
 
 
