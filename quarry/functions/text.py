@@ -73,8 +73,12 @@ def tokens(value: Column, plural: bool = True) -> Column:
 
 def token_overlap(a: Column, b: Column, plural: bool = True) -> Column:
     """Share of the first text's tokens that the second one has; 0 if the first has none."""
-    own = tokens(a, plural)
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, tokens(b, plural))) / F.size(own))
+    return tokens_shared(tokens(a, plural), tokens(b, plural))
+
+
+def tokens_shared(own: Column, other: Column) -> Column:
+    """Share of the first tokens that are among the second; 0 if there are none."""
+    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, other)) / F.size(own))
 
 
 def card_codes_match(held: Column, other: Column, other_set: Column) -> Column:

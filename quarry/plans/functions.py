@@ -207,7 +207,13 @@ NAMES = "SELECT c.id, s.source_id, c.name AS ours, s.name AS theirs FROM {cards}
 @query(f"""SELECT id, source_id, round(len(list_intersect(x, y)) * 1.0 / len(x), 6) AS overlap FROM (SELECT id, source_id,
   list_distinct(list_filter(regexp_split_to_array(lower(ours), '[^a-z0-9]+'), lambda w: w <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(theirs), '[^a-z0-9]+'), lambda w: w <> '')) AS y FROM ({NAMES}))""")
 def c19_token_overlap(t):
-    return t(NAMES).select("id", "source_id", F.round(T.token_overlap(F.col("ours"), F.col("theirs"), plural=False), 6).alias("overlap"))
+    """All pairs of rows are wanted; two names of a place are compared once, however many rows have them."""
+    held = t("cards").select("set_id", F.substring("local_id", 2, 2).alias("no"), T.tokens(F.col("name"), plural=False).alias("own"), "id")
+    other = t("source").select("set_id", F.col("local_id").alias("no"), T.tokens(F.col("name"), plural=False).alias("other"), "source_id")
+    held = held.groupBy("set_id", "no", "own").agg(F.collect_list("id").alias("ids"))
+    other = other.groupBy("set_id", "no", "other").agg(F.collect_list("source_id").alias("source_ids"))
+    compared = held.join(other, ["set_id", "no"]).select("ids", "source_ids", F.round(T.tokens_shared(F.col("own"), F.col("other")), 6).alias("overlap"))
+    return compared.select(F.explode("ids").alias("id"), "source_ids", "overlap").select("id", F.explode("source_ids").alias("source_id"), "overlap")
 
 
 @query("SELECT p_partkey, replace(p_name, ' ', '-') AS slug FROM part")
