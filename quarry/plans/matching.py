@@ -272,8 +272,8 @@ W16 = f"""WITH p AS (SELECT DISTINCT title, regexp_extract(title, '^(.*) \\(', 1
 
 @query(W16)
 def w16_best_or_ambiguous(t):
-    scored = X.print_candidates(t(PRINTS), t(PAGES).distinct())
-    return X.best_or_ambiguous(scored, "card_id", "title", "score").withColumns({"score": F.round("score", 6), "tied": F.array_join("tied", "|")})
+    best = X.best_prints(t(PRINTS), t(PAGES).distinct())
+    return best.withColumns({"score": F.round("score", 6), "tied": F.array_join("tied", "|")})
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'direct' ELSE 'variant' END AS method, CASE WHEN page_id % 3 = 0 THEN url ELSE replace(url, 'http', 'HTTP') END AS found FROM pages")
