@@ -39,11 +39,15 @@ def s2_read_catalog_partition(t):
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS name, s_suppkey % 7 = 0 AS broken FROM supplier")
 def s3_read_record_tree(t):
-    """A folder with one record for each supplier; every seventh record is cut off."""
+    """A folder with one record for each supplier, on one of 128 shelves; every seventh record is cut off.
+
+    A shelf is written by one task, moved as one folder when the job commits, and listed by one task.
+    """
     record = F.to_json(F.struct(F.col("s_name").alias("name")))
-    texts = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, F.substring(record, 1, 6)).otherwise(record).alias("value"))
+    value = F.when(F.col("s_suppkey") % 7 == 0, F.substring(record, 1, 6)).otherwise(record).alias("value")
+    texts = t("supplier").select("s_suppkey", value, F.pmod(F.xxhash64("s_suppkey"), F.lit(128)).alias("shelf"))
     path = scratch(texts.sparkSession, "records")
-    texts.write.partitionBy("s_suppkey").text(path)
+    texts.repartition(128, "shelf").write.partitionBy("shelf", "s_suppkey").text(path)
     read = S.read_record_tree(texts.sparkSession, path, T.StructType([T.StructField("name", T.StringType())]), "*.txt")
     key = F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long")
     return read.select(key.alias("s_suppkey"), F.when(~F.col("broken"), F.col("record.name")).alias("name"), "broken")
