@@ -70,9 +70,11 @@ def attempt(jobs: DataFrame, pages: DataFrame, stages: Sequence[tuple[str, Stage
     """
     found = resolve_in_stages(jobs.select("job", "title"), stages, "job").select("job", F.col("found").alias("article"), "method", F.concat(F.array("title"), title_variants(F.col("title"))).alias("tried"))
     texts = pages.select(F.col("title").alias("article"), "wikitext")
-    read = keep(found.join(texts, "article", "left").select("job", "article", "method", "tried", "wikitext"), "articles")
+    # articles are parsed once, and by all tasks, however few bytes they have
+    tasks = 2 * jobs.sparkSession.sparkContext.defaultParallelism
+    read = keep(found.join(texts, "article", "left").select("job", "article", "method", "tried", "wikitext").repartition(tasks), "articles")
     rows = setlist_rows(read.where("wikitext is not null").select(F.col("job").alias("title"), "wikitext"))
-    rows = rows.select(F.col("title").alias("job"), "pos", "number", "name", F.concat_ws("/", "title", "pos").alias("row"))
+    rows = keep(rows.select(F.col("title").alias("job"), "pos", "number", "name", F.concat_ws("/", "title", "pos").alias("row")), "rows")
     rows = match_prefix(rows, "row", "name", species, "name", "pos").select("job", F.struct("pos", "number", "name", F.col("matched").alias("species")).alias("r"))
     of_job = rows.groupBy("job").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     out = read.join(of_job, "job", "left").withColumn("rows", F.coalesce("rows", F.array().cast(_ROWS)))

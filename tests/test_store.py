@@ -110,3 +110,22 @@ def test_stages_see_their_residue_alone(spark):
     assert seen == [[0, 1, 2, 3, 4, 5], [0, 3, 4, 5], [0, 4, 5]]
     assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [(0, None, None), (1, "f1", "x"), (2, "f2", "x"), (3, "f3", "y"), (4, None, None), (5, "f5", "z")]
     assert {r["method"]: r["n"] for r in counts_by_method(out).collect()} == {"x": 2, "y": 1, "z": 1, "none": 2}
+
+
+def test_articles_are_parsed_once(spark, harvest, monkeypatch):
+    store, pages, species, overrides = harvest
+    seen, parse = spark.sparkContext.accumulator(0), H.setlist_rows
+
+    def noted(df):
+        def note(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        out = parse(df)
+        return out.mapInArrow(note, out.schema)
+
+    monkeypatch.setattr(H, "setlist_rows", noted)
+    assert H.run(store, 1, jobs_of(spark, "a", "c"), pages, H.retry_stages(pages, overrides)[:1], species)
+    assert state(spark, store)["a"] == ("done", "direct", 2, 1, None, None)
+    assert seen.value == 2
