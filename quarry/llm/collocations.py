@@ -28,18 +28,17 @@ read whole, a slab at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.shared import discard, keep
+from quarry.llm.shared import discard, keep, small_batches
 
 #: Bytes that end a piece, and those that separate words: fixed values of the contract.
 BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
@@ -49,23 +48,9 @@ FIRST, STEP, ROUNDS = 4, 16, 3
 #: Bits of a bitmap (4 MB).
 BITS = 25
 SLAB_BYTES = 1 << 20
-#: Documents that Spark hands to Python at once.
-BATCH_ROWS = 1000
 _GRAM = "lang string, phrase string, n long"
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Hands over few documents at once: they are a few kB each, and a task holds a batch twice, here and in Spark."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _bitmap(phrases: DataFrame) -> Broadcast:
     """A broadcast bitmap of the hashes of (lang, phrase); at most 2^BITS bits come to the driver, however many there are."""
     slots = phrases.select(F.shiftrightunsigned(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), 64 - BITS).alias("slot"))
@@ -250,7 +235,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", wanted
     A phrase occurs ``least`` times or more; it is dropped if a longer candidate that holds it has ``share`` percent of
     its occurrences. l and r are the counts of the parts of its lowest cut, n is the number of words of the language.
     """
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         return _grown(docs, text, lang, wanted, least, share)
 
 

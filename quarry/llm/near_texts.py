@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quarry.llm import simhash
 from quarry.llm import words as W
 from quarry.llm.graph import components
-from quarry.llm.shared import discard, fresh, keep
+from quarry.llm.shared import discard, fresh, keep, small_batches
 
 #: Bits within which pivot tables link fingerprints.
 RADIUS = 4
@@ -43,6 +43,9 @@ RADIUS = 4
 SMALL = 64
 #: Postings that one task compares, at most, but for one group of up to ``simhash.TABLE_ROWS``.
 BUNDLE_ROWS = 1 << 17
+#: Bytes of text whose shingles a task holds at once, postings that it gathers before it sends them, and pairs that it
+#: compares at once: a few MB each, at most ten arrays of them.
+SLAB_BYTES, SENT_ROWS, STEP_PAIRS = 1 << 20, 1 << 17, 1 << 18
 #: Texts of which common shingles are learned; texts that hold one, and their number, at most. They only decide an order.
 SAMPLE, OFTEN, COMMON = 8192, 4, 1 << 18
 #: Nodes whose number is small enough to broadcast.
@@ -67,7 +70,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     """Shingles (sorted) that many texts of a sample hold, and how many; they only decide an order, so any will do."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slabs(batches, "text"):
+        for batch in W.slabs(batches, "text", SLAB_BYTES):
             values, edges = simhash.shingle_values(batch.column(0), width)
             sets = [_distinct(values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             value, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -104,15 +107,28 @@ def sketch(value: np.ndarray) -> bytes:
 def _send(width: int, similarity: float, bundles: int, shared):
     """Texts to rows of their own, and to the postings of their first shingles by bundle."""
 
+    names = [x.split()[0] for x in _SENT.split(", ")]
+
+    def by_bundle(posted: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(posted)
+        to = (W.mixed(rows[:, 0].view(np.uint64)) % np.uint64(bundles)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        rows, to = rows[order], to[order]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        blobs = [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True)]
+        longs = [pa.nulls(len(cuts), pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([pa.array(to[cuts]), pa.array(blobs, pa.binary()), *longs, pa.nulls(len(cuts), pa.binary())], names=names)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
         seen: set[int] = set()
-        count = 0
-        for batch in W.slabs(batches, "text", 2 * W.SLAB_BYTES):
+        posted: list[np.ndarray] = []
+        count = waiting = 0
+        for batch in W.slabs(batches, "text", SLAB_BYTES):
             node = batch.column(1).to_numpy()
             values, edges = simhash.shingle_values(batch.column(2), width)
             fp = simhash.votes(values, edges)
-            size, sketches, posted = np.zeros(len(node), np.int64), [], []
+            size, sketches = np.zeros(len(node), np.int64), []
             for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 own = _distinct(values[a:b])
                 size[i] = len(own)
@@ -122,20 +138,16 @@ def _send(width: int, similarity: float, bundles: int, shared):
                     first = prefix(own, similarity, common, often).view(np.int64)
                     rest = [np.full(len(first), x) for x in (node[i], fp[i], len(own))]
                     posted.append(np.stack([first, *rest, np.arange(len(first))], axis=1))
+                    waiting += len(first)
             bundle = (np.arange(len(node)) + count) % bundles
             count += len(node)
             none = pa.nulls(len(node), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bundle.astype(np.int32)), none, batch.column(0), batch.column(1), pa.array(fp), pa.array(size), pa.array(sketches, pa.binary())], names=[x.split()[0] for x in _SENT.split(", ")])
-            rows = np.concatenate([np.zeros((0, 5), np.int64), *posted])
-            if not len(rows):
-                continue
-            to = (W.mixed(rows[:, 0].view(np.uint64)) % np.uint64(bundles)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            rows, to = rows[order], to[order]
-            cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            blobs = [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True)]
-            longs = [pa.nulls(len(cuts), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts]), pa.array(blobs, pa.binary()), *longs, pa.nulls(len(cuts), pa.binary())], names=[x.split()[0] for x in _SENT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(bundle.astype(np.int32)), none, batch.column(0), batch.column(1), pa.array(fp), pa.array(size), pa.array(sketches, pa.binary())], names=names)
+            if waiting >= SENT_ROWS:
+                yield by_bundle(posted)
+                posted, waiting = [], 0
+        if waiting:
+            yield by_bundle(posted)
 
     return send
 
@@ -164,7 +176,7 @@ class _Bitmaps:
         near = np.maximum(self.length[a], self.length[b]) <= 2 * length
         for n in np.unique(length[near]).tolist():
             held = np.flatnonzero(near & (length == n))
-            step = max(1, (1 << 21) // n)
+            step = max(1, STEP_PAIRS // n)
             for low in range(0, len(held), step):
                 some = held[low : low + step]
                 x, y = (self.rows[n][np.where(self.length[i[some]] == n, self.at[i[some]], self.half_at[i[some]])] for i in (a, b))
@@ -190,7 +202,7 @@ def _offers(shingle, node, fp, size, pos, similarity: float, most: int, times: i
     more = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
     found, low = [np.zeros((0, 2), np.int64)], 0
     while low < len(n):
-        high = max(low + 1, int(np.searchsorted(total, total[low] + (1 << 21), "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(total, total[low] + STEP_PAIRS, "right")) - 1)
         a = np.repeat(np.arange(low, high), n[low:high])
         b = W.ranges(np.arange(low, high) + 1, n[low:high])
         low = high
@@ -326,7 +338,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in W.slabs(iter([whole]), "of_a"):
+            for batch in W.slabs(iter([whole]), "of_a", SLAB_BYTES):
                 sets = []
                 for k in (2, 3):
                     values, edges = simhash.shingle_values(batch.column(k), width)
@@ -357,6 +369,11 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def text_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node, fp) of ``docs`` (doc_id, text), and the class of each node that has a link: node, component."""
+    with small_batches(docs.sparkSession):
+        return _text_classes(docs, width, similarity)
+
+
+def _text_classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), "text")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bundles = max(1, ceil(size / 30 / BUNDLE_ROWS))  # a fifth of the words, of about six bytes each

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.folders import discard, keep, shared_folder
 
-__all__ = ["discard", "fresh", "held_out", "keep", "shared_folder"]
+__all__ = ["discard", "fresh", "held_out", "keep", "shared_folder", "small_batches"]
+
+#: Documents that Spark hands to Python at once.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hands over few documents at once: they are a few kB each, and a task holds a batch twice, in Python and in Spark."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def held_out(doc_id: Column) -> Column:

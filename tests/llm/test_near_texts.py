@@ -1,8 +1,12 @@
 """Near-dedup by similarity against brute force over all pairs of texts, whatever the bits of their fingerprints."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_text_operators import fingerprint, lower, split
@@ -118,3 +122,47 @@ def test_odd(spark, odd, empty):
     lost = spark.createDataFrame([(None, "one two three", "a"), (None, "one two three", "b"), (3, "four", "x"), (3, "four", "y")], "doc_id long, text string, node string")
     kept = [sorted(map(tuple, near_texts.first_of_each(x).collect()), key=repr) for x in (lost, lost.orderBy(F.desc("node")))]
     assert kept[0] == kept[1] and [r[:2] for r in kept[0]] == [(3, "four"), (None, "one two three")]
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_a_few_mb():
+    """At 0.5 GB two tasks of an executor, which held 150 to 300 MB each, passed its limit."""
+    draw = np.random.default_rng(3)
+    words = np.array([f"w{i:05}" for i in range(20000)])
+    texts = [" ".join(draw.choice(words, 600)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array(np.arange(2000)), pa.array(texts)], names=["doc_id", "node", "text"])
+    none = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    rows = own = 0
+
+    def send():
+        nonlocal rows, own
+        for sent in near_texts._send(5, 0.8, 7, none)(iter([batch])):
+            rows += sum(len(x.as_py()) // 40 for x in sent.column("postings") if x.is_valid)
+            own += sent.num_rows - sent.column("node").null_count
+
+    peak = peak_mb(send)[1]
+    assert own == 2000 and rows == 2000 * (596 - 477 + 1)  # a fifth of the shingles of each text, and one
+    assert peak < 60
+    # 4.5 million pairs of a group: of each text the nearest later one
+    n = 3000
+    column = [np.zeros(n, np.int64), np.arange(n), draw.integers(0, 1 << 62, n), np.full(n, 600), np.zeros(n, np.int64)]
+    (pairs, more), peak = peak_mb(lambda: near_texts._offers(*column, 0.8, n, 1))
+    differ = np.bitwise_count(column[2][:, None] ^ column[2][None]).astype(np.int64) + 100 * np.tri(n, dtype=np.int64)
+    assert pairs.tolist() == [[i, j] for i, j in enumerate(differ.argmin(axis=1)[:-1].tolist())] and more.all()
+    assert peak < 40
+
+
+def test_few_documents_are_handed_over_at_once(spark, docs, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, keep = spark.conf.get(name), near_texts.keep
+    monkeypatch.setattr(near_texts, "keep", lambda df, at: seen.append((at, int(spark.conf.get(name)))) or keep(df, at))
+    near_texts.text_classes(docs)
+    assert {"meetings", "screened", "verified"} <= {at for at, _ in seen} and all(n <= 1000 for _, n in seen)
+    assert spark.conf.get(name) == before
