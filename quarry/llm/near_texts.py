@@ -285,7 +285,7 @@ def _later_offers(alive: DataFrame, similarity: float, times: int) -> DataFrame:
     rows, found = simhash.TABLE_ROWS, "a long, b long, shingle long"
     hot = sizes.where(F.col("n") > rows).select("shingle", "main", F.ceil(F.col("n_main") / rows).cast("int").alias("first"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_main")) / rows)).cast("int").alias("others"))
     hot = keep(hot, "hot-groups")
-    total = max(1, ceil((alive.count() + 1) / BUNDLE_ROWS))
+    total = max(1, ceil((alive.count() + 1) / (BUNDLE_ROWS // 4)))  # these rows have bitmaps
     bundle = F.pmod(F.xxhash64("shingle"), F.lit(total)).alias("bundle")
     shape = ("low", "high", "shingle", "node", "fp", "size", "pos", "sketch", "class", "part")
     meet = _later_meeting(similarity, times)
