@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import discard, keep
 
 
+def _sums(links: DataFrame) -> Row:
+    return links.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """Smallest node reachable from each node that has an edge to another: node, component.
 
@@ -18,6 +22,7 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """
     both = edges.where("a is not null and b is not null and a <> b")
     links = keep(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    sums = _sums(links)
     while True:
         # large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours
         around = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,8 +32,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         after = keep(small.where("a <> b").distinct(), name)
-        sums = [x.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first() for x in (links, after)]
+        before, sums = sums, _sums(after)
         discard(links)
         links = after
-        if sums[0] == sums[1]:
+        if before == sums:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -380,6 +380,7 @@ def _text_classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataF
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # COMMON rows at most
     sent = source.mapInArrow(_send(width, similarity, bundles, shared), _SENT)
     found = keep(sent.groupBy("bundle").applyInArrow(_first_meeting(similarity), _FOUND), "meetings")
+    shared.destroy()
     rows = keep(found.where("sketch is not null").select("doc_id", "node", "fp"), "rows")
     nodes = keep(found.where("sketch is not null").groupBy("node").agg(*[F.max(c).alias(c) for c in ("fp", "size", "sketch")]), "nodes")
     waiting = found.where("shingle is not null").select("shingle", "node", "fp", "size", "pos")
@@ -391,14 +392,14 @@ def _text_classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataF
     texts = keep(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
     discard(involved)
     pairs = screen.where("may").select("a", "b")
-    links, seen, times, used = [], [], 1, [found, nodes, screen]  # used: tables that no step reads once groups are kept
+    known, seen, times, used = [], [], 1, [found, nodes, screen]  # used: tables that no step reads once groups are kept
     while True:
         verdict = keep(verified(pairs, texts, width, similarity), "verified")
-        links.append(verdict.where("ok").select("a", "b"))
         seen.append(verdict.select("a", "b"))
-        stars = components(_union(links), "components")
+        stars = components(_union([verdict.where("ok").select("a", "b"), *known]), "components")
         classes = keep(stars, "classes")
         discard(stars)
+        known = [classes.select(F.col("node").alias("a"), F.col("component").alias("b"))]  # stands for the links so far
         alive = waiting.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         several = alive.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("shingle")
         alive = alive.join(several, "shingle", "left_semi")
@@ -407,7 +408,7 @@ def _text_classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataF
         alive = keep(alive, "waiting")
         discard(*used)
         if alive.isEmpty():
-            discard(texts, alive, *links)
+            discard(texts, alive, *seen)
             return rows, classes
         times *= 4
         met = keep(_later_offers(alive, similarity, times), "offers")

@@ -52,7 +52,7 @@ class Vocabulary:
     def __init__(self, terms: np.ndarray):
         self.terms = terms
         self.bits = min(22, max(1, len(terms).bit_length() + 1))
-        self.first = np.searchsorted(terms >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        self.first = np.searchsorted(terms >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.longest = int(np.diff(self.first).max())
 
     def __len__(self) -> int:
@@ -127,7 +127,7 @@ class Index:
         norm = np.sqrt(np.bincount(row, value * value, len(ids)))
         value = value / np.maximum(norm, 1e-12)[row]
         blocks = -(-len(ids) // BLOCK)
-        cell = code * blocks + row // BLOCK
+        cell = code.astype(np.int64) * blocks + row // BLOCK
         order = np.lexsort((row, cell))
         cell, row, value = cell[order], row[order].astype(np.int32), value[order]
         heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
@@ -252,13 +252,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
         for batch in W.slabs(batches, "text"):
             row, code, tf = term_counts(batch.column(2), shared.value)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64))) for x in (code, tf)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code, tf)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "codes", "counts"])
 
-    terms_of = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(described, "doc_id long, label int, codes array<long>, counts array<long>")
+    terms_of = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(described, "doc_id long, label int, codes array<int>, counts array<int>")
     rows = terms_of.orderBy("doc_id").toArrow().combine_chunks()  # 2 * per_label rows at most, without their texts
     label = rows.column("label").to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(label)), np.asarray(pa.compute.list_value_length(rows.column("codes"))))
+    row = np.repeat(np.arange(len(label), dtype=np.int32), np.asarray(pa.compute.list_value_length(rows.column("codes"))))
     code, tf = (np.asarray(pa.compute.list_flatten(rows.column(c))) for c in ("codes", "counts"))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(total), -1)), pa.array(np.append(total[total > 0], size))], names=["code", "n"])
 
     counts = docs.select("text").mapInArrow(frequency, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the vocabulary
+    shared.destroy()
     at, times = counts.column("code").to_numpy(), counts.column("n").to_numpy()
     df = np.zeros(len(vocabulary) + 1, np.int64)
     df[at] = times  # the last one: all documents
@@ -280,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> Index
     strongest = np.full(len(label), -1)
     by_weight = np.argsort((1 + np.log(tf)) * weight_of[code], kind="stable")
     strongest[row[by_weight]] = code[by_weight]
-    rank = np.argsort(np.lexsort((label, strongest)))
+    rank = np.argsort(np.lexsort((label, strongest))).astype(np.int32)
     rows, label, weight = (x.take(np.argsort(rank)) for x in (rows, label, weight))
     order = np.argsort(rank[row], kind="stable")
     row, code, tf = rank[row][order], code[order], tf[order]
