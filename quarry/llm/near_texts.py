@@ -48,8 +48,8 @@ BUNDLE_ROWS = 1 << 17
 SLAB_BYTES, SENT_ROWS, STEP_PAIRS = 1 << 20, 1 << 17, 1 << 18
 #: Texts of which common shingles are learned; texts that hold one, and their number, at most. They only decide an order.
 SAMPLE, OFTEN, COMMON = 8192, 4, 1 << 18
-#: Nodes whose number is small enough to broadcast.
-BROADCAST_NODES = 1 << 20
+#: Nodes whose number is small enough to broadcast: the driver holds them several times meanwhile.
+BROADCAST_NODES = 1 << 16
 
 _SENT = "bundle int, postings binary, doc_id long, node long, fp long, size long, sketch binary"
 _FOUND = "doc_id long, node long, fp long, size long, sketch binary, shingle long, pos long, a long, b long"
