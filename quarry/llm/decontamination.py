@@ -1,7 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` stores the postings of the training texts by document shard (a few MB of texts): every term of the shard
-with the sorted places where it occurs. A shard is one row, so that a search reads the stored index without shuffling it.
+with the sorted places where it occurs. A shard is one row, so that a search reads the stored index without shuffling it;
+it is a row group of its own, so that writer and reader hold one shard at once, however large the files and their splits.
 ``search`` takes all phrases of the test items at once: phrases of which the shard lacks a term are out, the list of the
 rarest term gives each one's places, moved back by the term's offset, and the other lists, rarest first, keep those that
 they hold too. Phrases don't run over the end of a document.
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.shared import discard, fresh, keep
 
-#: Phrases that are broadcast at once.
-MAX_PHRASES = 1_000_000
+#: Phrases that are broadcast at once, and places at which a task tries phrases at once.
+MAX_PHRASES, MAX_PLACES = 1_000_000, 1 << 20
+#: A shard is a row group: Parquet looks at sizes from the 100th row on, after some 400 MB. Its lists hold distinct numbers.
+_WRITER = {"parquet.block.row.count.limit": 1, "parquet.enable.dictionary": False}
 _INDEX = "shard long, terms array<long>, ends array<int>, places array<int>, ids array<long>, n_words array<int>"
 _HITS = "shard long, ordinal long, doc_id long, n_words long, matches array<struct<item_id: string, item_start: int, doc_start: int, n_words: int>>"
 _MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())])
@@ -75,7 +78,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([partition << 24 | k]), *lists, ids, n_words], names=[x.split()[0] for x in _INDEX.split(", ")])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keep(source.mapInArrow(index, _INDEX), "postings")
+    return keep(source.mapInArrow(index, _INDEX), "postings", **_WRITER)
 
 
 class _Shard:
@@ -106,21 +109,30 @@ def _phrases(shard: _Shard, phrases: np.ndarray, lengths: np.ndarray) -> tuple[n
     sizes = np.where(phrases >= 0, shard.sizes[phrases], np.iinfo(np.int64).max)
     alive = np.flatnonzero((sizes > 0).all(axis=1))
     order = np.argsort(sizes[alive], axis=1, kind="stable")  # rarest first
-    rarest = phrases[alive, order[:, 0]]
+    n = shard.sizes[phrases[alive, order[:, 0]]]
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // MAX_PLACES)) + 1
+    found = [_begun(shard, phrases[a], lengths[a], o) for a, o in zip(np.split(alive, cuts), np.split(order, cuts), strict=True)]
+    number = [a[row] for a, (_, row) in zip(np.split(alive, cuts), found, strict=True)]
+    return np.concatenate([begin for begin, _ in found]), np.concatenate(number)
+
+
+def _begun(shard: _Shard, phrases: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which phrases begin, and the phrases' rows. order: each one's terms, rarest first."""
+    rarest = phrases[np.arange(len(phrases)), order[:, 0]]
     n = shard.sizes[rarest]
-    row = np.repeat(np.arange(len(alive)), n)
+    row = np.repeat(np.arange(len(phrases)), n)
     begin = shard.places[W.ranges(shard.ends[rarest] - n, n)] - np.repeat(order[:, 0], n)
     for step in range(1, phrases.shape[1]):
         offset = order[row, step]
-        term = phrases[alive[row], offset]
+        term = phrases[row, offset]
         key = term << 32 | np.maximum(begin + offset, 0)
         at = np.minimum(np.searchsorted(shard.keys, key), max(0, len(shard.keys) - 1))
         stay = (term < 0) | ((shard.keys[at] == key) & (begin >= 0) if len(shard.keys) else False)
         row, begin = row[stay], begin[stay]
     inside = begin >= 0
     row, begin = row[inside], begin[inside]
-    inside = shard.document(begin) == shard.document(begin + lengths[alive[row]] - 1)
-    return begin[inside], alive[row[inside]]
+    inside = shard.document(begin) == shard.document(begin + lengths[row] - 1)
+    return begin[inside], row[inside]
 
 
 def _near(shard: _Shard, terms: np.ndarray, span: int) -> np.ndarray:

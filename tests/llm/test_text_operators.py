@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,6 +136,42 @@ def test_decontamination_odd(spark, odd, empty):
     assert decontamination.decontaminate(odd, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_index_is_written_and_read_shard_by_shard(spark, tmp_path):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda x: F.concat(F.lit("w"), F.pmod(F.xxhash64(x, "id"), F.lit(5000)))))
+    docs = spark.range(700, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).coalesce(1)
+    index = decontamination.build_index(docs)
+    files = [pq.ParquetFile(unquote(f.removeprefix("file:"))).metadata for f in index.inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert len(groups) > 3 and set(groups) == {1}  # some 4 MB of text each
+    rows = [tuple(r) for r in docs.where("doc_id % 100 = 0").collect()]
+    items = spark.createDataFrame([(i, " ".join(t.split()[40 * i : 40 * i + 12])) for i, t in rows[:3]], "item_id long, text string")
+    found = digest(decontamination.search(index, items))
+    assert sorted(map(tuple, found.where("doc_id % 100 = 0").collect()), key=repr) == hits(rows, [tuple(r) for r in items.collect()])
+    assert found.count() == 700
+
+
+def test_places_at_once(monkeypatch):
+    n = 20_000
+    shard = decontamination._Shard({"terms": pa.scalar([7, 8]), "ends": pa.scalar([n, n + 10], pa.list_(pa.int32())), "places": pa.scalar([*range(10, n + 10), *range(10)], pa.list_(pa.int32())), "ids": pa.scalar([1, 2]), "n_words": pa.scalar([10, n], pa.list_(pa.int32()))}, np.array([7, 8]))
+    phrases = np.array([[0] * 5 + [1] * 5, [1] * 10, [0] * 10, [1, 0, *[-1] * 8]] * 25)
+    lengths = (phrases >= 0).sum(axis=1)
+
+    def found_and_most():
+        tracemalloc.start()
+        begin, number = decontamination._phrases(shard, phrases, lengths)
+        most = tracemalloc.get_traced_memory()[1] - begin.nbytes - number.nbytes
+        tracemalloc.stop()
+        return sorted(zip(number.tolist(), begin.tolist(), strict=True)), most
+
+    whole, most = found_and_most()
+    assert whole == sorted([(k, 0) for k in range(1, 100, 4)] + [(k, x) for k in range(2, 100, 4) for x in range(10, n + 1)])
+    monkeypatch.setattr(decontamination, "MAX_PLACES", n)
+    some, less = found_and_most()
+    assert some == whole and less < most / 2
+
+
 def test_contaminated_rows_go(spark):
     rows = [(1, "a b c d"), (1, "x y z"), (None, "a b c d"), (None, "x"), (2, None), (3, "b c d a b c")]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, number int, digest int")
