@@ -278,14 +278,14 @@ def _later_meeting(similarity: float, times: int):
     return meet
 
 
-def _later_offers(alive: DataFrame, similarity: float, times: int) -> DataFrame:
-    """Pairs (a, b) that the groups in ``alive`` (shingle, node, fp, size, pos, sketch, class) offer, and the shingles of
-    those that have more."""
+def _later_offers(alive: DataFrame, n: int, similarity: float, times: int) -> DataFrame:
+    """Pairs (a, b) that the groups in ``alive`` (n rows: shingle, node, fp, size, pos, sketch, class) offer, and the
+    shingles of those that have more."""
     sizes = alive.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("class", F.struct("n", "class")).alias("main"), F.max("n").alias("n_main"))
     rows, found = simhash.TABLE_ROWS, "a long, b long, shingle long"
     hot = sizes.where(F.col("n") > rows).select("shingle", "main", F.ceil(F.col("n_main") / rows).cast("int").alias("first"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_main")) / rows)).cast("int").alias("others"))
     hot = keep(hot, "hot-groups")
-    total = max(1, ceil((alive.count() + 1) / (BUNDLE_ROWS // 4)))  # these rows have bitmaps
+    total = max(1, ceil((n + 1) / (BUNDLE_ROWS // 4)))  # these rows have bitmaps
     bundle = F.pmod(F.xxhash64("shingle"), F.lit(total)).alias("bundle")
     shape = ("low", "high", "shingle", "node", "fp", "size", "pos", "sketch", "class", "part")
     meet = _later_meeting(similarity, times)
@@ -350,6 +350,13 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long, ok boolean")
 
 
+def _of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (node, text) that ``pairs`` (a, b) name, if those are few; else all, which are dealt anew."""
+    if 2 * pairs.count() > BROADCAST_NODES:
+        return texts
+    return texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "node", "left_semi")
+
+
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, fp) that pivot tables propose: of one fingerprint, or of near ones."""
     of = keep(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
@@ -394,7 +401,7 @@ def _text_classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataF
     pairs = screen.where("may").select("a", "b")
     known, seen, times, used = [], [], 1, [found, nodes, screen]  # used: tables that no step reads once groups are kept
     while True:
-        verdict = keep(verified(pairs, texts, width, similarity), "verified")
+        verdict = keep(verified(pairs, texts if times == 1 else _of_pairs(texts, pairs), width, similarity), "verified")
         seen.append(verdict.select("a", "b"))
         stars = components(_union([verdict.where("ok").select("a", "b"), *known]), "components")
         classes = keep(stars, "classes")
@@ -407,14 +414,15 @@ def _text_classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataF
             alive = alive.join(nodes.select("node", "sketch"), "node")
         alive = keep(alive, "waiting")
         discard(*used)
-        if alive.isEmpty():
+        n = alive.count()
+        if not n:
             discard(texts, alive, *seen)
             return rows, classes
         times *= 4
-        met = keep(_later_offers(alive, similarity, times), "offers")
-        pairs = met.where("a is not null").select("a", "b").distinct().join(_union(seen), ["a", "b"], "left_anti")
+        met = keep(_later_offers(alive, n, similarity, times), "offers")
+        pairs = keep(met.where("a is not null").select("a", "b").distinct().join(_union(seen), ["a", "b"], "left_anti"), "pairs")
         waiting = alive.drop("class").join(met.where("shingle is not null").select("shingle").distinct(), "shingle", "left_semi")
-        used = [alive, met, classes]
+        used = [alive, met, classes, pairs]
 
 
 def _named(rows: DataFrame, classes: DataFrame) -> DataFrame:

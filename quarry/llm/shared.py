@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.folders import discard, keep, shared_folder
 
-__all__ = ["discard", "fresh", "held_out", "keep", "shared_folder", "small_batches"]
+__all__ = ["discard", "fresh", "give_back", "held_out", "keep", "shared_folder", "small_batches"]
 
 #: Documents that Spark hands to Python at once.
 BATCH_ROWS = 1000
@@ -28,6 +32,14 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: the driver's Python lives on after a fit, and the allocators keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows of which no label is learned: crc32 of the doc_id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.shared import held_out, keep
+from quarry.llm.shared import give_back, held_out, keep
 
 #: Examples of each label, at most.
 EXAMPLES = 2000
@@ -310,6 +310,8 @@ def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, per_
         none = F.array().cast("array<struct<doc_id: long, toxic: int, cosine: double>>")
         return rows.select("doc_id", F.lit(float(index)).alias("score"), none.alias("neighbours"))
     shared = docs.sparkSession.sparkContext.broadcast(index)  # the postings of 2 * per_label texts
+    del index
+    give_back()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -331,6 +333,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     if not isinstance(index, Index):
         return docs if index < threshold else docs.where("text is null or text = ''")
     shared = docs.sparkSession.sparkContext.broadcast(index)  # the postings of 2 * EXAMPLES texts
+    del index
+    give_back()
     text = docs.columns.index("text")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Near-dedup by similarity against brute force over all pairs of texts, whatever the bits of their fingerprints."""
 
 import random
+import re
 import tracemalloc
 from pathlib import Path
 from types import SimpleNamespace
@@ -221,3 +222,36 @@ def test_later_rounds_start_from_the_classes(spark, monkeypatch):
     assert all(classes <= edges for (_, classes), (edges, _) in rounds)
     assert any(before - classes for (before, classes), _ in rounds)
     assert not any((before - classes) & edges for (before, classes), (edges, _) in rounds)
+
+
+def test_texts_of_few_pairs_alone_are_sent(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "node long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 4)], "a long, b long")
+    assert sorted(r["node"] for r in near_texts._of_pairs(texts, pairs).collect()) == [1, 2, 4]
+    monkeypatch.setattr(near_texts, "BROADCAST_NODES", 3)
+    assert near_texts._of_pairs(texts, pairs).count() == 6
+
+
+def test_later_rounds_send_the_texts_of_their_pairs(spark, docs, monkeypatch):
+    sent, verified = [], near_texts.verified
+
+    def counted(pairs, texts, width, similarity):
+        sent.append((texts.count(), 2 * pairs.count()))
+        return verified(pairs, texts, width, similarity)
+
+    monkeypatch.setattr(near_texts, "verified", counted)
+    monkeypatch.setattr(near_texts, "SMALL", 2)
+    near_texts.text_classes(docs)
+    assert len(sent) > 1 and all(n <= most for n, most in sent[1:])
+
+
+def test_free_memory_goes_back():
+    def held():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    arrays = [np.ones(4000) for _ in range(6000)]
+    some = arrays[::60]  # between the others, which keeps an allocator from giving them back by itself
+    del arrays
+    before = held()
+    shared.give_back()
+    assert len(some) == 100 and held() < before - 100
